@@ -116,7 +116,7 @@ def candidates(classes: DataFrame, runs: int, limit: int, levels: int, least: in
 
     for level in range(levels + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"))
-        kept = checkpointed(rows.join(sizes.where("size > 1"), "path"))
+        kept = checkpointed(rows.join(checkpointed(sizes.where("size > 1")), "path"))
         large = kept.where(F.col("size") > limit).select("node", "path")
         if level == levels or large.limit(1).count() == 0:
             found.append(compared(kept.select("node", "path")))
@@ -180,7 +180,7 @@ def near_duplicates(
     named = classes.join(linked, "node", "left").join(tight, "node", "left")
     named = checkpointed(named.select("d1", "d2", "node", "copies", "key", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("head"))
-    resolved = named.join(heads, "component").select("d1", "d2", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.key").alias("class_id"), F.col("head.node").alias("head"))
+    resolved = named.join(checkpointed(heads), "component").select("d1", "d2", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.key").alias("class_id"), F.col("head.node").alias("head"))
     out = signed.drop("tokens").join(resolved, ["d1", "d2"], "left")
     return out.select(
         F.col("key").alias(key), "text_key", "n_shingles", F.when(F.col("head").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),

@@ -89,7 +89,7 @@ def block_pairs(members: DataFrame, weight: str, block_weight: int) -> DataFrame
     of rows becomes a row.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.sum(weight) / F.lit(block_weight)).cast("long").alias("blocks"))
-    dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = members.join(checkpointed(sizes), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     return dealt.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other", "blocks")
 

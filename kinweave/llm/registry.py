@@ -10,13 +10,17 @@ from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.chat import OP9_SQL, op9_chat
 from kinweave.llm.embeddings import OP6_SQL, op6_embedding_near_dedup
 from kinweave.llm.jaccard import OP5_SQL, op5_jaccard
+from kinweave.llm.sharding import op4_sharding
+from kinweave.llm.substrings import op10_substrings
 from kinweave.llm.wumanber import OP8_SQL, op8_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_sharding": op4_sharding,
     "op5_jaccard": op5_jaccard,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_chat": op9_chat,
+    "op10_substrings": op10_substrings,
 }
 ORACLES: dict[str, str] = {"op5_jaccard": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_chat": OP9_SQL}
