@@ -12,10 +12,12 @@ from kinweave.llm.embeddings import OP6_SQL, op6_embedding_near_dedup
 from kinweave.llm.jaccard import OP5_SQL, op5_jaccard
 from kinweave.llm.sharding import op4_sharding
 from kinweave.llm.substrings import op10_substrings
+from kinweave.llm.toxicity import op2_toxicity
 from kinweave.llm.wumanber import OP8_SQL, op8_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
     "op5_jaccard": op5_jaccard,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
