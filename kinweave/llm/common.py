@@ -32,16 +32,26 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, ``row``, which passes through an operator beside its own columns, whatever their names are."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
 def arrow_rows(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterable[dict] | None]], schema: str, rows: int = 1000
 ) -> DataFrame:
     """``df`` through ``make()``, which is called once in each task and gives a function from a batch to columns (or to several sets of columns).
 
+    A column of ``df`` named ``row`` is put behind the columns of a batch that gives one row for each of its rows.
+
     Batches are cut to ``rows`` rows, so that the memory of a Python worker is bounded by the longest texts and not by the table.
     """
     from pyspark.sql.types import _parse_datatype_string
 
     with_schema = _parse_datatype_string(schema)
+    carried = "row" in df.columns
+    if carried:
+        with_schema = with_schema.add(df.schema["row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,9 +59,12 @@ def arrow_rows(
         kind, step = to_arrow_schema(with_schema), make()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                out = step(batch.slice(at, rows))
+                part = batch.slice(at, rows)
+                out = step(part)
                 for columns in [out] if isinstance(out, dict) else out or ():
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
+                    if carried:
+                        columns = columns | {"row": part.column(part.schema.get_field_index("row"))}
+                    yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) and columns[f.name].type == f.type else pa.array(columns[f.name], f.type) for f in kind], schema=kind)
         for columns in getattr(step, "rest", tuple)():
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in kind], schema=kind)
 

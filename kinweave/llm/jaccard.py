@@ -10,9 +10,10 @@ from fractions import Fraction
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_rows, checkpointed, read, text_or_empty
+from kinweave.llm.common import arrow_rows, checkpointed, read, text_or_empty, whole_row
 from kinweave.llm.pairs import block_pairs, components, forest_of, grouped_arrow
 from kinweave.llm.wumanber import words
 
@@ -188,6 +189,16 @@ def near_duplicates(
     )
 
 
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **parameters) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each class, with all its columns."""
+    kept = near_duplicates(docs, text=text, key=key, **parameters).where("kept").select(F.col(key).alias("kept_key"), F.col("text_key").alias("kept_text"))
+    rows = docs.select(whole_row(docs), docs[key].cast("long").alias("own_key"), F.xxhash64(text_or_empty(text)).alias("own_text"))
+    same = F.col("kept_key").eqNullSafe(F.col("own_key")) & (F.col("kept_text") == F.col("own_text"))
+    found = rows.join(kept.groupBy("kept_key", "kept_text").agg(F.count("*").alias("copies")), same)
+    once = found.withColumn("place", F.row_number().over(W.partitionBy("own_key", "own_text").orderBy(F.lit(0)))).where("place <= copies")
+    return once.select("row.*")
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections, as a matrix. Tokens of one set only don't enter; the rest are counted in slices of bounded width."""
     k = len(sets)

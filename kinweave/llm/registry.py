@@ -10,6 +10,8 @@ from kinweave.llm.bpe import op1_bpe
 from kinweave.llm.chat import OP9_SQL, op9_chat
 from kinweave.llm.embeddings import OP6_SQL, op6_embedding_near_dedup
 from kinweave.llm.jaccard import OP5_SQL, op5_jaccard
+from kinweave.llm.licences import OP3_SQL, op3_licences
+from kinweave.llm.pii import op7_pii
 from kinweave.llm.sharding import op4_sharding
 from kinweave.llm.substrings import op10_substrings
 from kinweave.llm.toxicity import op2_toxicity
@@ -18,11 +20,13 @@ from kinweave.llm.wumanber import OP8_SQL, op8_decontamination
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_licences": op3_licences,
     "op4_sharding": op4_sharding,
     "op5_jaccard": op5_jaccard,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_pii": op7_pii,
     "op8_decontamination": op8_decontamination,
     "op9_chat": op9_chat,
     "op10_substrings": op10_substrings,
 }
-ORACLES: dict[str, str] = {"op5_jaccard": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_licences": OP3_SQL, "op5_jaccard": OP5_SQL, "op6_embedding_near_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_chat": OP9_SQL}

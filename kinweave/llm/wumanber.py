@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import FOLD, WORD, arrow_rows, read, text_or_empty
+from kinweave.llm.common import FOLD, WORD, arrow_rows, read, text_or_empty, whole_row
 
 find_words = re.compile(WORD).findall
 
@@ -74,13 +74,13 @@ def windows_of(item: list[str], length: int) -> list[tuple[str, ...]]:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 8 << 20, with_text: bool = False
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 8 << 20, row: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, spans and items (and the text, if asked).
+    """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends, items and, if asked, row, a struct of all its columns.
 
     The benchmark is the stated query set. It is searched in blocks of about ``block_bytes`` bytes of its texts, so what the
     driver and each worker hold at once is bounded however large it grows; every document meets every block, in one scan
-    without a shuffle. spans are the merged runs of hit words, as word positions with exclusive ends.
+    without a shuffle. starts and ends are those of the merged runs of hit words, as word positions with exclusive ends.
 
     Null texts have no words, nor do null items. A null item id stands for no item: its windows hit words, and it's in no list.
     Items that have the same id are one item. An empty benchmark hits nothing. Other columns aren't read.
@@ -91,7 +91,7 @@ def decontaminate(
     schema = "key long, text string, n_words long, starts array<int>, ends array<int>, items array<string>"
     out = docs.select(
         docs[key].cast("long").alias("key"), text_or_empty(text).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"),
+        F.array().cast("array<int>").alias("starts"), F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"), *[whole_row(docs)][:row],
     )
     context = docs.sparkSession.sparkContext
     for block in range(blocks):
@@ -133,19 +133,19 @@ def decontaminate(
 
     def make_result():
         def step(batch):
-            key, body, n_words, starts, ends, found = (batch.column(k) for k in range(6))
+            key, _, n_words, starts, ends, found = (batch.column(k) for k in range(6))
             hit = [sum(e) - sum(s) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
             lists = found.to_pylist()
             return {
                 "key": key, "n_words": n_words, "n_hit": hit, "n_items": [len(x) for x in lists],
                 "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], "contaminated": [h > 0 for h in hit],
-                "starts": starts, "ends": ends, "items": found, "text": body,
+                "starts": starts, "ends": ends, "items": found,
             }
 
         return step
 
     result = "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, starts array<int>, ends array<int>, items array<string>"
-    return arrow_rows(out, make_result, result + ", text string" * with_text).withColumnRenamed("key", key)
+    return arrow_rows(out, make_result, result).withColumnRenamed("key", key)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
