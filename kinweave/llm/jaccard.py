@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import arrow_rows, checkpointed, read, text_or_empty, whole_row
-from kinweave.llm.pairs import block_pairs, components, forest_of, grouped_arrow
+from kinweave.llm.pairs import block_pairs, components, dealt, forest_of, grouped_arrow
 from kinweave.llm.wumanber import words
 
 #: Tokens (i, i-th minimum) that stand for a set while paths are chosen.
@@ -57,11 +57,11 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """The set's TOKENS minima, as 32-bit numbers."""
+    """The set's least values under TOKENS hash functions."""
     least = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 4096):
         least = np.minimum(least, (s[at : at + 4096, None] * ODD + ADD).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return least
 
 
 def runs_for(threshold: float, recall: float) -> int:
@@ -70,73 +70,82 @@ def runs_for(threshold: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - one))
 
 
-def signed_rows(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
-    """(key, text_key, n_shingles, d1, d2, tokens) of each row; d1 and d2 are the digest of its set, and null if it is empty."""
+def signed_rows(docs: DataFrame, n: int, runs: int, text: str, key: str) -> DataFrame:
+    """(key, text_key, n_shingles, d1, d2, starts, tokens) of each row; d1 and d2 are the digest of its set, and null if it is empty.
+
+    tokens are the lowest bytes of the minima; starts names the bucket of each run by its whole minimum.
+    """
+    salts = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def make():
         def step(batch):
             sets = [shingles(t, n) for t in batch.column(2).to_pylist()]
             digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else (None, None) for s in sets]
+            least = [minima(s) if len(s) else None for s in sets]
             return {
                 "key": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets],
-                "d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "tokens": [minima(s) if len(s) else None for s in sets],
+                "d1": [d[0] for d in digests], "d2": [d[1] for d in digests],
+                "starts": [None if x is None else mixed(x[np.arange(runs) % TOKENS] ^ salts).view(np.int64) for x in least],
+                "tokens": [None if x is None else (x >> np.uint64(32)).astype(np.uint8).tobytes() for x in least],
             }
 
         return step
 
     body = text_or_empty(text)
-    return arrow_rows(docs.select(docs[key].cast("long"), F.xxhash64(body), body), make, "key long, text_key long, n_shingles long, d1 long, d2 long, tokens array<int>")
+    return arrow_rows(docs.select(docs[key].cast("long"), F.xxhash64(body), body), make, "key long, text_key long, n_shingles long, d1 long, d2 long, starts array<long>, tokens binary")
 
 
-def candidates(classes: DataFrame, runs: int, limit: int, levels: int, least: int) -> DataFrame:
-    """Edges (a, b) that span, in each bucket, the classes whose tokens agree in ``least`` places or more. classes: node, tokens."""
-    first = F.explode(F.array(*[F.xxhash64(F.lit(r), F.get("tokens", F.lit(r % TOKENS))) for r in range(runs)]))
-    rows = classes.select("node", first.alias("path"))
-    found = []
+def candidates(classes: DataFrame, limit: int, levels: int, least: int) -> DataFrame:
+    """Edges (a, b) that span, in each bucket, the classes whose tokens agree in ``least`` places or more. classes: node, starts, tokens."""
     schema = "a long, b long"
 
     def make():
         def step(batch):
-            node = batch.column(batch.schema.get_field_index("node")).to_numpy()
-            tokens = batch.column(batch.schema.get_field_index("tokens")).flatten().to_numpy().reshape(len(node), TOKENS)
-            own = batch.column(batch.schema.get_field_index("block")).to_numpy()
-            across = own.min() != own.max()
+            node, own = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("node", "block"))
+            tokens = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("tokens")).to_pylist()), np.uint8).reshape(len(node), TOKENS)
             links = np.zeros((len(node), len(node)), bool)
             for k in range(len(node)):
                 links[k] = (tokens[k] == tokens).sum(axis=1) >= least
-            if across:
-                links &= (own[:, None] != own) | (np.arange(len(node)) == np.arange(len(node))[:, None])
+            if own.min() != own.max():
+                links &= own[:, None] != own
             edges = forest_of(links)
             return [{"a": [node[x] for x, _ in edges], "b": [node[y] for _, y in edges]}] if edges else None
 
         return step
 
     def compared(part: DataFrame) -> DataFrame:
-        members = part.join(classes, "node").select("node", F.col("path").alias("component"), "tokens", F.lit(1).cast("long").alias("weight"))
-        return checkpointed(grouped_arrow(block_pairs(members, "weight", limit), ["component", "i", "j"], make, schema))
+        blocks = F.ceil(F.col("size") / limit).cast("long")
+        members = part.select("node", F.col("path").alias("component"), blocks.alias("blocks")).join(active, "node")
+        return checkpointed(grouped_arrow(dealt(members, "blocks"), ["component", "i", "j"], make, schema))
 
+    found = []
+    rows = classes.select("node", F.explode("starts").alias("path"), F.lit(None).cast("long").alias("parent"))
+    active = None
     for level in range(levels + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"))
-        kept = checkpointed(rows.join(checkpointed(sizes.where("size > 1")), "path"))
-        large = kept.where(F.col("size") > limit).select("node", "path")
+        sizes = checkpointed(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
+        kept = checkpointed(rows.join(sizes, "path"))
+        if active is None:
+            active = checkpointed(classes.select("node", "tokens").join(kept.select("node").distinct(), "node", "left_semi"))
+        # A bucket that a split didn't halve holds near copies, which no split parts.
+        ready = F.lit(True) if level == levels else (F.col("size") <= limit) | F.coalesce(F.col("size") * 2 > F.col("parent"), F.lit(False))
+        found.append(compared(kept.where(ready)))
+        large = kept.where(~ready)
         if level == levels or large.limit(1).count() == 0:
-            found.append(compared(kept.select("node", "path")))
             break
-        found.append(compared(kept.where(F.col("size") <= limit).select("node", "path")))
-        places = [(runs + level * CHILDREN + c) % TOKENS for c in range(CHILDREN)]
-        further = F.explode(F.array(*[F.xxhash64("path", F.lit(p), F.get("tokens", F.pmod(F.col("path") + p, F.lit(TOKENS)).cast("int"))) for p in places]))
-        rows = large.join(classes, "node").select("node", further.alias("path")).distinct()
+        place = F.pmod(F.xxhash64("path", "c"), F.lit(TOKENS)).cast("int") + 1
+        rows = large.join(active, "node").withColumn("c", F.explode(F.array(*[F.lit(c) for c in range(CHILDREN)])))
+        rows = rows.select("node", F.xxhash64("path", "c", F.substring("tokens", place, F.lit(1))).alias("path"), F.col("size").alias("parent"))
     return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, limit: int = 1024, levels: int = 4, block_bytes: int = 2 << 20, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, limit: int = 2048, levels: int = 4, block_bytes: int = 2 << 20, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
     """One row per row of ``docs``: key, text_key (xxhash64 of the text), n_shingles, class_id, n_links, kept.
 
     Rows with equal sets of word shingles are one class first. A class stands in one bucket a run, named by a sampled token of
     its set; buckets over ``limit`` classes are split on further sampled tokens, CHILDREN for each class, ``levels`` times at
-    most, and what is still larger is compared by pairs of blocks: nothing is dropped. Inside a bucket the tokens tell which
+    most, and what is still larger, or isn't halved by a split, is compared by pairs of blocks: nothing is dropped. Inside a bucket the tokens tell which
     classes may be near; a spanning forest of those goes on. Every pair of classes that this connects is then compared exactly,
     on the whole sets, by pairs of blocks. ``runs_for`` gives the number of runs.
 
@@ -147,11 +156,11 @@ def near_duplicates(
     """
     num, den = Fraction(str(threshold)).as_integer_ratio()
     least = math.floor(TOKENS * threshold - 4.2 * math.sqrt(TOKENS * threshold * (1 - threshold)))
-    signed = checkpointed(signed_rows(docs, n, text, key).withColumn("uid", F.monotonically_increasing_id()))
+    signed = checkpointed(signed_rows(docs, n, runs_for(threshold, recall), text, key).withColumn("uid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("key").isNull(), "key", "uid", "text_key"))
-    classes = signed.where(F.col("d1").isNotNull()).groupBy("d1", "d2").agg(F.count("*").alias("copies"), first.alias("first"), F.any_value("tokens").alias("tokens"))
-    classes = checkpointed(classes.select("d1", "d2", "copies", "tokens", F.col("first.uid").alias("node"), F.col("first.key").alias("key"), F.col("first.text_key").alias("text_key")))
-    loose = components(candidates(classes.select("node", "tokens"), runs_for(threshold, recall), limit, levels, least))
+    classes = signed.where(F.col("d1").isNotNull()).groupBy("d1", "d2").agg(F.count("*").alias("copies"), first.alias("first"), F.min(F.struct("starts", "tokens")).alias("sign"))
+    classes = checkpointed(classes.select("d1", "d2", "copies", "sign.starts", "sign.tokens", F.col("first.uid").alias("node"), F.col("first.key").alias("key"), F.col("first.text_key").alias("text_key")))
+    loose = components(candidates(classes.select("node", "starts", "tokens"), limit, levels, least))
     near = classes.join(loose, "node").select("node", "component", "copies", "key", "text_key")
     body = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(text_or_empty(text)).alias("text_key"), text_or_empty(text).alias("text"))
     same = near.withColumnsRenamed({"key": "k", "text_key": "t"})
@@ -174,15 +183,14 @@ def near_duplicates(
 
         return step
 
-    dealt = block_pairs(members, "weight", block_bytes)
-    compared = checkpointed(grouped_arrow(dealt, ["component", "i", "j"], make, "node long, other long, links long"))
+    compared = checkpointed(grouped_arrow(block_pairs(members, "weight", block_bytes), ["component", "i", "j"], make, "node long, other long, links long"))
     linked = compared.groupBy("node").agg(F.sum("links").alias("links"))
     tight = components(compared.where(F.col("other").isNotNull()), "node", "other")
     named = classes.join(linked, "node", "left").join(tight, "node", "left")
     named = checkpointed(named.select("d1", "d2", "node", "copies", "key", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component")))
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("key").isNull(), "key", "node")).alias("head"))
     resolved = named.join(checkpointed(heads), "component").select("d1", "d2", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.key").alias("class_id"), F.col("head.node").alias("head"))
-    out = signed.drop("tokens").join(resolved, ["d1", "d2"], "left")
+    out = signed.drop("starts", "tokens").join(resolved, ["d1", "d2"], "left")
     return out.select(
         F.col("key").alias(key), "text_key", "n_shingles", F.when(F.col("head").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.coalesce("head", "uid") == F.col("uid")).alias("kept"),

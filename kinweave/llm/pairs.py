@@ -81,17 +81,21 @@ def grouped_arrow(df: DataFrame, keys: list[str], make: Callable[[], Callable[[p
     return df.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(run, with_schema)
 
 
-def block_pairs(members: DataFrame, weight: str, block_weight: int) -> DataFrame:
-    """``members`` (node, component, weight and others) dealt into all pairs of blocks of their component: columns i, j and block are added.
+def dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    """``rows`` of groups that are cut into ``blocks`` blocks by a hash of the node, dealt into all unordered pairs of blocks: i, j and block are added.
 
-    A component of one block is one group (i = j = 0). A larger one is cut into blocks of about ``block_weight`` by a hash of
-    the node, and each unordered pair of blocks is a group of its own, so a task never holds more than two blocks and no pair
-    of rows becomes a row.
+    A group of one block is one pair, i = j = 0. A task that takes a pair of blocks holds no more than those, and no pair of
+    rows becomes a row.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.sum(weight) / F.lit(block_weight)).cast("long").alias("blocks"))
-    dealt = members.join(checkpointed(sizes), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    return dealt.withColumn("other", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other", "blocks")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col(blocks)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
+    return rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other", blocks)
+
+
+def block_pairs(members: DataFrame, weight: str, block_weight: int) -> DataFrame:
+    """``members`` (node, component, weight and others) dealt into pairs of blocks of about ``block_weight`` within their component."""
+    sizes = checkpointed(members.groupBy("component").agg(F.ceil(F.sum(weight) / F.lit(block_weight)).cast("long").alias("blocks")))
+    return dealt(members.join(sizes, "component"), "blocks")
 
 
 class Forest:
