@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import read
 
 #: A turn block is ``<|ROLE|>text<|end|>``; rows of one role that follow each other share a block, parted by ``<|and|>``.
-#: Texts and roles can't hold ``<|``: a backslash is doubled first, then ``<|`` becomes ``<\|``.
+#: Texts and roles can't hold ``<|``: a backslash is doubled first, then ``<|`` becomes ``<\|``. In roles ``|>`` becomes ``|\>`` too.
 OPEN, CLOSE, END, AND = "<|", "|>", "<|end|>", "<|and|>"
 
 
@@ -20,6 +20,14 @@ def unescaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
+def escaped_role(role: Column) -> Column:
+    return F.replace(escaped(role), F.lit("|>"), F.lit("|\\>"))
+
+
+def unescaped_role(role: Column) -> Column:
+    return unescaped(F.replace(role, F.lit("|\\>"), F.lit("|>")))
+
+
 def format_conversations(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, and loss_spans, the [start, end) code points of the trained role's texts.
 
@@ -39,7 +47,7 @@ def format_conversations(conversations: DataFrame, trained_role: str = "assistan
             lambda t, i: F.array(
                 F.struct(
                     F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), F.lit(AND))
-                    .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(OPEN), escaped(t["role"]), F.lit(CLOSE)))
+                    .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(OPEN), escaped_role(t["role"]), F.lit(CLOSE)))
                     .alias("s"),
                     F.lit(False).alias("loss"),
                 ),
@@ -68,7 +76,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
             blocks,
             lambda b: F.transform(
                 F.split(F.substring(b, F.instr(b, F.lit(CLOSE)) + F.lit(2), F.length(b)), r"<\|and\|>", -1),
-                lambda t: F.struct(unescaped(F.substring(b, F.lit(3), F.instr(b, F.lit(CLOSE)) - F.lit(3))).alias("role"), unescaped(t).alias("text")),
+                lambda t: F.struct(unescaped_role(F.substring(b, F.lit(3), F.instr(b, F.lit(CLOSE)) - F.lit(3))).alias("role"), unescaped(t).alias("text")),
             ),
         )
     )
@@ -98,7 +106,7 @@ WITH rows AS (
 ), r AS (
   SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before,
          length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2 AS text_chars,
-         length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '<|', ''))) // 2 AS role_chars
+         length(role) + length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '<|', ''))) // 2 + (length(role) - length(replace(role, '|>', ''))) // 2 AS role_chars
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
