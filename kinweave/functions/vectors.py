@@ -18,9 +18,11 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, clipped to [-1, 1]; norms below FLOOR count as FLOOR."""
+    """Cosine of two vectors, clipped to [-1, 1]; norms below FLOOR count as FLOOR. NaN stays: to Spark it is greater than 1."""
     c = dot(a, b) / (F.greatest(norm(a), F.lit(FLOOR)) * F.greatest(norm(b), F.lit(FLOOR)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    # Through an array, so that the sum is evaluated once.
+    clip = lambda x: F.when(F.isnan(x), x).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
+    return F.get(F.transform(F.array(c), clip), F.lit(0))
 
 
 def normalized(a: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.functions import scores as S
 from kinweave.functions import vectors as V
 from kinweave.operators import graph, knn, ranking, textsim, views
+from kinweave.operators.common import cut
 from kinweave.plans.tables import PAPERS_SQL, focal_vector, papers, read
 
 FOCAL, QUERY, K, MAX_PAPERS, EDGE_CAP, WIDTH = 0, 1, 20, 45, 5, 64
@@ -142,7 +143,8 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("direct") & (F.col("rank_semantic") <= 100), "both").when(F.col("direct"), "citation").otherwise("semantic")
     columns = ["id", "vector", "year", "citations", "refs", "categories", "label"]
     focal = papers(spark, sf_dir).where(F.col("id") == FOCAL).select(*columns, F.lit("both").alias("source"), F.lit(0).alias("rank"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("direct"))
-    return focal.unionByName(best.select(*columns, source.alias("source"), "rank", "score", "direct"))
+    # The result is small and used many times.
+    return cut(focal.unionByName(best.select(*columns, source.alias("source"), "rank", "score", "direct")).coalesce(1))
 
 
 def scored_pairs(nodes: DataFrame) -> DataFrame:
@@ -189,28 +191,32 @@ x AS (SELECT *, CASE WHEN cosine < {GATE} AND coupling <= 0 THEN 0 ELSE least(1,
 PAIR_SCORES = f"WITH {PAIRS} SELECT a, b, {', '.join(f'round(CAST({s} AS DOUBLE), 9) AS {s}' for s in SCORES)} FROM x"
 
 
-def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = scored_pairs(kept(spark, sf_dir)).withColumn("focal", (F.col("a") == FOCAL) | (F.col("b") == FOCAL))
+def hybrid_candidates(nodes: DataFrame) -> DataFrame:
+    pairs = scored_pairs(nodes).withColumn("focal", (F.col("a") == FOCAL) | (F.col("b") == FOCAL))
     return pairs.where(S.hybrid_edge(F.col("hybrid"), F.col("focal"))).select("a", "b", F.col("hybrid").alias("weight"), "focal")
 
 
 def hybrid_edges_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_candidates(spark, sf_dir).select("a", "b", F.round("weight", 9).alias("weight"))
+    return hybrid_candidates(kept(spark, sf_dir)).select("a", "b", F.round("weight", 9).alias("weight"))
 
 
 HYBRID_EDGES_UNCAPPED = f"WITH {PAIRS} SELECT a, b, round(CAST(hybrid AS DOUBLE), 9) AS weight FROM x WHERE hybrid >= 0.2 AND hybrid > CASE WHEN a = {FOCAL} OR b = {FOCAL} THEN 0.4 ELSE 0.5 END"
 
 
-def hybrid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges_of(nodes: DataFrame) -> DataFrame:
     """The degree-capped edges; the focal record's slots go by turns to its own references and citers, and to others."""
-    direct = kept(spark, sf_dir).where("direct").select("id")
-    return graph.capped(graph.canonical(hybrid_candidates(spark, sf_dir)), EDGE_CAP, F.lit(FOCAL), direct)
+    return graph.capped(graph.canonical(hybrid_candidates(nodes)), EDGE_CAP, F.lit(FOCAL), nodes.where("direct").select("id"))
+
+
+def hybrid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_of(kept(spark, sf_dir)).select("left", "right", F.round("weight", 9).alias("weight"))
 
 
 def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each kept record with its rank, degree, relevance, distance to the focal record, and three strongest links."""
-    nodes = kept(spark, sf_dir).select("id", "label", "year", "citations", "source", "rank", F.round("score", 12).alias("score"))
-    edges = hybrid_edges(spark, sf_dir)
+    all_columns = kept(spark, sf_dir)
+    edges = edges_of(all_columns)
+    nodes = all_columns.select("id", "label", "year", "citations", "source", "rank", F.round("score", 12).alias("score"))
     focal = F.lit(FOCAL)
     links = graph.strongest(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "other"))).alias("l"))
     links = links.select(F.col("node").alias("id"), F.transform("l", lambda x: x["other"]).alias("links"))
@@ -302,12 +308,13 @@ GRAPH_META = """SELECT 'c' AS "left", 'n' AS "right", CAST(count(*) AS DOUBLE) A
 
 
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = kept(spark, sf_dir).select("id")
-    return graph.pagerank(nodes, hybrid_edges(spark, sf_dir), F.lit(FOCAL)).select("id", F.round("rank", 9).alias("relevance"))
+    nodes = kept(spark, sf_dir)
+    return graph.pagerank(nodes.select("id"), edges_of(nodes), F.lit(FOCAL)).select("id", F.round("rank", 9).alias("relevance"))
 
 
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(kept(spark, sf_dir).select("id"), hybrid_edges(spark, sf_dir))
+    nodes = kept(spark, sf_dir)
+    return graph.communities(nodes.select("id"), edges_of(nodes))
 
 
 QUERIES = {f.__name__: f for f in (
