@@ -87,7 +87,7 @@ class Bpe:
     merges: list[tuple[str, str]]
     special: dict[str, int]
     suffix: str = "</w>"
-    memo_words: int = 400_000
+    memo_words: int = 200_000
     memo: dict[str, tuple[int, str, str]] = field(default_factory=dict)
     older: dict[str, tuple[int, str, str]] = field(default_factory=dict)
 

@@ -38,7 +38,7 @@ def whole_row(docs: DataFrame) -> Column:
 
 
 def arrow_rows(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterable[dict] | None]], schema: str, rows: int = 1000
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | Iterable[dict] | None]], schema: str, rows: int = 500
 ) -> DataFrame:
     """``df`` through ``make()``, which is called once in each task and gives a function from a batch to columns (or to several sets of columns).
 

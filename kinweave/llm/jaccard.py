@@ -26,7 +26,7 @@ class Hashes(dict):
     """64-bit hashes of words; it starts anew beyond a bounded number."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterable
@@ -10,7 +9,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import FOLD, WORD, arrow_rows, read, text_or_empty, whole_row
+from kinweave.llm.common import FOLD, WORD, arrow_rows, checkpointed, read, text_or_empty, whole_row
 
 find_words = re.compile(WORD).findall
 
@@ -74,13 +73,13 @@ def windows_of(item: list[str], length: int) -> list[tuple[str, ...]]:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 8 << 20, row: bool = False
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 16 << 20, row: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends, items and, if asked, row, a struct of all its columns.
 
     The benchmark is the stated query set. It is searched in blocks of about ``block_bytes`` bytes of its texts, so what the
-    driver and each worker hold at once is bounded however large it grows; every document meets every block, in one scan
-    without a shuffle. starts and ends are those of the merged runs of hit words, as word positions with exclusive ends.
+    driver and each worker hold at once is bounded however large it grows; every document meets every block, without a
+    shuffle; between blocks the rows are written to the checkpoint folder. starts and ends are those of the merged runs of hit words, as word positions with exclusive ends.
 
     Null texts have no words, nor do null items. A null item id stands for no item: its windows hit words, and it's in no list.
     Items that have the same id are one item. An empty benchmark hits nothing. Other columns aren't read.
@@ -130,22 +129,14 @@ def decontaminate(
             return step
 
         out = arrow_rows(out, make, schema)
+        if block + 1 < blocks:  # else each block would hold a Python worker of every task at once
+            out = checkpointed(out)
 
-    def make_result():
-        def step(batch):
-            key, _, n_words, starts, ends, found = (batch.column(k) for k in range(6))
-            hit = [sum(e) - sum(s) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)]
-            lists = found.to_pylist()
-            return {
-                "key": key, "n_words": n_words, "n_hit": hit, "n_items": [len(x) for x in lists],
-                "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists], "contaminated": [h > 0 for h in hit],
-                "starts": starts, "ends": ends, "items": found,
-            }
-
-        return step
-
-    result = "key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, starts array<int>, ends array<int>, items array<string>"
-    return arrow_rows(out, make_result, result).withColumnRenamed("key", key)
+    hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda n, x: n + x)
+    return out.select(
+        F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"),
+        (F.size("starts") > 0).alias("contaminated"), "starts", "ends", "items", *["row"][:row],
+    )
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
