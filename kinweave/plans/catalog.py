@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import discovery, records
+from kinweave.plans import discovery, pools, records
 
 FLAGSHIP = "hybrid_graph"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = discovery.QUERIES | records.QUERIES
-ORACLES: dict[str, str] = discovery.ORACLES | records.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = discovery.QUERIES | records.QUERIES | pools.QUERIES
+ORACLES: dict[str, str] = discovery.ORACLES | records.ORACLES | pools.ORACLES
