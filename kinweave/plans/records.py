@@ -9,6 +9,7 @@ from kinweave.functions import ids as I
 from kinweave.functions import text as T
 from kinweave.operators import corpus, identity, textsim, views
 from kinweave.plans.tables import WORKS_SQL, read, works
+from kinweave.session import ship
 from kinweave.sources import files
 from kinweave.streaming import upserts
 
@@ -272,6 +273,7 @@ SELECT b.id, round(sum(a.w * b.w), 8) AS score FROM w a JOIN w b USING (term) WH
 
 
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     p = read(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("id"), T.folded_words(F.col("p_name")).alias("title_key"), T.plain_words(F.col("p_type")).alias("type_key"), F.coalesce(T.composed(T.without_placeholder(F.col("p_name")), F.col("p_type")), F.lit("")).alias("composed"),
