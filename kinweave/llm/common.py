@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.session import ship
+
 #: A document word: a run of digits, ASCII letters (after lower-casing A-Z) and every character from U+0080 on.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,6 +50,7 @@ def arrow_rows(
     """
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     with_schema = _parse_datatype_string(schema)
     carried = "row" in df.columns
     if carried:

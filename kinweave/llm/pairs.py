@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import checkpointed
+from kinweave.session import ship
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,6 +39,7 @@ def grouped_arrow(df: DataFrame, keys: list[str], make: Callable[[], Callable[[p
     """
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     with_schema = _parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
