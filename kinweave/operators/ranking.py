@@ -17,13 +17,12 @@ def features(candidates: DataFrame, document: list[float], query: list[float]) -
     """candidates: id, vector, is_reference, cites_focal, recommendation_rank, contexts, influential. Adds cos_dd, cos_q, ctx, direct, eligible.
 
     ctx is the mean of the five largest cosines with references other than the candidate, and null if there are fewer. The
-    references are the focal record's own list, of at most a thousand, so they are broadcast; each candidate keeps its five best only.
+    references are the focal record's own list, of at most a thousand, so they are broadcast, and a candidate gathers as many cosines at most.
     """
     unit = candidates.withColumn("unit", V.normalized(F.col("vector")))
     unit = unit.withColumns({"cos_dd": guarded(V.cosine(F.col("vector"), literal(document))), "cos_q": guarded(V.cosine(F.col("vector"), literal(query)))})
     references = unit.where("is_reference").select(F.col("id").alias("r_id"), F.col("unit").alias("r_unit"))
     near = unit.select("id", "unit").join(F.broadcast(references), F.col("id") != F.col("r_id")).select("id", V.dot(F.col("unit"), F.col("r_unit")).alias("c"))
-    # max_by over an array holds five numbers a candidate in the partial aggregate.
     best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, CONTEXT_SIZE).alias("top"))
     mean = F.when(F.size("top") == CONTEXT_SIZE, F.aggregate(F.array_sort("top"), F.lit(0.0), lambda s, x: s + x) / CONTEXT_SIZE)
     joined = unit.join(best.select("id", mean.alias("ctx")), "id", "left").drop("unit")
