@@ -1,4 +1,4 @@
-"""Substring dedup by content-defined chunks: a gear rolling hash sets the cuts, and chunks are matched by digest."""
+"""Substring dedup by content-defined chunks: a gear rolling hash sets the cuts, chunks are matched by digest, and passages are measured exactly on windows of words."""
 
 from __future__ import annotations
 
@@ -48,86 +48,155 @@ def cuts(data: np.ndarray, reach: int, longest: int) -> np.ndarray:
     return np.unique(at)
 
 
-def chunks(docs: DataFrame, reach: int, longest: int, text: str, key: str) -> DataFrame:
-    """One row per chunk: uid, key, n (of the document), its digest and bytes, its code points [c0, c1), and the words [w0, w1) from the start of the chunk before to the end of the one after."""
-    schema = "uid long, key long, n int, digest long, bytes int, c0 int, c1 int, w0 int, w1 int"
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
+SPACE, CORE = np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BYTE = np.random.default_rng(31_338).integers(0, 1 << 63, 256, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+#: Words of a gram: its hash picks the windows that are looked at.
+GRAM = 20
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places [start, end) of the words between white space, without the signs before and after a word's letters and digits."""
+    edge = np.diff(np.concatenate([[0], (~SPACE[data]).astype(np.int8), [0]]))
+    start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    core = np.flatnonzero(CORE[data])
+    if not len(core):
+        return start, end
+    first = core[np.minimum(np.searchsorted(core, start), len(core) - 1)]
+    last = core[np.maximum(np.searchsorted(core, end) - 1, 0)]
+    has = (first >= start) & (first < end)
+    return np.where(has, first, start), np.where(has, last + 1, end)
+
+
+def picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_words: int) -> np.ndarray:
+    """For each window of ``min_words`` words the least hash of the grams in it. Equal windows have the same one, whatever is around them."""
+    gram = min(GRAM, min_words)
+    if len(start) < min_words:
+        return np.zeros(0, np.uint64)
+    powers, back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), b, np.uint64))]) for b in (BASE, BACK))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE[data] * powers[:-1])])
+    a, z = start[: len(start) - gram + 1], end[gram - 1 :]
+    h = (sums[z] - sums[a]) * back[a]
+    for shift in (33, 29):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(BASE)
+    h ^= h >> np.uint64(32)
+    return np.lib.stride_tricks.sliding_window_view(h, min_words - gram + 1).min(axis=1)
+
+
+def shared_grams(docs: DataFrame, min_words: int, text: str) -> np.ndarray:
+    """A bit for each hash that windows of two documents were given, 16 times as many bits as hashes, of 2 ** 28 at most.
+
+    Other hashes can fall on a bit; their windows are looked at as well, for nothing.
+    """
 
     def make():
+        def step(batch):
+            uids, found = [], []
+            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(t.encode(), np.uint8)
+                found.append(np.unique(picked(data, *words(data), min_words)).view(np.int64))
+                uids.append(np.full(len(found[-1]), uid))
+            return {"uid": np.concatenate(uids), "gram": np.concatenate(found)} if uids else None
+
+        return step
+
+    seen = arrow_rows(docs.select(F.monotonically_increasing_id(), text_or_empty(text)), make, "uid long, gram long").groupBy("gram").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    twice = checkpointed(seen.where("first < last").select("gram"))
+    bits = 1 << min(28, max(16, (16 * twice.count()).bit_length()))
+    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
+    cells = twice.select(F.shiftright(place, 6).alias("cell"), F.expr("shiftleft(1L, cast((gram & 63) as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
+    return out.view(np.uint64)
+
+
+def chunks(docs: DataFrame, reach: int, longest: int, min_words: int, text: str, key: str) -> DataFrame:
+    """One row per chunk: uid, key, its digest and bytes, and its code points, the first in the upper half of ``span`` and the end in the lower.
+
+    Windows of ``min_words`` words whose picked gram stands in another document are rows as well, with their bytes below 0.
+    """
+    schema = "uid long, key long, digest long, bytes int, span long"
+    shared = docs.sparkSession.sparkContext.broadcast(shared_grams(docs, min_words, text))
+
+    def make():
+        digest = xxhash.xxh3_64_intdigest
+        bits = shared.value
+
         def step(batch):
             out = {n.split()[0]: [] for n in schema.split(", ")}
             for uid, key_, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = t.encode()
                 if not raw:
-                    at = np.array([0, 0])
-                    c = w = at
-                    digests = [None]
+                    digests, lengths, spans = [None], np.array([0]), np.array([0])
                 else:
                     data = np.frombuffer(raw, np.uint8)
                     at = cuts(data, reach, longest)
-                    c = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
-                    starts = ~space[data]
-                    starts[1:] &= space[data[:-1]]
-                    w = np.concatenate([[0], np.cumsum(starts)])[at]
-                    ends = at.tolist()
-                    digest = xxhash.xxh3_64_intdigest
-                    digests = [digest(raw[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
-                    digests = np.array(digests, np.uint64).view(np.int64)
-                m = len(at) - 1
-                w0, w1 = np.concatenate([w[:1], w[:-2]]), np.concatenate([w[2:], w[-1:]])
-                for name, values in (("uid", np.full(m, uid)), ("n", np.full(m, m)), ("digest", digests), ("bytes", np.diff(at)), ("c0", c[:-1]), ("c1", c[1:]), ("w0", w0[:m]), ("w1", w1[:m])):
+                    c = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    start, end = words(data)
+                    grams = picked(data, start, end, min_words)
+                    place = grams & np.uint64(len(bits) * 64 - 1)
+                    near = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                    a = np.concatenate([at[:-1], start[near]])
+                    z = np.concatenate([at[1:], end[near + min_words - 1]])
+                    digests = np.array([digest(raw[i:j]) for i, j in zip(a.tolist(), z.tolist(), strict=True)], np.uint64).view(np.int64)
+                    lengths = np.where(np.arange(len(a)) < len(at) - 1, z - a, a - z)
+                    spans = (c[a].astype(np.int64) << 32) | c[z]
+                for name, values in (("uid", np.full(len(spans), uid)), ("digest", digests), ("bytes", lengths), ("span", spans)):
                     out[name].append(values)
-                out["key"] += [key_] * m
+                out["key"] += [key_] * len(spans)
             return {k: v if k == "key" else np.concatenate(v) if k != "digest" or all(x[0] is not None for x in v) else [y for x in v for y in x] for k, v in out.items()} if out["uid"] else None
 
         return step
 
-    return arrow_rows(docs.select(F.monotonically_increasing_id(), docs[key].cast("long"), text_or_empty(text)), make, schema)
+    return arrow_rows(docs.select(F.monotonically_increasing_id(), docs[key].cast("long"), text_or_empty(text)), make, schema, rows=100)
 
 
 def repeats(docs: DataFrame, min_words: int = 50, reach: int = 20, longest: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_chunks, n_repeated, repeated_chars, has_repeat, first_copy, passages and removable.
 
-    A chunk is repeated if its digest and length stand in another document. Repeated chunks that follow each other are a
-    passage: passages lists [start, end) code points of those that may be of ``min_words`` words or more, which are measured with
-    the chunks before and after, as their ends lie in those. has_repeat tells that there is one. removable are the passages' parts
-    whose first copy stands in an earlier row; dropping those leaves one copy of each. first_copy tells that there are passages
-    and that none of them is removable.
+    A chunk is repeated if its digest and length stand in another document. Passages are exact and don't depend on the cuts: every window
+    of ``min_words`` words that another document holds, byte for byte, belongs to one, and passages lists [start, end) code points
+    of such windows, those that overlap as one. Only windows whose picked gram stands in two documents are compared, which all repeated
+    ones do. has_repeat tells that there is a passage. removable are the parts whose windows' first copy stands in an
+    earlier row; dropping those leaves a copy of each word of the passages. first_copy tells that there are passages and that
+    none of them is removable.
 
     Null and empty texts have one empty chunk, which repeats nothing. Repeated rows are documents of their own. Other
     columns aren't read; an empty table gives no rows. Digests are counted before they meet, so a passage that a third of all
     documents hold is a few rows of each task; the join that follows deals a frequent digest's rows out again.
     """
-    rows = checkpointed(chunks(docs, reach, longest, text, key))
+    rows = checkpointed(chunks(docs, reach, longest, min_words, text, key))
     known = rows.where(F.col("digest").isNotNull())
     seen = known.groupBy("digest", "bytes").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
     twice = checkpointed(seen.where("first < last").select("digest", "bytes", "first"))
-    same = known.select("uid", "digest", "bytes", "c0", "c1", "w0", "w1").join(twice, ["digest", "bytes"])
-    part = F.struct("c0", "c1", "w0", "w1", (F.col("first") < F.col("uid")).alias("later"))
-    found = same.groupBy("uid").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    kind = "array<struct<c0:int,c1:int,w0:int,w1:int,later:boolean>>"
-    runs = F.aggregate(
-        "parts", F.array().cast(kind),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["c1"] == p["c0"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["c0"].alias("c0"), p["c1"].alias("c1"), F.element_at(acc, -1)["w0"].alias("w0"), p["w1"].alias("w1"), (F.element_at(acc, -1)["later"] | p["later"]).alias("later"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
-    long_runs = F.filter(runs, lambda r: r["w1"] - r["w0"] >= min_words)
-    span = lambda r: F.struct(r["c0"].alias("start"), r["c1"].alias("end"))
-    per = found.select(
-        "uid", F.size("parts").cast("long").alias("n_repeated"), F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["c1"] - p["c0"]).alias("repeated_chars"),
-        F.transform(long_runs, span).alias("passages"), F.transform(F.filter("parts", lambda p: p["later"]), span).alias("later"),
+    same = known.select("uid", "digest", "bytes", "span").join(twice, ["digest", "bytes"])
+    low = F.lit((1 << 32) - 1)
+    part = F.struct(
+        F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(low).cast("int").alias("end"), (F.col("first") < F.col("uid")).alias("later")
     )
-    inside = F.filter("later", lambda r: F.exists("passages", lambda p: (r["start"] >= p["start"]) & (r["end"] <= p["end"])))
-    heads = rows.where("c0 = 0").groupBy("uid").agg(F.any_value("key").alias("key"), F.max("n").alias("n_chunks"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    whole = F.col("bytes") >= 0
+    length = F.when(whole, F.col("span").bitwiseAND(low) - F.shiftright("span", 32)).otherwise(0)
+    found = same.groupBy("uid").agg(F.count(F.when(whole, 1)).alias("n_repeated"), F.sum(length).alias("repeated_chars"), F.array_sort(F.collect_list(F.when(~whole, part))).alias("windows"))
+    kind = "array<struct<start:int,end:int>>"
+
+    def joined(windows):
+        last = lambda acc: F.get(acc, F.size(acc) - 1)
+        return F.aggregate(
+            windows, F.array().cast(kind),
+            lambda acc, p: F.when(
+                (F.size(acc) > 0) & (last(acc)["end"] >= p["start"]),
+                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], p["end"]).alias("end")))),
+            ).otherwise(F.concat(acc, F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"))))),
+        )
+
+    per = found.select("uid", "n_repeated", "repeated_chars", joined("windows").alias("passages"), joined(F.filter("windows", lambda w: w["later"])).alias("removable"))
+    heads = rows.where("bytes >= 0").groupBy("uid").agg(F.any_value("key").alias("key"), F.count("*").alias("n_chunks"))
+    none = F.array().cast(kind)
     return (
-        heads.join(per.withColumn("removable", inside), "uid", "left")
+        heads.join(per, "uid", "left")
         .select(
             F.col("key").alias(key), F.col("n_chunks").cast("long").alias("n_chunks"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).alias("repeated_chars"),
             F.coalesce(F.size("passages") > 0, F.lit(False)).alias("has_repeat"), F.coalesce((F.size("passages") > 0) & (F.size("removable") == 0), F.lit(False)).alias("first_copy"),

@@ -281,6 +281,21 @@ def test_passages_that_repeat_are_found_and_others_not(spark):
             assert texts[i][s["start"] : s["end"]].strip() in passages[i // 2]
 
 
+@pytest.mark.parametrize("letters", [(1, 1), (6, 6), (2, 9)])
+def test_passages_are_measured_exactly(spark, letters):
+    rnd = random.Random(12)
+    prose = lambda n: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(*letters))) for _ in range(n))
+    short = [prose(49) for _ in range(40)]
+    long = [prose(n) for n in range(50, 59) for _ in range(20)]
+    texts = [f"{prose(40)} Q{k} ({p}) R{k} {prose(30)}" for p in short + long for k in range(2)]
+    found = {r["doc_id"]: r for r in substrings.repeats(documents(spark, texts)).collect()}
+    assert not any(found[i]["has_repeat"] for i in range(80)) and all(found[i]["has_repeat"] for i in range(80, len(texts)))
+    for i in range(80, len(texts)):
+        (s,) = found[i]["passages"]
+        assert texts[i][s["start"] : s["end"]] == long[(i - 80) // 2]
+        assert found[i]["first_copy"] == (i % 2 == 0) and found[i]["removable"] == ([] if i % 2 == 0 else [s])
+
+
 @pytest.mark.parametrize("name", ["op3_licences", "op5_jaccard", "op6_embedding_near_dedup", "op8_decontamination", "op9_chat"])
 def test_agrees_with_sql(spark, name):
     from kinweave.llm import registry
