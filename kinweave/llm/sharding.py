@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,18 +12,45 @@ from kinweave.llm.common import checkpointed, read, text_or_empty
 BUCKET_ROWS = 500_000
 
 
-def numbered(df: DataFrame, by: str, unique: str, total: int, name: str) -> DataFrame:
-    """``df`` with a gapless number from 0 within each ``by``, dealt over many tasks.
+def numbered(df: DataFrame, by: str, unique: str, total: int, name: str, weight: str | None = None) -> DataFrame:
+    """``df`` with a gapless number from 0 within each ``by``, dealt over many tasks; with ``weight``, the sum of the weights before a row.
 
     Rows fall into hash buckets; a window numbers each bucket, and the buckets' counts, of which there are at most
     max(32, total / BUCKET_ROWS) for each value of ``by``, give what to add.
     """
     buckets = max(32, total // BUCKET_ROWS)
+    size = F.col(weight) if weight else F.lit(1).cast("long")
     df = df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), unique), F.lit(buckets)))
-    counts = df.groupBy(by, "bucket").agg(F.count("*").alias("n"))
-    before = counts.select(by, "bucket", (F.sum("n").over(W.partitionBy(by).orderBy("bucket")) - F.col("n")).alias("offset"))
-    inside = F.row_number().over(W.partitionBy(by, "bucket").orderBy(unique)) - 1
-    return df.withColumn("inside", inside).join(F.broadcast(before), [by, "bucket"]).withColumn(name, F.col("inside") + F.col("offset")).drop("bucket", "inside", "offset")
+    counts = df.groupBy(by, "bucket").agg(F.sum(size).alias("held"))
+    before = counts.select(by, "bucket", (F.sum("held").over(W.partitionBy(by).orderBy("bucket")) - F.col("held")).alias("before"))
+    inside = F.sum(size).over(W.partitionBy(by, "bucket").orderBy(unique).rowsBetween(W.unboundedPreceding, W.currentRow)) - size
+    return df.withColumn("inside", inside).join(F.broadcast(before), [by, "bucket"]).withColumn(name, F.col("inside") + F.col("before")).drop("bucket", "inside", "before")
+
+
+def shard_at(place: Column, rooms: list[int]) -> Column:
+    """The shard of a place, where the shards' rooms lie behind one another."""
+    out, end = F.lit(0), 0
+    for r in rooms[:-1]:
+        end += r
+        out = out + (place >= end).cast("int")
+    return out
+
+
+def left(rooms: list[int], placed: DataFrame) -> list[int]:
+    here = dict(placed.groupBy("shard").count().collect())
+    return [r - here.get(s, 0) for s, r in enumerate(rooms)]
+
+
+def laid(docs: DataFrame, groups: DataFrame, rooms: list[int], total: int) -> DataFrame:
+    """``docs`` with the shard that they have if their ``groups`` (gid, n) lie one after another in the rooms, so that fewer groups are cut than there are shards."""
+    lines = numbered(groups.withColumn("all", F.lit(0)), "all", "gid", total, "start", "n")
+    lines = checkpointed(lines.select(F.col("gid").alias("g"), "start", shard_at(F.col("start"), rooms).alias("shard"), shard_at(F.col("start") + F.col("n") - 1, rooms).alias("last")))
+    cut = lines.where(F.col("shard") != F.col("last"))
+    names = [r["g"] for r in cut.select("g").collect()]
+    columns = [docs[c] for c in docs.columns]
+    whole = docs.where(~F.col("gid").isin(names)).join(lines, F.col("gid") == F.col("g")).select(*columns, "shard")
+    parts = numbered(docs.where(F.col("gid").isin(names)), "gid", "uid", total, "rank").join(F.broadcast(cut), F.col("gid") == F.col("g"))
+    return checkpointed(whole.unionByName(parts.select(*docs.columns, shard_at(F.col("start") + F.col("rank"), rooms).alias("shard"))))
 
 
 def propagate(nodes: DataFrame, targets: list[int], rounds: int = 12) -> DataFrame:
@@ -31,7 +58,8 @@ def propagate(nodes: DataFrame, targets: list[int], rounds: int = 12) -> DataFra
 
     In each round a document wants the shard that holds most of its neighbours, of those with room; ties go by a hash of the
     group. A shard with less room than wishes accepts its share of them by a hash of the document. What it holds never
-    counts more than its target but by chance of that hash, which ``assign`` mends exactly. Rounds end when nothing moves.
+    counts more than its target but by chance of that hash, which ``assign`` mends exactly. Rounds end when nothing moves. Where
+    there is little room, groups stay split however many rounds there are; ``assign`` lays those anew.
     """
     shards = len(targets)
     for turn in range(rounds):
@@ -56,8 +84,10 @@ def propagate(nodes: DataFrame, targets: list[int], rounds: int = 12) -> DataFra
 def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, size, text_crc32, law, shard, slot, grown_shard. The law is ``rows``.
 
-    Equal texts are linked. Their documents propagate labels; documents without links fill the shards up to counts that are
-    at most one apart. A group that is larger than a shard is spread over as few as hold it. Null texts are empty texts (size
+    Equal texts are linked. Groups that are larger than a shard are laid first, over as few shards as hold them, or one more. The
+    documents of the others propagate labels. Groups that this leaves split, or for which a shard has no room, are taken out and
+    laid one after another into what is free, so that fewer of them are cut than there are shards, even if all documents
+    have copies. Documents without links fill the shards up to counts that are at most one apart. Null texts are empty texts (size
     1, checksum 0); null keys and repeated rows are documents as any other; other columns aren't read.
     An empty table gives no rows. Slots are numbered from 0 in each shard without gaps.
     """
@@ -70,22 +100,24 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     total = base.count()
     targets = [total // shards + (s < total % shards) for s in range(shards)]
     groups = checkpointed(base.groupBy("g1", "g2", "size").agg(F.count("*").alias("n"), F.min("uid").alias("gid")))
-    keep = ["key", "size", "text_crc32", "uid"]
-    both = checkpointed(base.join(groups, ["g1", "g2", "size"]).select(*keep, "gid", "n"))
-    linked = both.where("n > 1").select(*keep, "gid", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
-    placed = numbered(propagate(checkpointed(linked), targets), "shard", "uid", total, "slot")
-    placed = checkpointed(placed.select(*keep, "shard", "slot"))
-    target = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("shard") + 1)
-    here = dict(placed.where(F.col("slot") < target).groupBy("shard").count().collect())
-    spare = both.where("n = 1").select(*keep).unionByName(placed.where(F.col("slot") >= target).select(*keep))
-    spare = numbered(spare.withColumn("all", F.lit(0)), "all", "uid", total, "place")
-    shard, slot, start = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
-    for s, t in enumerate(targets):
-        missing = t - here.get(s, 0)
-        inside = F.col("place").between(start, start + missing - 1)
-        shard, slot = F.when(inside, F.lit(s)).otherwise(shard), F.when(inside, F.col("place") - start + here.get(s, 0)).otherwise(slot)
-        start += missing
-    out = placed.where(F.col("slot") < target).unionByName(spare.select(*keep, shard.alias("shard"), slot.alias("slot")))
+    keep = ["key", "size", "text_crc32", "uid", "gid"]
+    both = checkpointed(base.join(groups, ["g1", "g2", "size"]).select(*keep, "n"))
+    share, rooms = min(targets), targets
+    large = laid(both.where((F.col("n") > share) & (F.col("n") > 1)).select(*keep), groups.where((F.col("n") > share) & (F.col("n") > 1)).select("gid", "n"), rooms, total)
+    rooms = left(rooms, large)
+    linked = both.where((F.col("n") > 1) & (F.col("n") <= share)).select(*keep, shard_at(F.pmod(F.xxhash64("uid"), F.lit(max(1, sum(rooms)))), rooms).alias("shard"))
+    moved = checkpointed(propagate(checkpointed(linked), rooms))
+    held = moved.groupBy("gid").agg(F.min("shard").alias("shard"), F.max("shard").alias("other"), F.count("*").alias("n"))
+    held = checkpointed(numbered(held.withColumn("whole", F.when(F.col("shard") == F.col("other"), F.col("shard")).otherwise(-1)), "whole", "gid", total, "start", "n"))
+    room = F.element_at(F.array(*[F.lit(r) for r in rooms]), F.col("shard") + 1)
+    fits = (F.col("whole") >= 0) & (F.col("start") + F.col("n") <= room)
+    marked = checkpointed(moved.join(held.select(F.col("gid").alias("g"), fits.alias("fits")), F.col("gid") == F.col("g")).select(*keep, "shard", "fits"))
+    kept = marked.where("fits").drop("fits")
+    rooms = left(rooms, kept)
+    rest = laid(marked.where("not fits").select(*keep), held.where(~fits).select("gid", "n"), rooms, total)
+    rooms = left(rooms, rest)
+    single = numbered(both.where("n = 1").select(*keep).withColumn("all", F.lit(0)), "all", "uid", total, "place").select(*keep, shard_at(F.col("place"), rooms).alias("shard"))
+    out = numbered(large.unionByName(kept).unionByName(rest).unionByName(single), "shard", "uid", total, "slot")
     return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

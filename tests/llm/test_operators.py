@@ -129,6 +129,18 @@ def test_shards_are_even_and_keep_copies_together(spark, hot):
     assert len(where["copy"]) <= -(-hot * 4 // n) + 1 and sum(t != "copy" for t in split) <= 4
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_copies_stay_together_if_every_document_has_one(spark, copies):
+    texts = [f"text {i // copies}" for i in range(4000)]
+    rows = sharding.assign(documents(spark, texts), 8).collect()
+    count, where = {}, {}
+    for r in rows:
+        count.setdefault(r["shard"], []).append(r["slot"])
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert len(rows) == 4000 and len(count) == 8 and all(sorted(v) == list(range(500)) for v in count.values())
+    assert sum(len(s) > 1 for s in where.values()) < 8
+
+
 def plain_links(sets, threshold):
     return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) * 10 >= threshold * 10 * len(sets[a] | sets[b])]
 
