@@ -203,6 +203,25 @@ def test_embedding_links_are_those_of_all_pairs(spark):
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("groups", [1, 4])
+def test_embedding_pairs_are_found_in_cones(spark, groups):
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(groups):
+        centre = rng.standard_normal(64)
+        x = 3 * centre / np.linalg.norm(centre) + rng.standard_normal((8000 // groups, 64)) / 8
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        off = rng.standard_normal((300, 64))
+        off -= (off * x[:300]).sum(axis=1, keepdims=True) * x[:300]
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        rows += [*x, *(0.981 * x[:300] + np.sqrt(1 - 0.981**2) * off)]
+    x = np.array(rows)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    links = (x @ x.T >= 0.98).sum(axis=1) - 1
+    assert sum(found.values()) <= links.sum() and sum(found.values()) >= 0.995 * links.sum()
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
