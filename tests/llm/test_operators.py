@@ -102,6 +102,17 @@ def test_toxic_words_are_learnt_and_deobfuscated(spark):
     assert all(abs(again[i] - r["score"]) < 1e-9 for i, r in found.items())
 
 
+def test_mixed_final_and_doubled_forms_are_restored(spark):
+    rnd = random.Random(6)
+    words = ["moron", "idiot", "tras", "trash", "die", "scoundrel", *("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(60))]
+    model = toxicity.language_model(documents(spark, [" ".join(rnd.choices(words, k=40)) for _ in range(200)]))
+    forms = {"m 0 r 0 n": "moron", "1 d 1 0 t": "idiot", "di3": "die", "iddiott": "idiot", "m  o  r  o  n": "moron", "m/o/r/o/n": "moron", "i.d.\ni.o.t": "idiot", "sc0undr3l": "scoundrel", "tras5": "tras"}
+    for form, word in forms.items():
+        readings = toxicity.Restorer(model).restored(f"una {form} una")
+        assert word in readings.replace(f"una {form} una", "", 1), form
+    assert toxicity.Restorer(model).restored("Una trash una") == "una trash una"
+
+
 def test_licence_places(spark):
     texts = ["The MIT-license, MIT License; mit licenses", "GNU General Public License and Apache License", "licensed under the very apache license version 2 0 truly", "nothing"]
     rows = {r["doc_id"]: r for r in licences.scan(documents(spark, texts)).collect()}
