@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -22,14 +23,58 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: its rows are written to the session's checkpoint folder, which all executors share."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Only a local master may do without one that the session names."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kinweave-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut: its rows are written to the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the session's checkpoint folder: it cuts the lineage as well, is packed, and is read by column."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """What an associative ``step`` makes of all values before each place of an array, and of all of them at the end: one entry more than values.
+
+    An array that grows by one in a fold is copied each time, so the array is cut into about sqrt(n) blocks of that length, and
+    n ** 1.5 entries are copied.
+    """
+    kinds = f"array<{kind}>"
+
+    def fold(block: Column, begin: Column) -> Column:
+        return F.aggregate(block, F.struct(begin.cast(kind).alias("at"), F.array().cast(kinds).alias("out")), lambda a, x: F.struct(step(a["at"], x).cast(kind).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / w).cast("int")), lambda b: F.slice(v, b * w + 1, w)))
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, start.cast(kind), lambda a, x: step(a, x).cast(kind)))
+        before = let(fold(totals, start), lambda t: F.concat(t["out"], F.array(t["at"])))
+        return let(before, lambda o: F.concat(F.flatten(F.transform(blocks, lambda b, i: fold(b, F.get(o, i))["out"])), F.array(F.element_at(o, -1))))
+
+    return let(values, lambda v: let(cut(v), whole))
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

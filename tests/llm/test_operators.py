@@ -125,6 +125,15 @@ def test_licence_places(spark):
     assert "apache-line" in rows[2]["labels"] and 0.6 <= rows[2]["score"] <= 1  # a word put in
 
 
+def test_licence_spans_are_verified(spark):
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    texts = ["licensed under cc. " * 3, "apache license version; " * 5, "cc by nc and under cc by so licensed under cc", f"Here: {notice} AND ASSOCIATED documentation files, the software, to deal in the software without restriction.", "mit license " * 9000, "licensed under " * 9000]
+    rows = {r["doc_id"]: r for r in licences.scan(documents(spark, texts)).collect()}
+    assert [rows[i]["labels"] for i in range(4)] == ["", "apache", "", "mit-text"] and rows[3]["score"] < 1
+    assert (rows[4]["n_base"], rows[4]["last_word"], rows[4]["labels"], rows[5]["labels"]) == (9000, 17998, "mit", "")
+    assert licences.scan(documents(spark, texts), notices={"word": "one", "x y z": "own"}).where("labels != base_labels").count() == 0
+
+
 @pytest.mark.parametrize("hot", [3, 60])
 def test_shards_are_even_and_keep_copies_together(spark, hot):
     texts = ["copy"] * hot + [f"pair {i // 2}" for i in range(40)] + [f"single {i}" for i in range(57)]
