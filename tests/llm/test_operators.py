@@ -126,7 +126,7 @@ def test_licence_places(spark):
 
 
 def test_licence_spans_are_verified(spark):
-    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software"
+    notice = "permission is hereby granted free of all charge to any person obtaining a copy of this software"
     texts = ["licensed under cc. " * 3, "apache license version; " * 5, "cc by nc and under cc by so licensed under cc", f"Here: {notice} AND ASSOCIATED documentation files, the software, to deal in the software without restriction.", "mit license " * 9000, "licensed under " * 9000]
     rows = {r["doc_id"]: r for r in licences.scan(documents(spark, texts)).collect()}
     assert [rows[i]["labels"] for i in range(4)] == ["", "apache", "", "mit-text"] and rows[3]["score"] < 1
