@@ -47,6 +47,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Code points of a block of a text that is read in many places.
+BLOCK = 1024
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK code points. A place in a string is found by counting from its start, so many places of a long one are read from these."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in blocks."""
+    a, z = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    first, last = start.cast("int") % BLOCK, end.cast("int") % BLOCK
+    part = lambda b: F.coalesce(F.get(blocks, b), F.lit(""))
+    inside = F.substring(part(a), first + 1, last - first)
+    return F.when(a == z, inside).otherwise(F.concat(F.substring(part(a), first + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, a + 2, F.greatest(z - a - 1, F.lit(0))), ""), F.substring(part(z), F.lit(1), last)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -1,13 +1,14 @@
-"""PII by weak supervision: labelers vote on candidate spans, expectation-maximisation estimates how far each can be trusted, and a classifier decides. Spark expressions only."""
+"""PII by weak supervision: labelers vote on candidate spans, expectation-maximisation estimates how far each can be trusted, and a classifier that is trained on its estimates decides. Spark expressions only."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import read, text_or_empty, whole_row
+from kinweave.llm.common import between, blocks_of, let, read, running, text_or_empty, whole_row
 
 KINDS = ("email", "ip", "card", "phone", "national", "secret")
 BASE = KINDS[:4]
@@ -28,8 +29,8 @@ GAZETTEER = {
     "ip": r"^(?!0|127\.|255\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "national": r"^\(?[2-9]",
-    "secret": r"(?i)[0-9].*[a-z]|[a-z].*[0-9]",
+    "national": r"^\(?[2-9][0-8]",
+    "secret": r"(?i)^(?!.*[=:]\x20*\x22?(?:example|changeme|placeholder|password|secret|your|x{4}|\*{4}|1234)).",
 }
 #: Words that stand before such data.
 CONTEXT = {
@@ -44,21 +45,33 @@ BEFORE = 32
 
 
 def spans_of(text: Column, pattern: str, guard: str) -> Column:
-    """array<struct<start, end, value, before>> of the leftmost non-overlapping matches: code points, ends exclusive.
+    """array<struct<start, end, value, before, last, next>> of the leftmost non-overlapping matches: code points, ends exclusive.
 
-    The pieces between the matches and the matches themselves alternate, so their lengths add up to the places.
+    before is the end of what stands between the match and the one before it, last the character before the match, next the one behind it.
+    The pieces between the matches and the matches alternate, so their lengths add up to the places.
     """
-    kind = "array<struct<start:int,end:int,value:string>>"
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
-    placed = F.aggregate(
-        both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(guard), placed).otherwise(F.array().cast(kind))
+    kind = "array<struct<start:int,end:int,value:string,before:string,last:string,next:string>>"
+
+    def placed(x: Column) -> Column:
+        p, m = x["pieces"], x["found"]
+        sums = running(F.transform(m, lambda v, i: F.length(F.get(p, i)) + F.length(v)), F.lit(0), lambda s, n: s + n)
+
+        def span(sums: Column) -> Column:
+            def of(v: Column, i: Column) -> Column:
+                before, behind = F.get(p, i), F.get(p, i + 1)
+                last = F.when(before != "", F.substring(before, -1, 1)).otherwise(F.coalesce(F.substring(F.get(m, i - 1), -1, 1), F.lit("")))
+                after = F.when(behind != "", F.substring(behind, 1, 1)).otherwise(F.coalesce(F.substring(F.get(m, i + 1), 1, 1), F.lit("")))
+                return F.struct(
+                    (F.get(sums, i) + F.length(before)).alias("start"), F.get(sums, i + 1).alias("end"), v.alias("value"),
+                    F.substring(before, -BEFORE, BEFORE).alias("before"), last.alias("last"), after.alias("next"),
+                )
+
+            return F.transform(m, of)
+
+        return let(sums, span)
+
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(guard), let(both, placed)).otherwise(F.array().cast(kind))
 
 
 def digits(value: Column) -> Column:
@@ -73,7 +86,7 @@ def luhn(value: Column) -> Column:
 
 
 def valid(kind: str, value: Column) -> Column:
-    """Whether the checks on a match of this kind hold; kinds that the method adds have none beyond their pattern."""
+    """Whether the checks on a match of this kind hold: those of the base kinds decide, those of added kinds are votes."""
     if kind == "ip":
         # A part of any length is at most 255 if it is so without its leading zeros.
         return F.forall(F.split(value, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", "").rlike("^(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
@@ -81,27 +94,46 @@ def valid(kind: str, value: Column) -> Column:
         return F.when(F.length(digits(value)).between(13, 19), luhn(value)).otherwise(False)
     if kind == "phone":
         return F.length(digits(value)).between(9, 15)
-    return F.lit(True)
+    if kind == "national":  # neither an area nor an exchange begins with 0 or 1, nor is it a service number
+        return digits(value).rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)")
+    if kind == "email":
+        return F.lit(True)
+    return F.regexp_extract(value, r"[=:]\x20*(.*)$", 1).rlike(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")
+
+
+VOTES = ("regex", "gazetteer", "context", "shape")
+#: What the classifier sees of a span besides the votes, and the values that each can have.
+FEATURES = {"length": 4, "digits": 4, "upper": 2, "signs": 2, "dull": 2, "assigned": 2}
+
+
+def features(s: Column) -> list[Column]:
+    value, n = s["value"], F.length(s["value"])
+    share = F.length(digits(value)) / n
+    bucket = lambda x, ends: sum([(x >= e).cast("int") for e in ends[1:]], (x >= ends[0]).cast("int"))
+    return [
+        bucket(n, (10, 16, 24)), bucket(share, (0.01, 0.4, 0.75)), value.rlike("[A-Z]").cast("int"), value.rlike("[^A-Za-z0-9.]").cast("int"),
+        value.rlike(r"([A-Za-z0-9])\1{4}").cast("int"), s["before"].rlike(r"[=:]\s*$").cast("int"),
+    ]
 
 
 def candidates(docs: DataFrame, text: str, key: str, row: bool = False) -> DataFrame:
-    """(key, t, c): the candidate spans of each row with the votes of the labelers: 1 for, -1 against, 0 for none.
+    """(key, t, c): the candidate spans of each row with the votes of the labelers, 1 for, -1 against, 0 for none, and the classifier's features.
 
-    regex: the checks on the value, which speak against if they fail. gazetteer: known beginnings or endings. context: a cue
-    before the span. shape: letters or digits that touch the span speak against it.
+    regex: the checks on the value, which speak against if they fail. gazetteer: known beginnings or endings, or
+    common placeholders. context: a cue before the span. shape: letters or digits that touch the span speak against it.
     """
     body = text_or_empty(text)
     rows = docs.select(docs[key].cast("long").alias("key"), body.alias("t"), *[whole_row(docs)][:row])
 
     def voted(kind: str):
         def votes(s: Column) -> Column:
-            touching = F.substring("t", F.greatest(s["start"], F.lit(1)), F.when(s["start"] > 0, 1).otherwise(0)).rlike(r"[\p{L}0-9]") | F.substring("t", s["end"] + 1, F.lit(1)).rlike(r"[\p{L}0-9]")
-            before = F.substring("t", F.greatest(s["start"] - BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(BEFORE)))
+            touching = s["last"].rlike(r"[\p{L}0-9]") | s["next"].rlike(r"[\p{L}0-9]")
             passed = valid(kind, s["value"])
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("k"), s["start"].alias("start"), s["end"].alias("end"), (passed if kind in BASE else F.lit(False)).alias("base"),
                 F.when(passed, 1).otherwise(-1).alias("regex"), F.when(s["value"].rlike(GAZETTEER[kind]), 1).otherwise(-1).alias("gazetteer"),
-                F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0).alias("context"), F.when(touching, -1).otherwise(0).alias("shape"),
+                F.when(s["before"].rlike(CONTEXT[kind]), 1).otherwise(0).alias("context"), F.when(touching, -1).otherwise(0).alias("shape"),
+                *[f.alias(name) for name, f in zip(FEATURES, features(s), strict=True)],
             )
 
         return votes
@@ -110,32 +142,67 @@ def candidates(docs: DataFrame, text: str, key: str, row: bool = False) -> DataF
     return rows.select("key", "t", F.concat(*found).alias("c"), *["row"][:row])
 
 
-VOTES = ("regex", "gazetteer", "context", "shape")
-
-
-def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict[int, float], dict[tuple[int, str, int], float]]:
-    """Prior of each kind, and log-likelihood ratio of each (kind, labeler, vote), by expectation-maximisation over counts of vote patterns.
+def label_model(counts: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
+    """The chance that a candidate of each vote pattern (kind and votes) is true, by expectation-maximisation over the patterns' counts.
 
     A pattern's first guess is the share of its votes that speak for it. In each round the labelers' rates follow from the
-    guesses, one added to each count, and the guesses from the rates, as the votes are independent given the truth.
+    guesses, and the guesses from the rates, as the votes are independent given the truth; it ends when no guess moves by 1e-7.
+    Three made-up votes for each labeler, which agree with the truth, tell which of the two classes is the true one.
     """
-    guess = {(k, v): (1 + sum(x > 0 for x in v)) / (2 + sum(x != 0 for x in v)) for k, v, _ in counts}
-    prior: dict[int, float] = {}
-    ratio: dict[tuple[int, str, int], float] = {}
-    for _ in range(rounds):
-        for k in {k for k, _, _ in counts}:
-            own = [(v, n, guess[k, v]) for kind, v, n in counts if kind == k]
+    guess = {p: (1 + sum(x > 0 for x in p[1:])) / (2 + sum(x != 0 for x in p[1:])) for p, _ in counts}
+    while True:
+        new = {}
+        for k in {p[0] for p, _ in counts}:
+            own = [(p[1:], n, guess[p]) for p, n in counts if p[0] == k]
             true, all_ = sum(n * g for _, n, g in own), sum(n for _, n, _ in own)
-            prior[k] = (true + 1) / (all_ + 2)
-            for i, name in enumerate(VOTES):
+            prior = math.log((true + 1) / (all_ - true + 1))
+            ratio = {}
+            for i in range(len(VOTES)):
                 for vote in (-1, 0, 1):
-                    yes = sum(n * g for v, n, g in own if v[i] == vote)
-                    no = sum(n * (1 - g) for v, n, g in own if v[i] == vote)
-                    ratio[k, name, vote] = math.log((yes + 1) / (true + 3)) - math.log((no + 1) / (all_ - true + 3))
+                    yes = sum(n * g for v, n, g in own if v[i] == vote) + (3 if vote > 0 else 1)
+                    no = sum(n * (1 - g) for v, n, g in own if v[i] == vote) + (3 if vote < 0 else 1)
+                    ratio[i, vote] = math.log(yes / (true + 5)) - math.log(no / (all_ - true + 5))
             for v, _, _ in own:
-                logit = math.log(prior[k] / (1 - prior[k])) + sum(ratio[k, name, x] for name, x in zip(VOTES, v, strict=True))
-                guess[k, v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
-    return prior, ratio
+                logit = prior + sum(ratio[i, x] for i, x in enumerate(v))
+                new[k, *v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
+        moved = max((abs(new[p] - guess[p]) for p in new), default=0.0)
+        guess = new
+        if moved < 1e-7:
+            return guess
+
+
+NAMES = (*VOTES, *FEATURES)
+
+
+def classifier(counts: list[tuple[tuple[int, ...], int]], guess: dict[tuple[int, ...], float], ridge: float = 1.0) -> dict[tuple[int, str, int], float]:
+    """Weights (kind, name, value) of one logistic regression for each kind, with the label model's chances as soft labels.
+
+    Its inputs are the votes and the features, each value of each of them a column of its own; "" is the constant. Newton's
+    steps run over the counts of equal candidates, which are bounded whatever the texts.
+    """
+    weights: dict[tuple[int, str, int], float] = {}
+    for k in sorted({p[0] for p, _ in counts}):
+        own = [(p, n) for p, n in counts if p[0] == k]
+        columns = [("", 0), *sorted({(name, v) for p, _ in own for name, v in zip(NAMES, p[1:], strict=True)})]
+        at = {c: i for i, c in enumerate(columns)}
+        x = np.zeros((len(own), len(columns)))
+        x[:, 0] = 1
+        for r, (p, _) in enumerate(own):
+            x[r, [at[c] for c in zip(NAMES, p[1:], strict=True)]] = 1
+        n, y = np.array([n for _, n in own], float), np.array([guess[p[: len(VOTES) + 1]] for p, _ in own])
+        cost = lambda w: (n * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + ridge / 2 * (w @ w)  # noqa: B023, E731
+        w = np.zeros(len(columns))
+        while True:
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            change = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (p - y)) + ridge * w)
+            size = 1.0
+            while size > 1e-6 and cost(w - size * change) > cost(w):
+                size /= 2
+            w = w - size * change
+            if size <= 1e-6 or np.abs(size * change).max() < 1e-7:
+                break
+        weights |= {(k, *c): float(v) for c, v in zip(columns, w, strict=True)}
+    return weights
 
 
 def find(docs: DataFrame, cut: float = 0.5, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
@@ -144,43 +211,51 @@ def find(docs: DataFrame, cut: float = 0.5, text: str = "text", key: str = "doc_
 
     Base spans pass their kind's pattern and checks, and always stay. Of the other candidates, which are matches of the
     kinds that the method adds, those stay to which the classifier gives ``cut`` or more and that no base span overlaps. The
-    classifier is a logistic model of the votes; its weights are the labelers' log-likelihood ratios that EM estimates from all
-    candidates of all rows. Matches that fail the checks of a base kind aren't spans, but their votes count in the estimate.
-    Where spans overlap, the redacted text has one mark for them, of the first.
+    label model's reliabilities come from all candidates of all rows, and the classifier learns from its chances; matches
+    that fail the checks of a base kind aren't spans, but count there. Where spans overlap, the redacted text has one mark for them, of the first.
 
-    The texts are read twice, to count votes and to decide. What reaches the driver is the number of candidates for each kind and
-    vote pattern, of which there are at most 6 x 36. Null and empty texts have no spans; repeated rows and null keys are rows of
-    their own; other columns aren't read.
+    The texts are read twice, to count candidates and to decide. What reaches the driver is the number of candidates of each kind,
+    vote pattern and feature pattern, of which there are at most 6 x 16 x 256. Null and empty texts have no spans; repeated rows
+    and null keys are rows of their own; other columns aren't read. Work grows with the length of a text and the 1.5th power of its spans.
     """
-    patterns = candidates(docs, text, key).select(F.explode("c").alias("c")).groupBy("c.k", *[f"c.{v}" for v in VOTES]).count().collect()
-    prior, ratio = reliabilities(sorted((r[0], tuple(r[1:5]), r[5]) for r in patterns))
-    table = F.create_map(*[F.lit(x) for (k, name, vote), w in ratio.items() for x in (f"{k}{name}{vote}", w)]) if ratio else F.create_map(F.lit(""), F.lit(0.0))
-    start = F.array(*[F.lit(math.log(prior[k] / (1 - prior[k])) if k in prior else 0.0) for k in range(len(KINDS))])
+    patterns = candidates(docs, text, key).select(F.explode("c").alias("c")).groupBy("c.k", *[f"c.{v}" for v in NAMES]).count().collect()
+    counts = sorted((tuple(r[:-1]), r[-1]) for r in patterns)
+    votes: dict[tuple[int, ...], int] = {}
+    for p, n in counts:
+        votes[p[: len(VOTES) + 1]] = votes.get(p[: len(VOTES) + 1], 0) + n
+    weights = classifier(counts, label_model(sorted(votes.items())))
+    table = F.create_map(*[F.lit(x) for (k, name, value), w in weights.items() for x in (f"{k}{name}{value}", w)]) if weights else F.create_map(F.lit("-"), F.lit(0.0))
 
     def scored(c: Column) -> Column:
-        logit = F.get(start, c["k"])
-        for name in VOTES:
-            logit = logit + F.coalesce(F.element_at(table, F.concat(c["k"].cast("string"), F.lit(name), c[name].cast("string"))), F.lit(0.0))
-        return F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score"))
-
-    rows = candidates(docs, text, key, row)
-    rows = rows.withColumn("c", F.transform("c", scored)).withColumn("base", F.filter("c", lambda c: c["base"]))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.filter("c", lambda c: (c["k"] >= len(BASE)) & (c["score"] >= cut) & free(c))
+        weight = lambda *of: F.coalesce(F.element_at("weights", F.concat(c["k"].cast("string"), *of)), F.lit(0.0))
+        logit = weight(F.lit("0"))
+        for name in NAMES:
+            logit = logit + weight(F.lit(name), c[name].cast("string"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["k"].alias("k"), c["base"].alias("base"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))).alias("score"))
+
+    def free(s: Column) -> Column:
+        """Without the added spans that a base span overlaps: s is in order, so those before end too late or those behind begin too early."""
+        far = F.lit((1 << 31) - 1)
+        before = running(F.transform(s, lambda c: F.when(c["base"], c["end"]).otherwise(0)), F.lit(0), F.greatest)
+        behind = running(F.transform(F.reverse(s), lambda c: F.when(c["base"], c["start"]).otherwise(far)), far, F.least)
+        return let(before, lambda b: let(behind, lambda e: F.filter(s, lambda c, i: c["base"] | ((c["start"] >= F.get(b, i)) & (c["end"] <= F.get(e, F.size(s) - 1 - i))))))
+
+    rows = candidates(docs, text, key, row).withColumn("weights", table)
+    sure = F.array_sort(F.filter(F.transform("c", scored), lambda c: c["base"] | ((c["k"] >= len(BASE)) & (c["score"] >= cut))))
+    rows = rows.withColumn("s", F.when(F.size("c") > 0, let(sure, free)).otherwise(F.array().cast("array<struct<start:int,end:int,k:int,base:boolean,score:double>>")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    spans = F.transform(F.array_sort(F.concat("base", added)), lambda c: F.struct(F.get(names, c["k"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["score"].alias("score")))
-    rows = rows.withColumn("spans", spans)
-    placed = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    built = F.aggregate(
-        placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring("t", acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("t", acc["at"] + 1, F.length("t"))),
-    )
-    redacted = F.when(F.size("spans") == 0, F.col("t")).otherwise(built)
-    return rows.select(F.col("key").alias(key), "spans", redacted.alias("redacted"), *["row"][:row])
+    in_kinds = F.array_sort(F.transform("s", lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["score"].alias("score"))))
+    spans = F.transform(in_kinds, lambda c: F.struct(F.get(names, c["k"]).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["score"].alias("score")))
+
+    def built(blocks: Column) -> Column:
+        def around(done: Column) -> Column:  # done: how far the spans before each reach
+            gap = lambda c, i: F.when(c["start"] >= F.get(done, i), F.concat(between(blocks, F.get(done, i), c["start"]), F.lit("["), F.upper(F.get(names, c["k"])), F.lit("]"))).otherwise("")
+            return F.concat(F.array_join(F.transform("s", gap), ""), between(blocks, F.element_at(done, -1), F.length("t")))
+
+        return let(running(F.transform("s", lambda c: c["end"]), F.lit(0), F.greatest), around)
+
+    redacted = F.when(F.size("s") == 0, F.col("t")).otherwise(let(blocks_of(F.col("t")), built))
+    return rows.select(F.col("key").alias(key), spans.alias("spans"), redacted.alias("redacted"), *["row"][:row])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

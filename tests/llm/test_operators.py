@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -269,6 +270,26 @@ def test_added_spans_and_redaction(spark):
     assert (rows[0], rows[1], rows[2]) == ("call [NATIONAL] now", "mail [EMAIL], token = 'no' [SECRET]", "plain")
 
 
+def test_added_kinds_are_told_from_others(spark):
+    rnd = random.Random(4)
+    texts, truth = [], []
+    for i in range(400):
+        n = "".join(rnd.choice("23456789") for _ in range(10))
+        kind = i % 4
+        texts.append([f"please call ({n[:3]}) {n[3:6]}-{n[6:]} today", f"part x{n[:3]}.{'0' + n[4:6]}.{n[6:]}z of it", f"login token = {n[:4]}abC{n[4:]}", "my password: changemenow please"][kind])
+        truth.append(kind in (0, 2))
+    found = {r["doc_id"]: bool(r["spans"]) for r in pii.find(documents(spark, texts)).collect()}
+    assert sum(found[i] == t for i, t in enumerate(truth)) >= 0.98 * len(truth)
+
+
+def test_many_findings_in_one_text(spark):
+    text = "host 10.0.0.1, é a@b.org and (988) 555-2485; " * 8000
+    began = time.time()
+    (r,) = pii.find(documents(spark, [text])).collect()
+    assert len(r["spans"]) == 24000 and r["redacted"] == "host [IP], é [EMAIL] and [NATIONAL]; " * 8000
+    assert time.time() - began < 60
+
+
 def test_window_search_is_a_plain_search(spark):
     rnd = random.Random(6)
     words = ["a", "b", "c", "dd"]
