@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import read
+from kinweave.llm.common import between, blocks_of, let, read, running
 
 #: A turn block is ``<|ROLE|>text<|end|>``; rows of one role that follow each other share a block, parted by ``<|and|>``.
 #: Texts and roles can't hold ``<|``: a backslash is doubled first, then ``<|`` becomes ``<\|``. In roles ``|>`` becomes ``|\>`` too.
@@ -31,41 +31,41 @@ def unescaped_role(role: Column) -> Column:
 def format_conversations(conversations: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, and loss_spans, the [start, end) code points of the trained role's texts.
 
-    Rows stand in order of turn; those of one turn in order of role and text, null turns first. Null roles and texts are empty,
-    repeated rows stay, null ids are one conversation. Other columns aren't read. An empty table gives no rows. Each row of
+    Rows stand in order of turn; those of one turn in order of role and text, null turns first. Adjacent rows of one role are
+    merged into one block by array aggregation: a block begins where the role changes, and holds the slice up to the next. Null roles and
+    texts are empty, repeated rows stay, null ids are one conversation. Other columns aren't read. An empty table gives no rows. Each row of
     ``formatted`` is one conversation, which is as large as its texts; nothing else is gathered.
     """
     turns = conversations.select(
         "conv_id", F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t")
     )
     sorted_turns = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    changes = F.filter(F.transform("turns", lambda t, i: F.when((i == 0) | (F.get("turns", i - 1)["role"] != t["role"]), i)), lambda i: i.isNotNull())
+
+    def block(begins: Column):
+        def merged(i: Column, n: Column) -> Column:
+            end = F.coalesce(F.get(begins, n + 1), F.size("turns"))
+            texts = F.transform(F.slice("turns", i + 1, end - i), lambda t: escaped(t["text"]))
+            return F.struct(F.get("turns", i)["role"].alias("role"), texts.alias("texts"))
+
+        return F.transform(begins, merged)
+
     # pieces: the strings that are concatenated, and whether each is trained on. The first piece of a block holds its mark.
-    n = F.size("turns")
-    pieces = F.flatten(
-        F.transform(
-            "turns",
-            lambda t, i: F.array(
-                F.struct(
-                    F.when((i > 0) & (F.get("turns", i - 1)["role"] == t["role"]), F.lit(AND))
-                    .otherwise(F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(OPEN), escaped_role(t["role"]), F.lit(CLOSE)))
-                    .alias("s"),
-                    F.lit(False).alias("loss"),
-                ),
-                F.struct(escaped(t["text"]).alias("s"), (t["role"] == trained_role).alias("loss")),
-            ),
-        )
-    )
-    pieces = F.concat(pieces, F.array(F.struct(F.when(n > 0, F.lit(END)).otherwise(F.lit("")).alias("s"), F.lit(False).alias("loss"))))
-    out = sorted_turns.select("conv_id", pieces.alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p["s"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    return out.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
+    def laid(b: Column) -> Column:
+        head = F.concat(F.lit(OPEN), escaped_role(b["role"]), F.lit(CLOSE))
+        mark = lambda s: F.struct(s.alias("s"), F.lit(False).alias("loss"))
+        texts = F.transform(b["texts"], lambda t, i: F.array(mark(F.when(i == 0, head).otherwise(F.lit(AND))), F.struct(t.alias("s"), (b["role"] == trained_role).alias("loss"))))
+        return F.concat(F.flatten(texts), F.array(mark(F.lit(END))))
+
+    out = sorted_turns.select("conv_id", let(changes, block).alias("blocks")).select("conv_id", F.flatten(F.transform("blocks", laid)).alias("pieces"))
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def spans(at: Column) -> Column:
+        own = F.transform("pieces", lambda p, i: F.when(p["loss"], F.struct(F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"))))
+        return F.filter(own, lambda s: s.isNotNull()).cast(kind)
+
+    places = running(F.transform("pieces", lambda p: F.length(p["s"]).cast("long")), F.lit(0), lambda a, x: a + x, "long")
+    return out.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), let(places, spans).alias("loss_spans"))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    loss = let(blocks_of(F.col("formatted")), lambda t: F.array_join(F.transform("loss_spans", lambda s: unescaped(between(t, s["start"], s["end"]))), ""))
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted")
 
 

@@ -325,6 +325,22 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).collect() == []
 
 
+def test_long_conversations(spark):
+    texts = ["é😀" * 40, "<|" * 30, "", "x" * 1024]
+    rows = [(1, t, ("user", "assistant", "assistant")[t % 3], texts[t % 4]) for t in range(12_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    began = time.time()
+    (r,) = chat.parse_conversations(chat.format_conversations(df)).collect()
+    assert [(t["role"], t["text"]) for t in r["turns"]] == [x[2:] for x in rows]
+    assert r["loss_text"] == "".join(x[3] for x in rows if x[2] == "assistant") and time.time() - began < 60
+
+
+def test_no_conversations(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    (r,) = chat.op9_chat(spark, str(tmp_path)).collect()
+    assert (r["conv_id"], r["n_turns"], r["loss_chars"]) == (-1, 2, 21)
+
+
 def test_chunks_cover_texts_and_resist_insertions():
     rnd = random.Random(8)
     body = "".join(rnd.choice("abcdefgh é") for _ in range(5000)).encode()
