@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_rows, checkpointed, read, text_or_empty
+from kinweave.llm.common import arrow_rows, checkpointed, let, read, running, text_or_empty, written
 
 GEAR = np.random.default_rng(31_337).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 
@@ -83,7 +84,11 @@ def picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_words: int)
     for shift in (33, 29):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(BASE)
     h ^= h >> np.uint64(32)
-    return np.lib.stride_tricks.sliding_window_view(h, min_words - gram + 1).min(axis=1)
+    most, width = min_words - gram + 1, 1
+    while width * 2 <= most:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[: len(h) - (most - width)], h[most - width :])
 
 
 def shared_grams(docs: DataFrame, min_words: int, text: str) -> np.ndarray:
@@ -113,93 +118,128 @@ def shared_grams(docs: DataFrame, min_words: int, text: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def chunks(docs: DataFrame, reach: int, longest: int, min_words: int, text: str, key: str) -> DataFrame:
-    """One row per chunk: uid, key, its digest and bytes, and its code points, the first in the upper half of ``span`` and the end in the lower.
+SPAN = "a: bigint, b: int, start: int, end: int"
+SCHEMA = f"uid long, key long, chunks array<struct<a: bigint, b: int, end: int>>, runs array<struct<gram: bigint, {SPAN}, windows: array<struct<{SPAN}>>>>"
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """95 bits of the XXH3 digests of the byte ranges."""
+    of = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([of(raw[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=True)]), ">u8").reshape(-1, 2)
+    return both[:, 0].astype(np.uint64).view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int32)
 
-    Windows of ``min_words`` words whose picked gram stands in another document are rows as well, with their bytes below 0.
+
+def pieces(docs: DataFrame, reach: int, longest: int, min_words: int, text: str, key: str) -> DataFrame:
+    """One row per row of ``docs``: uid, key, its chunks in order, and its runs of windows that may stand in another document.
+
+    Chunks and windows are known by digests (a, b); places are code points. A run is a stretch of windows of ``min_words`` words that have the
+    same picked gram, which some other document has picked too; its digest is that of all its words. It comes with its windows.
     """
-    schema = "uid long, key long, digest long, bytes int, span long"
     shared = docs.sparkSession.sparkContext.broadcast(shared_grams(docs, min_words, text))
+    i32, i64 = pa.int32(), pa.int64()
+    column = lambda values, kind: pa.array(np.concatenate(values) if values else [], kind)
+    lists = lambda sizes, child: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), i32), child)
+
+    def spans(parts: list[tuple], **more) -> pa.StructArray:
+        a, b, start, end = zip(*parts, strict=True) if parts else ([],) * 4
+        columns = {"a": column(a, i64), "b": column(b, i32), "start": column(start, i32), "end": column(end, i32)}
+        given = {k: v for k, v in more.items() if k == "gram"} | columns | {k: v for k, v in more.items() if k != "gram"}
+        return pa.StructArray.from_arrays([*given.values()], names=[*given])
 
     def make():
-        digest = xxhash.xxh3_64_intdigest
         bits = shared.value
 
         def step(batch):
-            out = {n.split()[0]: [] for n in schema.split(", ")}
-            for uid, key_, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            sizes, per_doc, per_run = [], [], []
+            chunk, run, window, grams_of = [], [], [], []
+            for t in batch.column(2).to_pylist():
                 raw = t.encode()
+                sizes.append(0)
+                per_doc.append(0)
                 if not raw:
-                    digests, lengths, spans = [None], np.array([0]), np.array([0])
-                else:
-                    data = np.frombuffer(raw, np.uint8)
-                    at = cuts(data, reach, longest)
-                    c = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                    start, end = words(data)
-                    grams = picked(data, start, end, min_words)
-                    place = grams & np.uint64(len(bits) * 64 - 1)
-                    near = np.flatnonzero((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-                    a = np.concatenate([at[:-1], start[near]])
-                    z = np.concatenate([at[1:], end[near + min_words - 1]])
-                    digests = np.array([digest(raw[i:j]) for i, j in zip(a.tolist(), z.tolist(), strict=True)], np.uint64).view(np.int64)
-                    lengths = np.where(np.arange(len(a)) < len(at) - 1, z - a, a - z)
-                    spans = (c[a].astype(np.int64) << 32) | c[z]
-                for name, values in (("uid", np.full(len(spans), uid)), ("digest", digests), ("bytes", lengths), ("span", spans)):
-                    out[name].append(values)
-                out["key"] += [key_] * len(spans)
-            return {k: v if k == "key" else np.concatenate(v) if k != "digest" or all(x[0] is not None for x in v) else [y for x in v for y in x] for k, v in out.items()} if out["uid"] else None
+                    continue
+                data = np.frombuffer(raw, np.uint8)
+                at = cuts(data, reach, longest)
+                c = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
+                sizes[-1] = len(at) - 1
+                chunk.append((*digests(raw, at[:-1], at[1:]), c[at[1:]]))
+                start, end = words(data)
+                grams = picked(data, start, end, min_words)
+                place = grams & np.uint64(len(bits) * 64 - 1)
+                near = ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+                if not near.any():
+                    continue
+                edge = np.flatnonzero((grams[1:] != grams[:-1]) | (near[1:] != near[:-1])) + 1
+                first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(grams)]]) - 1
+                first, last = first[near[first]], last[near[first]]
+                per_doc[-1] = len(first)
+                per_run.append(last - first + 1)
+                grams_of.append(grams[first].view(np.int64))
+                run.append((*digests(raw, start[first], end[last + min_words - 1]), c[start[first]], c[end[last + min_words - 1]]))
+                own = np.flatnonzero(near)
+                window.append((*digests(raw, start[own], end[own + min_words - 1]), c[start[own]], c[end[own + min_words - 1]]))
+            a, b, end = zip(*chunk, strict=True) if chunk else ([],) * 3
+            whole = pa.StructArray.from_arrays([column(a, i64), column(b, i32), column(end, i32)], names=["a", "b", "end"])
+            windows = lists(np.concatenate(per_run) if per_run else [], spans(window))
+            return {"uid": batch.column(0), "key": batch.column(1), "chunks": lists(sizes, whole), "runs": lists(per_doc, spans(run, gram=column(grams_of, i64), windows=windows))}
 
         return step
 
-    return arrow_rows(docs.select(F.monotonically_increasing_id(), docs[key].cast("long"), text_or_empty(text)), make, schema, rows=100)
+    return arrow_rows(docs.select(F.monotonically_increasing_id(), docs[key].cast("long"), text_or_empty(text)), make, SCHEMA, rows=100)
 
 
-def repeats(docs: DataFrame, min_words: int = 50, reach: int = 20, longest: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
+def joined(spans: Column) -> Column:
+    """Sorted spans, of which those that overlap or touch are one."""
+
+    def of(far: Column) -> Column:  # far: how far the spans before each reach
+        begins = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.get(far, i)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda i, n: F.struct(F.get(spans, i)["start"].alias("start"), F.get(far, F.coalesce(F.get(b, n + 1), F.size(spans))).alias("end"))))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest), of)
+
+
+def repeats(docs: DataFrame, min_words: int = 50, reach: int = 48, longest: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_chunks, n_repeated, repeated_chars, has_repeat, first_copy, passages and removable.
 
-    A chunk is repeated if its digest and length stand in another document. Passages are exact and don't depend on the cuts: every window
+    A chunk is repeated if its digest stands in another document. Passages are exact and don't depend on the cuts: every window
     of ``min_words`` words that another document holds, byte for byte, belongs to one, and passages lists [start, end) code points
-    of such windows, those that overlap as one. Only windows whose picked gram stands in two documents are compared, which all repeated
-    ones do. has_repeat tells that there is a passage. removable are the parts whose windows' first copy stands in an
-    earlier row; dropping those leaves a copy of each word of the passages. first_copy tells that there are passages and that
+    of such windows, those that overlap as one. has_repeat tells that there is a passage. removable are the parts whose windows' first
+    copy stands in an earlier row; dropping those leaves a copy of each word of the passages. first_copy tells that there are passages and that
     none of them is removable.
 
+    Equal windows pick the same gram, so only windows whose pick stands in two documents are looked at. Runs of windows with one pick are
+    compared first, as wholes: where another document has the run, all its windows repeat. The windows of a pick that stands in
+    different runs are compared one by one, but those of a run that many documents have only once, in the first of them.
+
     Null and empty texts have one empty chunk, which repeats nothing. Repeated rows are documents of their own. Other
     columns aren't read; an empty table gives no rows. Digests are counted before they meet, so a passage that a third of all
-    documents hold is a few rows of each task; the join that follows deals a frequent digest's rows out again.
+    documents hold is a few rows of each task; the joins that follow deal a frequent digest's rows out again.
     """
-    rows = checkpointed(chunks(docs, reach, longest, min_words, text, key))
-    known = rows.where(F.col("digest").isNotNull())
-    seen = known.groupBy("digest", "bytes").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
-    twice = checkpointed(seen.where("first < last").select("digest", "bytes", "first"))
-    same = known.select("uid", "digest", "bytes", "span").join(twice, ["digest", "bytes"])
-    low = F.lit((1 << 32) - 1)
-    part = F.struct(
-        F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(low).cast("int").alias("end"), (F.col("first") < F.col("uid")).alias("later")
-    )
-    whole = F.col("bytes") >= 0
-    length = F.when(whole, F.col("span").bitwiseAND(low) - F.shiftright("span", 32)).otherwise(0)
-    found = same.groupBy("uid").agg(F.count(F.when(whole, 1)).alias("n_repeated"), F.sum(length).alias("repeated_chars"), F.array_sort(F.collect_list(F.when(~whole, part))).alias("windows"))
-    kind = "array<struct<start:int,end:int>>"
-
-    def joined(windows):
-        last = lambda acc: F.get(acc, F.size(acc) - 1)
-        return F.aggregate(
-            windows, F.array().cast(kind),
-            lambda acc, p: F.when(
-                (F.size(acc) > 0) & (last(acc)["end"] >= p["start"]),
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], p["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"))))),
-        )
-
-    per = found.select("uid", "n_repeated", "repeated_chars", joined("windows").alias("passages"), joined(F.filter("windows", lambda w: w["later"])).alias("removable"))
-    heads = rows.where("bytes >= 0").groupBy("uid").agg(F.any_value("key").alias("key"), F.count("*").alias("n_chunks"))
-    none = F.array().cast(kind)
+    rows = written(pieces(docs, reach, longest, min_words, text, key))
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    begin = lambda x, i: F.coalesce(F.get("chunks", i - 1)["end"], F.lit(0))
+    chunks = rows.select("uid", F.explode(F.transform("chunks", lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["end"] - begin(x, i)).alias("chars")))).alias("x")).select("uid", "x.*")
+    often = twice(chunks, "a", "b").where("first < last").select("a", "b")
+    counted = chunks.join(often, ["a", "b"]).groupBy("uid").agg(F.count("*").alias("n_repeated"), F.sum("chars").alias("repeated_chars"))
+    runs = rows.select("uid", F.explode("runs").alias("r")).select("uid", "r.*")
+    wholes = written(twice(runs, "gram", "a", "b"))
+    various = wholes.groupBy("gram").agg((F.count("*") > 1).alias("various"))
+    whole = runs.drop("windows").join(wholes.where("first < last").select("gram", "a", "b", "first"), ["gram", "a", "b"])
+    alone = wholes.join(various.where("various"), "gram").select("gram", "a", "b", F.col("first").alias("uid"))
+    windows = written(runs.join(alone, ["gram", "a", "b", "uid"]).select("uid", F.explode("windows").alias("w")).select("uid", "w.*"))
+    same = windows.join(twice(windows, "a", "b").where("first < last").select("a", "b", "first"), ["a", "b"])
+    span = F.struct("start", "end", (F.col("first") < F.col("uid")).alias("later"))
+    found = whole.select("uid", span.alias("s")).unionByName(same.select("uid", span.alias("s"))).groupBy("uid").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    later = F.filter("s", lambda w: w["later"])
+    found = found.select("uid", joined(F.col("s")).alias("passages"), let(later, joined).alias("removable"))
+    heads = rows.select("uid", "key", F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n_chunks"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
     return (
-        heads.join(per, "uid", "left")
+        heads.join(counted, "uid", "left")
+        .join(found, "uid", "left")
         .select(
-            F.col("key").alias(key), F.col("n_chunks").cast("long").alias("n_chunks"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).alias("repeated_chars"),
-            F.coalesce(F.size("passages") > 0, F.lit(False)).alias("has_repeat"), F.coalesce((F.size("passages") > 0) & (F.size("removable") == 0), F.lit(False)).alias("first_copy"),
+            F.col("key").alias(key), "n_chunks", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).cast("long").alias("repeated_chars"),
+            F.col("passages").isNotNull().alias("has_repeat"), F.coalesce(F.size("removable") == 0, F.lit(False)).alias("first_copy"),
             F.coalesce("passages", none).alias("passages"), F.coalesce("removable", none).alias("removable"),
         )
     )

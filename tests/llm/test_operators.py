@@ -384,6 +384,42 @@ def test_passages_are_measured_exactly(spark, letters):
         assert found[i]["first_copy"] == (i % 2 == 0) and found[i]["removable"] == ([] if i % 2 == 0 else [s])
 
 
+def test_passages_are_those_of_brute_force(spark):
+    rnd = random.Random(21)
+    prose = lambda n: [rnd.choice("abcdefghij") + rnd.choice("aeiou") * rnd.randint(1, 3) for _ in range(n)]
+    base = [prose(rnd.randint(5, 200)) for _ in range(10)]
+    texts = []
+    for k in range(90):
+        w = [*base[k % 10]]
+        for _ in range(rnd.choice([0, 0, 0, 1, 3])):
+            w[rnd.randrange(len(w))] = "é" + str(k)
+        texts.append(" ".join([*prose(rnd.choice([0, 0, 9])), *w, *base[(k * 7) % 10][: rnd.choice([0, 30])], *prose(rnd.choice([0, 12]))]))
+    texts += ["la " * 300, "la " * 200, texts[0], None, ""]
+    size = 20
+    places = [[(m.start(), m.end()) for m in re.finditer(r"\S+", t or "")] for t in texts]
+    windows = [{(p[i][0], p[i + size - 1][1]) for i in range(len(p) - size + 1)} for p in places]
+    owners = {}
+    for d, (t, ws) in enumerate(zip(texts, windows, strict=True)):
+        for a, z in ws:
+            owners.setdefault(t[a:z], set()).add(d)
+
+    def merged(spans):
+        out = []
+        for a, z in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(z, out[-1][1]))
+            else:
+                out.append((a, z))
+        return out
+
+    df = documents(spark, texts).coalesce(1)
+    for r in substrings.repeats(df, min_words=size, reach=8).collect():
+        t, d = texts[r["doc_id"]], r["doc_id"]
+        again = [(a, z) for a, z in windows[d] if len(owners[t[a:z]]) > 1]
+        assert [tuple(s) for s in r["passages"]] == merged(again) and r["has_repeat"] == bool(again)
+        assert [tuple(s) for s in r["removable"]] == merged([(a, z) for a, z in again if min(owners[t[a:z]]) < d])
+
+
 @pytest.mark.parametrize("name", ["op3_licences", "op5_jaccard", "op6_embedding_near_dedup", "op8_decontamination", "op9_chat"])
 def test_agrees_with_sql(spark, name):
     from kinweave.llm import registry
