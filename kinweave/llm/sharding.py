@@ -24,7 +24,7 @@ def numbered(df: DataFrame, by: str, unique: str, total: int, name: str, weight:
     counts = df.groupBy(by, "bucket").agg(F.sum(size).alias("held"))
     before = counts.select(by, "bucket", (F.sum("held").over(W.partitionBy(by).orderBy("bucket")) - F.col("held")).alias("before"))
     inside = F.sum(size).over(W.partitionBy(by, "bucket").orderBy(unique).rowsBetween(W.unboundedPreceding, W.currentRow)) - size
-    return df.withColumn("inside", inside).join(F.broadcast(before), [by, "bucket"]).withColumn(name, F.col("inside") + F.col("before")).drop("bucket", "inside", "before")
+    return df.withColumn("inside", inside).join(before, [by, "bucket"]).withColumn(name, F.col("inside") + F.col("before")).drop("bucket", "inside", "before")
 
 
 def shard_at(place: Column, rooms: list[int]) -> Column:
@@ -53,39 +53,86 @@ def laid(docs: DataFrame, groups: DataFrame, rooms: list[int], total: int) -> Da
     return checkpointed(whole.unionByName(parts.select(*docs.columns, shard_at(F.col("start") + F.col("rank"), rooms).alias("shard"))))
 
 
-def propagate(nodes: DataFrame, targets: list[int], rounds: int = 12) -> DataFrame:
+def circulation(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the wishes (from, to) come true at once: moves into free room, which leave room behind, and then cycles of moves, until there is none left.
+
+    Only counts for pairs of shards are held.
+    """
+    ways: dict[int, dict[int, int]] = {s: {} for s in range(len(room))}
+    room, flow = [*room], dict.fromkeys(wanted, 0)
+    for (a, b), n in sorted(wanted.items()):
+        ways[a][b] = n
+
+    def move(a: int, b: int, n: int) -> None:
+        flow[a, b] += n
+        ways[a][b] -= n
+        if not ways[a][b]:
+            del ways[a][b]
+
+    while steps := [(a, b, min(n, room[b])) for a in ways for b, n in ways[a].items() if room[b] > 0]:
+        a, b, n = steps[0]
+        move(a, b, n)
+        room[b] -= n
+        room[a] += n
+    for start in ways:
+        path = [start]
+        while path:
+            x = path[-1]
+            if not ways[x]:  # no cycle goes through x any more
+                path.pop()
+                if path:
+                    del ways[path[-1]][x]
+                continue
+            y = next(iter(ways[x]))
+            if y not in path:
+                path.append(y)
+                continue
+            cycle = [*path[path.index(y) :], y]
+            pairs = [*zip(cycle, cycle[1:], strict=False)]
+            n = min(ways[a][b] for a, b in pairs)
+            for a, b in pairs:
+                move(a, b, n)
+            del path[path.index(y) + 1 :]
+    return {w: n for w, n in flow.items() if n}
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, by: list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each value of ``by`` and n, the rows that have it. Groups of over a thousandth of all rows, of which there are at most a thousand, are broadcast."""
+    hot = groups.where(F.col("n") * 1000 > total)
+    far = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(groups.where(F.col("n") * 1000 <= total), by)
+    return far.unionByName(rows.join(F.broadcast(hot), by))
+
+
+def propagate(nodes: DataFrame, targets: list[int], total: int) -> DataFrame:
     """``nodes`` (uid, gid, shard and others) after label propagation; documents are linked if they have the same gid.
 
-    In each round a document wants the shard that holds most of its neighbours, of those with room; ties go by a hash of the
-    group. A shard with less room than wishes accepts its share of them by a hash of the document. What it holds never
-    counts more than its target but by chance of that hash, which ``assign`` mends exactly. Rounds end when nothing moves. Where
-    there is little room, groups stay split however many rounds there are; ``assign`` lays those anew.
+    In each round every document wants the shard that holds most of its group, ties going by a hash of group and shard. Wishes come true
+    as far as the shards' quotas let them: into free room, or as exchanges along cycles of shards, in order of a hash of the
+    document. Whatever moves, the sum of squares of the groups' counts in the shards grows, so rounds end: when no wish can come true.
     """
     shards = len(targets)
-    for turn in range(rounds):
+    while True:
         here = dict(nodes.groupBy("shard").count().collect())
-        room = [max(0, t - here.get(s, 0)) for s, t in enumerate(targets)]
-        open_ = F.element_at(F.array(*[F.lit(r > 0) for r in room]), F.col("shard") + 1)
         rank = F.struct("n", F.pmod(F.xxhash64("gid", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
         held = nodes.groupBy("gid", "shard").agg(F.count("*").alias("n"))
-        wish = checkpointed(held.groupBy("gid").agg(F.max(F.when(open_, rank)).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", rank))).alias("held")))
-        better = F.col("best").isNotNull() & (F.col("best") > F.element_at("held", F.col("shard")))
-        wishes = nodes.join(wish.withColumnRenamed("gid", "g"), F.col("gid") == F.col("g"))
-        wishes = checkpointed(wishes.select(*nodes.columns, F.when(better, F.col("best.shard")).alias("to")))
-        wanted = dict(wishes.where(F.col("to").isNotNull()).groupBy("to").count().collect())
-        if not wanted:
-            break
-        share = F.element_at(F.array(*[F.lit(min(1.0, room[s] / wanted.get(s, 1))) for s in range(shards)]), F.col("to") + 1)
-        accepted = F.pmod(F.xxhash64(F.lit(turn), "uid"), F.lit(1 << 30)) < share * (1 << 30)
-        nodes = checkpointed(wishes.withColumn("shard", F.when(F.col("to").isNotNull() & accepted, F.col("to")).otherwise(F.col("shard"))).drop("to"))
-    return nodes
+        wish = checkpointed(held.groupBy("gid").agg(F.max(rank)["shard"].alias("to"), F.sum("n").alias("n")))
+        wishes = checkpointed(with_groups(nodes, wish, ["gid"], total).select(*nodes.columns, F.when(F.col("to") != F.col("shard"), F.col("to")).alias("to")))
+        wanted = {(r[0], r[1]): r[2] for r in wishes.where(F.col("to").isNotNull()).groupBy("shard", "to").count().collect()}
+        flow = circulation(wanted, [t - here.get(s, 0) for s, t in enumerate(targets)])
+        if not flow:
+            return nodes
+        way = F.col("shard") * shards + F.col("to")
+        quota = F.element_at(F.array(*[F.lit(flow.get((a, b), 0)).cast("long") for a in range(shards) for b in range(shards)]), F.col("way").cast("int") + 1)
+        movers = numbered(wishes.where(F.col("to").isNotNull()).withColumn("way", way), "way", "uid", total, "rank")
+        moved = movers.withColumn("shard", F.when(F.col("rank") < quota, F.col("to")).otherwise(F.col("shard")))
+        nodes = checkpointed(wishes.where(F.col("to").isNull()).select(*nodes.columns).unionByName(moved.select(*nodes.columns)))
 
 
 def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, size, text_crc32, law, shard, slot, grown_shard. The law is ``rows``.
 
     Equal texts are linked. Groups that are larger than a shard are laid first, over as few shards as hold them, or one more. The
-    documents of the others propagate labels. Groups that this leaves split, or for which a shard has no room, are taken out and
+    documents of the others propagate labels, see ``propagate``. Groups that this leaves split are taken out and
     laid one after another into what is free, so that fewer of them are cut than there are shards, even if all documents
     have copies. Documents without links fill the shards up to counts that are at most one apart. Null texts are empty texts (size
     1, checksum 0); null keys and repeated rows are documents as any other; other columns aren't read.
@@ -101,12 +148,12 @@ def assign(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     targets = [total // shards + (s < total % shards) for s in range(shards)]
     groups = checkpointed(base.groupBy("g1", "g2", "size").agg(F.count("*").alias("n"), F.min("uid").alias("gid")))
     keep = ["key", "size", "text_crc32", "uid", "gid"]
-    both = checkpointed(base.join(groups, ["g1", "g2", "size"]).select(*keep, "n"))
+    both = checkpointed(with_groups(base, groups, ["g1", "g2", "size"], total).select(*keep, "n"))
     share, rooms = min(targets), targets
     large = laid(both.where((F.col("n") > share) & (F.col("n") > 1)).select(*keep), groups.where((F.col("n") > share) & (F.col("n") > 1)).select("gid", "n"), rooms, total)
     rooms = left(rooms, large)
     linked = both.where((F.col("n") > 1) & (F.col("n") <= share)).select(*keep, shard_at(F.pmod(F.xxhash64("uid"), F.lit(max(1, sum(rooms)))), rooms).alias("shard"))
-    moved = checkpointed(propagate(checkpointed(linked), rooms))
+    moved = checkpointed(propagate(checkpointed(linked), rooms, total))
     held = moved.groupBy("gid").agg(F.min("shard").alias("shard"), F.max("shard").alias("other"), F.count("*").alias("n"))
     held = checkpointed(numbered(held.withColumn("whole", F.when(F.col("shard") == F.col("other"), F.col("shard")).otherwise(-1)), "whole", "gid", total, "start", "n"))
     room = F.element_at(F.array(*[F.lit(r) for r in rooms]), F.col("shard") + 1)

@@ -162,6 +162,57 @@ def test_copies_stay_together_if_every_document_has_one(spark, copies):
     assert sum(len(s) > 1 for s in where.values()) < 8
 
 
+def test_exchanges_keep_to_quotas():
+    rnd = random.Random(3)
+    for _ in range(200):
+        k = rnd.randint(1, 6)
+        wanted = {(a, b): rnd.randint(1, 9) for a in range(k) for b in range(k) if a != b and rnd.random() < 0.6}
+        room = [rnd.choice([0, 0, 2, 5]) for _ in range(k)]
+        flow = sharding.circulation(wanted, room)
+        assert all(0 < n <= wanted[w] for w, n in flow.items())
+        net = [sum(n for (_, b), n in flow.items() if b == s) - sum(n for (a, _), n in flow.items() if a == s) for s in range(k)]
+        assert all(x <= r for x, r in zip(net, room, strict=True))
+        # Nothing more comes true: no wish is left whose shard has room, nor two that could be exchanged.
+        rest = {w: n - flow.get(w, 0) for w, n in wanted.items() if n > flow.get(w, 0)}
+        assert not any(room[b] > net[b] for _, b in rest) and not any((b, a) in rest for a, b in rest)
+
+
+def fewest_split(sizes, shards):
+    """The least number of groups that even shards split, by trying all ways."""
+    n = sum(sizes)
+    rooms = [n // shards + (s < n % shards) for s in range(shards)]
+    best = [len(sizes)]
+
+    def place(at, free, split):
+        if split >= best[0]:
+            return
+        if at == len(sizes):
+            best[0] = split
+            return
+        for s in {f: k for k, f in enumerate(free) if f >= sizes[at]}.values():
+            place(at + 1, [*free[:s], free[s] - sizes[at], *free[s + 1 :]], split)
+        place(at + 1, free, split + 1)
+
+    place(0, rooms, 0)
+    return best[0]
+
+
+@pytest.mark.parametrize("sizes", [[2] * 8, [3, 3, 2, 2, 2, 1, 1, 1, 1], [5, 4, 3, 2, 1, 1], [7, 2, 2, 1], [4, 4, 4]])
+def test_cuts_beside_the_fewest_possible(spark, sizes):
+    texts = [f"t{g}" for g, n in enumerate(sizes) for _ in range(n)]
+    where = {}
+    for r in sharding.assign(documents(spark, texts), 3).collect():
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in where.values()) <= fewest_split(sizes, 3) + 2
+
+
+def test_propagation_itself_brings_full_shards_together(spark):
+    nodes = spark.range(3200).select(F.col("id").alias("uid"), F.floor(F.col("id") / 8).alias("gid"), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("shard"))
+    targets = [r["count"] for r in nodes.groupBy("shard").count().orderBy("shard").collect()]
+    held = sharding.propagate(nodes, targets, 3200).groupBy("gid").agg(F.count_distinct("shard").alias("n")).groupBy("n").count().collect()
+    assert sum(r["count"] for r in held if r["n"] == 1) >= 240
+
+
 def plain_links(sets, threshold):
     return [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) * 10 >= threshold * 10 * len(sets[a] | sets[b])]
 
