@@ -108,10 +108,33 @@ def test_mixed_final_and_doubled_forms_are_restored(spark):
     words = ["moron", "idiot", "tras", "trash", "die", "scoundrel", *("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(60))]
     model = toxicity.language_model(documents(spark, [" ".join(rnd.choices(words, k=40)) for _ in range(200)]))
     forms = {"m 0 r 0 n": "moron", "1 d 1 0 t": "idiot", "di3": "die", "iddiott": "idiot", "m  o  r  o  n": "moron", "m/o/r/o/n": "moron", "i.d.\ni.o.t": "idiot", "sc0undr3l": "scoundrel", "tras5": "tras"}
+    read = toxicity.Restorer(model).read
     for form, word in forms.items():
-        readings = toxicity.Restorer(model).restored(f"una {form} una")
-        assert word in readings.replace(f"una {form} una", "", 1), form
-    assert toxicity.Restorer(model).restored("Una trash una") == "una trash una"
+        assert read(f"una {form} una") == ["una", word, "una"], form
+    assert read("Una trash, una") == ["una", "trash", "una"]
+
+
+def test_obfuscated_held_out_texts_are_caught(spark):
+    """Words that are learnt plain are told in texts that hold them obfuscated only, and clean texts with signs and doubled letters stay clean."""
+    rnd = random.Random(15)
+    words = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(300)] + ["letter", "coffee", "b2b", "mp3", "covid19"]
+    bad = ["scoundrel", "blockhead", "moron"]
+    texts, labels = [], []
+    for i in range(500):
+        body = rnd.choices(words, k=40)
+        if i % 5 == 0:
+            for _ in range(2):
+                body[rnd.randrange(40)] = rnd.choice(bad)
+        texts.append(" ".join(body))
+        labels.append((i, int(i % 5 == 0)))
+    leet = str.maketrans({"o": "0", "e": "3", "a": "4", "l": "1"})
+    ways = [lambda w: w.translate(leet), lambda w: " ".join(w), lambda w: "  ".join(w.translate(leet)), lambda w: ".".join(w), lambda w: w[0] + w[1] * 3 + w[2:], lambda w: "".join(c * 2 for c in w), lambda w: "-".join(w.translate(leet))]
+    planted = [(k, w, " ".join([*rnd.choices(words, k=20), way(w), *rnd.choices(words, k=10), way(rnd.choice(bad)), *rnd.choices(words, k=9)])) for k, way in enumerate(ways) for w in bad]
+    clean = [" ".join([*rnd.choices(words, k=20), x, *rnd.choices(words, k=20)]) for x in ("a b c", "1 2 3 4", "x.y.z", "2nd 3rd", "www", "h4t", "$100 + 5!")]
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(documents(spark, texts + [p[2] for p in planted] + clean), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    caught = [found[500 + i] for i in range(len(planted))]
+    assert sum(caught) >= 0.9 * len(caught), [p[:2] for p, c in zip(planted, caught, strict=True) if not c]
+    assert not any(found[500 + len(planted) + i] for i in range(len(clean)))
 
 
 def test_licence_places(spark):
