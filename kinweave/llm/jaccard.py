@@ -198,12 +198,13 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **parameters) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: one row of each class, with all its columns."""
+    """The rows of ``docs`` without near-duplicates: one row of each class, with all its columns. Of rows with one key and text the first in order of their other columns stays."""
     kept = near_duplicates(docs, text=text, key=key, **parameters).where("kept").select(F.col(key).alias("kept_key"), F.col("text_key").alias("kept_text"))
     rows = docs.select(whole_row(docs), docs[key].cast("long").alias("own_key"), F.xxhash64(text_or_empty(text)).alias("own_text"))
     same = F.col("kept_key").eqNullSafe(F.col("own_key")) & (F.col("kept_text") == F.col("own_text"))
     found = rows.join(kept.groupBy("kept_key", "kept_text").agg(F.count("*").alias("copies")), same)
-    once = found.withColumn("place", F.row_number().over(W.partitionBy("own_key", "own_text").orderBy(F.lit(0)))).where("place <= copies")
+    others = F.to_json(F.struct(*[F.col(f"row.`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns) if c != text]))
+    once = found.withColumn("place", F.row_number().over(W.partitionBy("own_key", "own_text").orderBy(others))).where("place <= copies")
     return once.select("row.*")
 
 

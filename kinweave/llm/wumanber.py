@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections import defaultdict
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,34 +20,51 @@ def words(text: str) -> list[str]:
 
 
 class Search:
-    """All places of fixed-length word patterns.
+    """All places of the windows of some texts: runs of ``window`` words, or all words of a text that has fewer.
 
-    Patterns of one length m share tables. A block is the last two words (one, if m is 1). ``shift`` tells how far the search
-    may move when a block stands at its end: blocks that no pattern has allow m - 1. Where the shift is 0 the block's bucket,
-    parted again by the patterns' first block, names the few patterns that are compared word by word.
+    Windows of one length m share tables, and are known by their place in the texts' words, which are held once. A block is two words
+    (one, if m is 1). ``shift`` tells how far the search may move when a block stands at a window's end: blocks that no window has
+    allow m - 1. Where the shift is 0 the bucket of the last and first block names the few windows that are compared word by word.
     """
 
-    def __init__(self, patterns: Iterable[tuple[str, ...]]):
-        by_length: dict[int, list[tuple[str, ...]]] = defaultdict(list)
-        for p in dict.fromkeys(patterns):
-            by_length[len(p)].append(p)
-        self.tables = []
-        for m, group in sorted(by_length.items()):
+    def __init__(self, texts: Iterable[tuple[str | None, str]], window: int):
+        self.words: list[str] = []
+        self.begins: list[int] = []
+        self.names: list[str | None] = []
+        self.more: dict[int, list[str]] = {}
+        tables: dict[int, tuple[dict[str, int], dict[int, list[int]]]] = {}
+        for name, text in texts:
+            own = words(text)
+            if not own:
+                continue
+            at, m = len(self.words), min(len(own), window)
+            self.begins.append(at)
+            self.names.append(name)
+            self.words += own
             b = min(2, m)
-            shift: dict[str, int] = {}
-            suffix: dict[str, dict[str, list[tuple[str, ...]]]] = {}
-            for p in group:
-                for end in range(b, m + 1):
-                    block = " ".join(p[end - b : end])
-                    shift[block] = min(shift.get(block, m), m - end)
-                suffix.setdefault(" ".join(p[m - b :]), {}).setdefault(" ".join(p[:b]), []).append(p)
-            self.tables.append((m, b, shift, suffix))
-
-    def places(self, text: list[str]) -> list[tuple[int, tuple[str, ...]]]:
-        """(start, pattern) of every occurrence."""
+            shift, buckets = tables.setdefault(m, ({}, {}))
+            blocks = own if b == 1 else [*map(" ".join, zip(own, own[1:], strict=False))]
+            for i, block in enumerate(blocks):  # the soonest that a window which holds the block can end
+                shift[block] = min(shift.get(block, m), max(0, m - b - i))
+            for i in range(len(own) - m + 1):
+                bucket = buckets.setdefault(hash((blocks[i + m - b], blocks[i])), [])
+                same = next((p for p in bucket if self.words[p : p + m] == own[i : i + m]), None)
+                if same is None:
+                    bucket.append(at + i)
+                elif name is not None and name not in self.owners(same)[-1:]:
+                    self.more.setdefault(same, []).append(name)
+        self.tables = [(m, min(2, m), *tables[m]) for m in sorted(tables)]
+
+    def owners(self, place: int) -> list[str]:
+        """The names of the texts that hold the window at ``place``."""
+        name = self.names[bisect.bisect_right(self.begins, place) - 1]
+        return ([name] if name is not None else []) + self.more.get(place, [])
+
+    def places(self, text: list[str]) -> list[tuple[int, int, int]]:
+        """(start, length, the window's place) of every occurrence."""
         found = []
         n = len(text)
-        for m, b, shift, suffix in self.tables:
+        for m, b, shift, buckets in self.tables:
             if n < m:
                 continue
             blocks = text if b == 1 else [*map(" ".join, zip(text, text[1:], strict=False))]
@@ -58,28 +76,32 @@ class Search:
                     end += step
                     continue
                 start = end - m + b
-                for p in suffix[blocks[end]].get(blocks[start], ()):
-                    if all(text[start + k] == p[k] for k in range(m)):
-                        found.append((start, p))
+                for p in buckets.get(hash((blocks[end], blocks[start])), ()):
+                    if text[start : start + m] == self.words[p : p + m]:
+                        found.append((start, m, p))
                 end += 1
         return found
 
 
-def windows_of(item: list[str], length: int) -> list[tuple[str, ...]]:
-    """The runs of ``length`` consecutive words; an item with fewer words is one window, one without words has none."""
-    if not item:
-        return []
-    return [tuple(item[i : i + length]) for i in range(max(1, len(item) - length + 1))]
+_built: dict[str, Search] = {}
+
+
+def built(block: str, texts: Callable[[], list[tuple[str | None, str]]], window: int) -> Search:
+    """The tables of a block; a worker process keeps those that it met last."""
+    if block not in _built:
+        _built.clear()
+        _built[block] = Search(texts(), window)
+    return _built[block]
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 16 << 20, row: bool = False
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", block_bytes: int = 4 << 20, row: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated, starts, ends, items and, if asked, row, a struct of all its columns.
 
-    The benchmark is the stated query set. It is searched in blocks of about ``block_bytes`` bytes of its texts, so what the
-    driver and each worker hold at once is bounded however large it grows; every document meets every block, without a
-    shuffle; between blocks the rows are written to the checkpoint folder. starts and ends are those of the merged runs of hit words, as word positions with exclusive ends.
+    The benchmark is the stated query set. It is searched in blocks of about ``block_bytes`` bytes of its texts, which is what the
+    driver holds at once; a worker holds a block's tables, of some 50 times that size, and builds them once for all its tasks. Every
+    document meets every block, without a shuffle; between blocks the rows are written to the checkpoint folder. starts and ends are those of the merged runs of hit words, as word positions with exclusive ends.
 
     Null texts have no words, nor do null items. A null item id stands for no item: its windows hit words, and it's in no list.
     Items that have the same id are one item. An empty benchmark hits nothing. Other columns aren't read.
@@ -95,15 +117,10 @@ def decontaminate(
     context = docs.sparkSession.sparkContext
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        owners: dict[tuple[str, ...], set[str]] = defaultdict(set)
-        for item, body in part.toLocalIterator():
-            for w in windows_of(words(body), window):
-                owners[w].update([item] if item is not None else [])
-        shared = context.broadcast({w: sorted(o) for w, o in owners.items()})
+        shared, name = context.broadcast([(r[0], r[1]) for r in part.toLocalIterator()]), uuid.uuid4().hex
 
-        def make(shared=shared):
-            of = shared.value
-            search = Search(of)
+        def make(shared=shared, name=name):
+            search = built(name, lambda: shared.value, window)
 
             def step(batch):
                 n_words, starts, ends, found = [], [], [], []
@@ -112,7 +129,7 @@ def decontaminate(
                     n_words.append(len(text))
                     places = search.places(text)
                     if places:
-                        spans = sorted([*zip(s, e, strict=True), *((at, at + len(w)) for at, w in places)])
+                        spans = sorted([*zip(s, e, strict=True), *((at, at + m) for at, m, _ in places)])
                         s, e = [spans[0][0]], [spans[0][1]]
                         for a, z in spans[1:]:
                             if a > e[-1]:
@@ -120,7 +137,7 @@ def decontaminate(
                                 e.append(z)
                             elif z > e[-1]:
                                 e[-1] = z
-                        i = sorted({*i, *(x for _, w in places for x in of[w])})
+                        i = sorted({*i, *(x for p in {p for *_, p in places} for x in search.owners(p))})
                     starts.append(s)
                     ends.append(e)
                     found.append(i)
