@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def ordered(edges: DataFrame, focal: Column | None = None, priority: DataFrame |
         marked = marked.withColumn("preferred", F.lit(False))
     else:
         wanted = priority.select(F.col("id").alias("other"), F.lit(True).alias("p")).distinct()
-        marked = marked.join(F.broadcast(wanted), "other", "left").withColumn("preferred", F.coalesce("p", F.lit(False)) & F.col("at_focal")).drop("p")
+        marked = marked.join(wanted, "other", "left").withColumn("preferred", F.coalesce("p", F.lit(False)) & F.col("at_focal")).drop("p")
     place = F.row_number().over(W.partitionBy("at_focal", "preferred").orderBy(F.desc("weight"), "left", "right"))
     # Only the focal node's edges are numbered; they are as many as it has neighbours.
     focal_part = marked.where("at_focal").withColumn("place", place)
@@ -42,16 +43,24 @@ def ordered(edges: DataFrame, focal: Column | None = None, priority: DataFrame |
     return both.select("left", "right", "weight", turn.alias("turn"))
 
 
-def capped(edges: DataFrame, cap: int, focal: Column | None = None, priority: DataFrame | None = None) -> DataFrame:
+def capped(edges: DataFrame, cap: int, focal: Column | None = None, priority: DataFrame | None = None, small: int = 100_000) -> DataFrame:
     """What a greedy walk over the ordered edges keeps if no node may have more than ``cap`` of them; a cap of 0 or less keeps all.
 
     In a round an edge is kept if at both ends so few undecided edges come before it that there is room for them all and for
     it, whatever becomes of them; edges with a full end go. The first undecided edge always is kept, so rounds end, and the
-    result is the walk's. Rounds are few: each decides whole neighbourhoods at once.
+    result is the walk's. Rounds are few: each decides whole neighbourhoods at once. Up to ``small`` edges are walked on the driver.
     """
     if cap <= 0:
         return edges.select("left", "right", "weight")
     undecided = cut(ordered(edges, focal, priority))
+    if undecided.limit(small + 1).count() <= small:
+        held: dict = {}
+        walked = []
+        for r in undecided.orderBy("turn").select("left", "right", "weight").collect():
+            if held.get(r["left"], 0) < cap and held.get(r["right"], 0) < cap:
+                held[r["left"]], held[r["right"]] = held.get(r["left"], 0) + 1, held.get(r["right"], 0) + 1
+                walked.append(tuple(r))
+        return edges.sparkSession.createDataFrame(walked, undecided.select("left", "right", "weight").schema)
     chosen = undecided.select("left", "right", "weight").limit(0)
     while undecided.limit(1).count():
         used = ends(chosen).groupBy("node").agg(F.count("*").alias("used"))
@@ -70,20 +79,48 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(n, F.col("id") == F.col("node"), "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, focal: Column, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Personalized PageRank with restart at the focal node, weighted by edge; a node without edges gives its rank back to the focal node."""
+#: Edges up to which a graph's ranks are worked out in one place: a graph of the display has a few hundred.
+SMALL = 100_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, focal: Column, alpha: float = 0.85, tolerance: float = 1e-6, small: int = SMALL) -> DataFrame:
+    """Personalized PageRank with restart at the focal node, weighted by edge; a node without edges gives its rank back to the focal node.
+
+    Rounds end when the ranks together change by less than ``tolerance`` a node. Each round is a join and a sum; a graph of up to ``small`` nodes and
+    edges is worked out on the driver instead, to 1e-14.
+    """
     flow = ends(edges, "weight").withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy("node"))).select("node", "other", "share")
     flow = cut(flow)
-    rank = cut(nodes.select("id", F.when(F.col("id") == focal, 1.0).otherwise(0.0).alias("rank")))
-    for turn in range(rounds):
+    start = cut(nodes.select("id", F.when(F.col("id") == focal, 1.0).otherwise(0.0).alias("rank")))
+    n = start.count()
+    if n <= small and flow.limit(2 * small + 1).count() <= 2 * small:
+        return ranked_here(start, flow, alpha)
+    rank = start
+    while True:
         sent = rank.join(flow, F.col("id") == F.col("node")).groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        kept = sent.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("kept"))
-        new = rank.join(sent, F.col("id") == F.col("other"), "left").crossJoin(F.broadcast(kept))
-        restart = F.when(F.col("id") == focal, F.lit(1.0) - alpha + alpha * (F.lit(1.0) - F.col("kept"))).otherwise(0.0)
-        rank = new.select("id", (restart + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if turn % 5 == 4:
-            rank = cut(rank)
-    return rank
+        back = 1.0 - (sent.agg(F.sum("got")).first()[0] or 0.0)
+        new = rank.join(sent, F.col("id") == F.col("other"), "left")
+        restart = F.when(F.col("id") == focal, F.lit(1.0 - alpha + alpha * back)).otherwise(0.0)
+        new = cut(new.select("id", F.col("rank").alias("was"), (restart + alpha * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        rank = new.select("id", "rank")
+        if moved < tolerance * max(1, n):
+            return rank
+
+
+def ranked_here(start: DataFrame, flow: DataFrame, alpha: float) -> DataFrame:
+    begins = [tuple(r) for r in start.select("id", "rank").collect()]
+    place = {i: k for k, (i, _) in enumerate(begins)}
+    rows = [(place[r["node"]], place[r["other"]], r["share"]) for r in flow.collect() if r["node"] in place and r["other"] in place]
+    source, target, share = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    home = np.array([r for _, r in begins])
+    rank = home
+    while True:
+        got = np.bincount(target, rank[source] * share, minlength=len(rank)) if len(rank) else rank
+        new = alpha * got + (1 - alpha * got.sum()) * home
+        if np.abs(new - rank).sum() < 1e-14:
+            return start.sparkSession.createDataFrame([(i, float(new[k])) for i, k in place.items()], start.schema)
+        rank = new
 
 
 def distances(nodes: DataFrame, edges: DataFrame, focal: Column) -> DataFrame:
@@ -101,15 +138,21 @@ def distances(nodes: DataFrame, edges: DataFrame, focal: Column) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest node that each is connected with."""
+    """(id, component): the smallest node that each is connected with.
+
+    Each round a node takes the least name among its neighbours' and then that name's own, so chains shorten by jumps and rounds grow with the
+    logarithm of their length.
+    """
     near = cut(ends(edges).select("node", "other"))
     label = cut(nodes.select("id", F.col("id").alias("component")))
     while True:
         offered = near.join(label, F.col("other") == F.col("id")).groupBy("node").agg(F.min("component").alias("least"))
-        new = cut(label.join(offered, F.col("id") == F.col("node"), "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("component")))
-        if new.where("was <> component").limit(1).count() == 0:
-            return new.select("id", "component")
+        moved = label.join(offered, F.col("id") == F.col("node"), "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("to"))
+        jumps = label.select(F.col("id").alias("via"), F.col("component").alias("further"))
+        new = cut(moved.join(jumps, F.col("to") == F.col("via"), "left").select("id", "was", F.least("to", F.coalesce("further", "to")).alias("component")))
         label = new.select("id", "component")
+        if new.where("was <> component").limit(1).count() == 0:
+            return label
 
 
 def meta_graph(edges: DataFrame, groups: DataFrame) -> DataFrame:

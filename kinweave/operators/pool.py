@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Subjects that count as computing, beside those that begin with "cs.".
 COMPUTING = ("computer science", "computing", "cs")
-UNAVAILABLE = "unavailable"
+UNAVAILABLE, BIBLIOGRAPHY = "unavailable", "arxiv_references"
 
 
 class SourcesUnavailable(RuntimeError):
     """Every source that was asked failed."""
 
 
-def budgets(size: int) -> dict[str, int]:
-    """How many references, citations and recommendations a pool of ``size`` may take."""
-    recommendations = min(100, max(1, size // 4))
-    rest = max(0, size - recommendations)
-    references = min(100, -(-rest // 3))
-    return {"references": references, "citations": max(0, rest - references), "recommendations": recommendations}
+#: The most that one source gives, and the share of a pool that recommendations and then references have.
+MOST, RECOMMENDED, REFERRED = 100, 4, 3
+
+
+def budgets(size: Column) -> Column:
+    """struct<references, citations, recommendations>: a quarter of a pool for recommendations, a third of the rest, rounded up, for references, what is left for citations."""
+    share = F.struct(F.least(F.greatest(F.floor(size / RECOMMENDED), F.lit(1)), F.lit(MOST)).cast("int").alias("recommendations"), size.alias("size"))
+    two = F.transform(F.array(share), lambda s: F.struct(F.least(F.ceil(F.greatest(s["size"] - s["recommendations"], F.lit(0)) / REFERRED), F.lit(MOST)).cast("int").alias("references"), s["recommendations"].alias("recommendations"), s["size"].alias("size")))
+    return F.get(F.transform(two, lambda s: F.struct(s["references"].alias("references"), F.greatest(s["size"] - s["recommendations"] - s["references"], F.lit(0)).cast("int").alias("citations"), s["recommendations"].alias("recommendations"))), F.lit(0))
+
+
+def budget(spark: SparkSession, size: int) -> dict[str, int]:
+    return spark.range(1).select(budgets(F.lit(size)).alias("b")).first()["b"].asDict()
 
 
 def united(sources: dict[str, DataFrame], limits: dict[str, int] | None = None) -> DataFrame:
@@ -105,18 +112,25 @@ def without_focal(rows: DataFrame, focal: DataFrame, keys: list[str]) -> DataFra
     return rows
 
 
-def require_available(status: DataFrame) -> list[str]:
-    """Names of sources that were unavailable; an error if none could be asked. status: source, state, papers.
+def availability(status: DataFrame) -> DataFrame:
+    """One row: asked, usable (how many sources gave an answer that counts) and missing, the names of those that were unavailable. status: source, state, papers.
 
-    References that were recovered elsewhere make up for the provider's, and a recovery that found nothing makes up for no one.
+    A bibliography that led to references stands for the provider's own, which then isn't missing; one that led to none counts for nothing.
     """
-    rows = {r["source"]: (r["state"], r["papers"]) for r in status.collect()}
-    recovered = rows.get("arxiv_references", (UNAVAILABLE, 0))[1] > 0
-    usable = [s for s, (state, papers) in rows.items() if state != UNAVAILABLE and (s != "arxiv_references" or papers)]
-    missing = sorted(s for s, (state, _) in rows.items() if state == UNAVAILABLE and not (recovered and s == "references"))
-    if rows and not usable:
-        raise SourcesUnavailable(", ".join(missing))
-    return missing
+    led = status.agg(F.coalesce(F.bool_or((F.col("source") == BIBLIOGRAPHY) & (F.col("papers") > 0)), F.lit(False)).alias("led"))
+    rows = status.crossJoin(F.broadcast(led))
+    down = F.col("state") == UNAVAILABLE
+    counts = ~down & ((F.col("source") != BIBLIOGRAPHY) | F.col("led"))
+    missing = down & ~((F.col("source") == "references") & F.col("led"))
+    return rows.agg(F.count("*").alias("asked"), F.count(F.when(counts, 1)).alias("usable"), F.array_sort(F.collect_set(F.when(missing, F.col("source")))).alias("missing"))
+
+
+def require_available(status: DataFrame) -> list[str]:
+    """The missing sources; an error if some were asked and none is usable."""
+    row = availability(status).first()
+    if row["asked"] and not row["usable"]:
+        raise SourcesUnavailable(", ".join(row["missing"]))
+    return row["missing"]
 
 
 def recovered(references: DataFrame, limit: int) -> DataFrame:
@@ -124,18 +138,16 @@ def recovered(references: DataFrame, limit: int) -> DataFrame:
     return references.orderBy(F.desc("score"), F.desc("citations"), "pos").limit(limit)
 
 
-def coverage(stored: str | None, wanted: int | None) -> str:
-    """How a stored corpus ("all" or "newest:N") stands to a request for N rows, or for all: exact, covers, extends or incompatible."""
-    token = "all" if wanted is None else f"newest:{wanted}"
-    held = (stored or "").strip()
-    if held == token:
-        return "exact"
-    if held == "all":
-        return "covers"
-    size = held.removeprefix("newest:")
-    if size == held or not size.isdigit():
-        return "incompatible"
-    return "extends" if wanted is None or int(size) <= wanted else "covers"
+def coverage(stored: Column, wanted: Column) -> Column:
+    """How a stored corpus, "all" or "newest:N", stands to a request for so many rows, null for all of them.
+
+    It is exact, or covers what is asked for, or extends to it by fetching more, or was made another way and is incompatible.
+    """
+    held = F.trim(F.coalesce(stored, F.lit("")))
+    size = F.nullif(F.regexp_extract(held, "^newest:([0-9]+)$", 1), F.lit("")).cast("long")
+    to_all = F.when(held == "all", "exact").when(size.isNotNull(), "extends")
+    to_some = F.when((held == "all") | (size > wanted), "covers").when(size == wanted, "exact").when(size < wanted, "extends")
+    return F.coalesce(F.when(wanted.isNull(), to_all).otherwise(to_some), F.lit("incompatible"))
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

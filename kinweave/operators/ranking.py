@@ -2,46 +2,98 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from kinweave.functions import vectors as V
+from kinweave.operators.common import ONE_TASK, cut, numbered
 from kinweave.operators.knn import guarded, literal
+from kinweave.session import ship
 
+#: The constant of the fusion, the weight of its last list, and how many cosines and passages count.
 RRF_K, FOCAL_REFERENCE_WEIGHT, CONTEXT_SIZE, MIN_CONTEXTS = 60, 0.5, 5, 2
 LISTS = ("semantic", "reference_context", "direct", "recommended", "focal_reference")
 
 
+#: References that are compared with the candidates at once.
+BLOCK = 4096
+
+
+def with_nearest(rows: DataFrame, references: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (with id, unit and others) and top, their CONTEXT_SIZE largest cosines with references other than themselves, rounded to 12 places.
+
+    The references are a stated set: they are taken in blocks of at most ``block``, each of which is broadcast, and a row keeps the best it has
+    met, so nothing grows with the number of pairs. The products are dense, so they are numpy's, over Arrow batches.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    held = cut(numbered(references.select(F.col("id").alias("r_id"), F.col("unit").alias("r_unit")), [F.asc("r_id")], "place"))
+    n = held.count()
+    schema = StructType([*rows.schema.fields, StructField("top", ArrayType(DoubleType()))])
+
+    def compared(shared, top: bool):
+        def run(batches):
+            ids, matrix = shared.value
+            for batch in batches:
+                own = batch.column(batch.schema.get_field_index("id")).to_pylist()
+                unit = batch.column(batch.schema.get_field_index("unit"))
+                x = np.array([v if v is not None else [np.nan] * matrix.shape[1] for v in unit.to_pylist()], float).reshape(len(own), -1)
+                c = x @ matrix.T
+                c[np.array([[i == j for j in ids] for i in own], bool)] = -np.inf
+                if top:
+                    met = batch.column(batch.schema.get_field_index("top")).to_pylist()
+                    c = np.concatenate([c, np.array([(t or []) + [-np.inf] * (CONTEXT_SIZE - len(t or [])) for t in met]).reshape(len(own), -1)], axis=1)
+                best = -np.sort(-np.nan_to_num(c, nan=-np.inf, posinf=np.inf, neginf=-np.inf), axis=1)[:, :CONTEXT_SIZE]
+                found = pa.array([[round(v, 12) for v in r if v > -np.inf] for r in best.tolist()], pa.list_(pa.float64()))
+                columns = [batch.column(i) for i, f in enumerate(batch.schema) if f.name != "top"]
+                names = [f.name for f in batch.schema if f.name != "top"]
+                yield pa.RecordBatch.from_arrays([*columns, found], names=[*names, "top"])
+
+        return run
+
+    out, first = rows, True
+    for low in range(0, n, block):
+        part = held.where((F.col("place") > low) & (F.col("place") <= low + block)).select("r_id", "r_unit").collect()
+        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], float)))
+        out, first = out.mapInArrow(compared(shared, not first), schema), False
+    return out if n else rows.withColumn("top", F.array().cast("array<double>"))
+
+
 def features(candidates: DataFrame, document: list[float], query: list[float]) -> DataFrame:
     """candidates: id, vector, is_reference, cites_focal, recommendation_rank, contexts, influential. Adds cos_dd, cos_q, ctx, direct, eligible.
 
-    ctx is the mean of the five largest cosines with references other than the candidate, and null if there are fewer. The
-    references are the focal record's own list, of at most a thousand, so they are broadcast, and a candidate gathers as many cosines at most.
+    ctx is the mean of the five largest cosines with references other than the candidate, and null if there are fewer.
     """
     unit = candidates.withColumn("unit", V.normalized(F.col("vector")))
     unit = unit.withColumns({"cos_dd": guarded(V.cosine(F.col("vector"), literal(document))), "cos_q": guarded(V.cosine(F.col("vector"), literal(query)))})
-    references = unit.where("is_reference").select(F.col("id").alias("r_id"), F.col("unit").alias("r_unit"))
-    near = unit.select("id", "unit").join(F.broadcast(references), F.col("id") != F.col("r_id")).select("id", V.dot(F.col("unit"), F.col("r_unit")).alias("c"))
-    best = near.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("c"), asc=False), 1, CONTEXT_SIZE).alias("top"))
-    mean = F.when(F.size("top") == CONTEXT_SIZE, F.aggregate(F.array_sort("top"), F.lit(0.0), lambda s, x: s + x) / CONTEXT_SIZE)
-    joined = unit.join(best.select("id", mean.alias("ctx")), "id", "left").drop("unit")
+    near = with_nearest(unit, unit.where("is_reference"))
+    mean = F.when(F.size("top") == CONTEXT_SIZE, F.round(F.aggregate(F.array_sort("top"), F.lit(0.0), lambda s, x: s + x) / CONTEXT_SIZE, 12))
     contexts, influence = F.coalesce("contexts", F.lit(0)), F.coalesce("influential", F.lit(False))
-    return joined.withColumns({
+    return near.withColumn("ctx", mean).drop("unit", "top").withColumns({
         "direct": F.col("is_reference") | F.col("cites_focal"), "eligible": F.col("is_reference") & ((contexts >= MIN_CONTEXTS) | influence), "contexts": contexts, "influential": influence,
     })
 
 
 def ranks(rows: DataFrame) -> DataFrame:
-    """Adds rank_LIST, from 1, for each list that holds the candidate. A pool is a few thousand rows, so one sort task a list is its right size."""
+    """Adds rank_LIST, from 1, for each list that holds the candidate. A list of up to ONE_TASK candidates is numbered by one task, a larger one over ranges."""
     semantic = [F.desc("cos_dd"), F.desc("cos_q"), F.asc("id")]
     order = {
         "semantic": (F.lit(True), semantic), "reference_context": (F.col("ctx").isNotNull(), [F.desc("ctx"), F.desc("cos_q"), F.asc("id")]),
         "direct": (F.col("direct"), [F.desc("cos_dd"), F.asc("id")]), "recommended": (F.col("recommendation_rank").isNotNull(), [F.asc("recommendation_rank"), F.asc("id")]),
         "focal_reference": (F.col("eligible"), [F.desc("contexts"), F.desc("influential"), *semantic]),
     }
+    rows = cut(rows)
+    n = rows.count()
     for name, (member, keys) in order.items():
-        rows = rows.withColumn(f"rank_{name}", F.when(member, F.row_number().over(W.partitionBy(member).orderBy(*keys))))
+        if n <= ONE_TASK:
+            rows = rows.withColumn(f"rank_{name}", F.when(member, F.row_number().over(W.partitionBy(member).orderBy(*keys))))
+        else:
+            place = numbered(rows.where(member).select("id", "cos_dd", "cos_q", "ctx", "contexts", "influential", "recommendation_rank"), keys, f"rank_{name}", n)
+            rows = rows.join(place.select("id", f"rank_{name}"), "id", "left")
     return rows
 
 
@@ -57,7 +109,7 @@ def fused(rows: DataFrame) -> DataFrame:
         total = total + term(name)
     entries = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"rank_{n}").alias("v")) for n in LISTS]), lambda e: e["v"].isNotNull())
     scored = rows.withColumns({"score": F.round(total, 15), "list_ranks": F.map_from_entries(entries)})
-    return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), F.asc("id"))))
+    return numbered(cut(scored), [F.desc("score"), F.asc("id")], "rank")
 
 
 def rank_candidates(candidates: DataFrame, document: list[float], query: list[float]) -> DataFrame:

@@ -212,6 +212,24 @@ def hybrid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges_of(kept(spark, sf_dir)).select("left", "right", F.round("weight", 9).alias("weight"))
 
 
+def walk(edges: str, cap: int, focal: bool, preferred: str = "false") -> str:
+    """Tables that end in ``kept``: the edges that a greedy walk over the named ones keeps, in their order. The walk's state is the list of the ends taken."""
+    other = f'CASE WHEN "left" = {FOCAL} THEN "right" ELSE "left" END'
+    at = f'("left" = {FOCAL} OR "right" = {FOCAL})' if focal else "false"
+    return f"""w0 AS (SELECT *, {at} AS at_focal, {at} AND {preferred.format(other=other)} AS pre FROM {edges}),
+w1 AS (SELECT *, CASE WHEN at_focal THEN row_number() OVER (PARTITION BY at_focal, pre ORDER BY weight DESC, "left", "right") ELSE 0 END AS place FROM w0),
+w2 AS (SELECT *, row_number() OVER (ORDER BY NOT at_focal, place, NOT pre, -weight, "left", "right") AS n FROM w1),
+walked(n, taken, chosen) AS (SELECT 0, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT w2.n, CASE WHEN fits THEN list_concat(taken, ["left", "right"]) ELSE taken END, CASE WHEN fits THEN list_append(chosen, w2.n) ELSE chosen END
+  FROM (SELECT w2.*, walked.taken, walked.chosen, len(list_filter(walked.taken, lambda x: x = w2."left")) < {cap} AND len(list_filter(walked.taken, lambda x: x = w2."right")) < {cap} AS fits FROM walked JOIN w2 ON w2.n = walked.n + 1) w2),
+kept AS (SELECT "left", "right", weight FROM w2 WHERE list_contains((SELECT chosen FROM walked ORDER BY n DESC LIMIT 1), n))"""
+
+
+HYBRID_KEPT = f"""{PAIRS.replace("WITH ", "", 1)}, he AS (SELECT a AS "left", b AS "right", CAST(hybrid AS DOUBLE) AS weight FROM x WHERE hybrid >= 0.2 AND hybrid > CASE WHEN a = {FOCAL} OR b = {FOCAL} THEN 0.4 ELSE 0.5 END),
+{walk("he", EDGE_CAP, True, f"({{other}}) IN (SELECT id FROM ranked WHERE direct AND rank < {MAX_PAPERS})")}"""
+HYBRID_EDGES = f'WITH RECURSIVE {HYBRID_KEPT} SELECT "left", "right", round(weight, 9) AS weight FROM kept'
+
+
 def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: each kept record with its rank, degree, relevance, distance to the focal record, and three strongest links."""
     all_columns = kept(spark, sf_dir)
@@ -219,7 +237,7 @@ def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = all_columns.select("id", "label", "year", "citations", "source", "rank", F.round("score", 12).alias("score"))
     focal = F.lit(FOCAL)
     links = graph.strongest(edges).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "other"))).alias("l"))
-    links = links.select(F.col("node").alias("id"), F.transform("l", lambda x: x["other"]).alias("links"))
+    links = links.select(F.col("node").alias("id"), F.array_join(F.transform("l", lambda x: x["other"].cast("string")), ",").alias("links"))
     relevance = graph.pagerank(nodes, edges, focal).select("id", F.round("rank", 9).alias("relevance"))
     found = nodes.join(graph.degrees(nodes, edges), "id").join(relevance, "id").join(graph.distances(nodes, edges, focal).select("id", "distance"), "id")
     return found.join(links, "id", "left")
@@ -230,16 +248,25 @@ def embedding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.capped(graph.canonical(pairs), 4)
 
 
+EMBEDDING_EDGES = f'''WITH RECURSIVE {PAIRS}, e AS (SELECT a AS "left", b AS "right", CAST(embedding AS DOUBLE) AS weight FROM x WHERE embedding > 0.1), {walk("e", 4, False)} SELECT * FROM kept'''
+
+
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scored_pairs(kept(spark, sf_dir)).where(S.default_edge(F.col("citing"), 0.2)).select("a", "b", F.col("citing").alias("weight"))
     return graph.capped(graph.canonical(pairs), 3, F.lit(FOCAL))
 
 
+CITATION_EDGES = f'''WITH RECURSIVE {PAIRS}, e AS (SELECT a AS "left", b AS "right", CAST(citing AS DOUBLE) AS weight FROM x WHERE citing >= 0.2), {walk("e", 3, True)} SELECT * FROM kept'''
+
+
 def recommendation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = scored_pairs(kept(spark, sf_dir)).where(S.default_edge(F.col("recommended"), 0.2)).select("a", "b", F.col("recommended").alias("weight"))
     return graph.capped(graph.canonical(pairs), 3, F.lit(FOCAL))
 
 
+RECOMMENDATION_EDGES = f'''WITH RECURSIVE {PAIRS}, e AS (SELECT a AS "left", b AS "right", CAST(recommended AS DOUBLE) AS weight FROM x WHERE recommended >= 0.2), {walk("e", 3, True)} SELECT * FROM kept'''
+
+
 def additional_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranked(spark, sf_dir)
     return views.leads(rows, rows.where(F.col("rank") < MAX_PAPERS))
@@ -252,11 +279,11 @@ UNION ALL SELECT * FROM (SELECT id, 'corpus' AS lead FROM o WHERE NOT is_referen
 
 def coupling_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     citing = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("ref"))
-    return textsim.coupling_pairs(citing, least=2).select("left", "right", "shared", F.round("score", 9).alias("score"))
+    return textsim.coupling_pairs(citing).select("left", "right", "shared", F.round("score", 9).alias("score"))
 
 
 COUPLING_PAIRS = """WITH l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS ref FROM lineitem), n AS (SELECT id, count(*) AS n FROM l GROUP BY id),
-s AS (SELECT a.id AS "left", b.id AS "right", count(*) AS shared FROM l a JOIN l b ON a.ref = b.ref AND a.id < b.id GROUP BY ALL HAVING count(*) >= 2)
+s AS (SELECT a.id AS "left", b.id AS "right", count(*) AS shared FROM l a JOIN l b ON a.ref = b.ref AND a.id < b.id GROUP BY ALL)
 SELECT "left", "right", shared, round(shared / sqrt(a.n * b.n), 9) AS score FROM s JOIN n a ON a.id = "left" JOIN n b ON b.id = "right" """
 
 
@@ -312,11 +339,24 @@ def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.pagerank(nodes.select("id"), edges_of(nodes), F.lit(FOCAL)).select("id", F.round("rank", 9).alias("relevance"))
 
 
+#: Rounds after which 0.85 to their power is far below what is compared.
+PAGERANK_CTE = f"""{HYBRID_KEPT}, both_ AS (SELECT "left" AS node, "right" AS other, weight FROM kept UNION ALL SELECT "right", "left", weight FROM kept),
+flow AS (SELECT node, other, weight / sum(weight) OVER (PARTITION BY node) AS share FROM both_ UNION ALL SELECT id, {FOCAL}, 1.0 FROM k WHERE id NOT IN (SELECT node FROM both_) UNION ALL SELECT id, id, 0.0 FROM k),
+pr(t, id, r) AS (SELECT 0, id, CASE WHEN id = {FOCAL} THEN 1.0::DOUBLE ELSE 0.0 END FROM k UNION ALL SELECT t + 1, other, 0.85 * sum(r * share) + CASE WHEN other = {FOCAL} THEN 0.15 ELSE 0 END FROM pr JOIN flow ON pr.id = flow.node WHERE t < 200 GROUP BY t, other)"""
+GRAPH_PAGERANK = f"WITH RECURSIVE {PAGERANK_CTE} SELECT id, round(r, 9) AS relevance FROM pr WHERE t = 200"
+
+
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = kept(spark, sf_dir)
     return graph.communities(nodes.select("id"), edges_of(nodes))
 
 
+HYBRID_GRAPH = f"""WITH RECURSIVE {PAGERANK_CTE}, steps(id, d) AS (SELECT {FOCAL}::BIGINT, 0 UNION SELECT other, d + 1 FROM steps JOIN both_ ON steps.id = both_.node WHERE d < {MAX_PAPERS}),
+s3 AS (SELECT node, other, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS place FROM both_ QUALIFY place <= 3)
+SELECT k.id, p.label, k.year, k.citations, k.source, CAST(coalesce(r.rank, 0) AS INT) AS rank, round(r.score, 12) AS score, (SELECT count(*) FROM both_ WHERE node = k.id) AS degree,
+  round(pr.r, 9) AS relevance, (SELECT min(d) FROM steps WHERE steps.id = k.id) AS distance, (SELECT string_agg(CAST(other AS VARCHAR), ',' ORDER BY place) FROM s3 WHERE node = k.id) AS links
+FROM k JOIN p ON p.id = k.id JOIN pr ON pr.id = k.id AND pr.t = 200 LEFT JOIN ranked r ON r.id = k.id"""
+
 QUERIES = {f.__name__: f for f in (
     knn_cosine, vector_validity, vector_norms, vector_calibration, vector_quantized, knn_int8, knn_hamming, knn_prefiltered, knn_recall, rrf_features, rrf_ranked, pair_scores,
     hybrid_edges_uncapped, hybrid_edges, hybrid_graph, embedding_edges, citation_edges, recommendation_edges, additional_leads, coupling_pairs, graph_components, graph_distances, graph_degrees,

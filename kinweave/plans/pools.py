@@ -31,7 +31,7 @@ POOL_UNION = f"WITH {SOURCES} SELECT id, CAST(min(n) AS INT) AS n, arg_min(pos,
 
 def pool_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pool of 400, by budget, of which 40 are admitted."""
-    found = pool.united(sources(spark, sf_dir), pool.budgets(400))
+    found = pool.united(sources(spark, sf_dir), pool.budget(spark, 400))
     return pool.admitted(found, F.col("id") > 0, 40).select("id", F.array_join("sources", ",").alias("sources"))
 
 
@@ -149,8 +149,44 @@ def edge_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("n_name", "r_name", geometry.curve(F.col("n_name"), F.col("r_name")).alias("curve"), geometry.shade(F.col("n_nationkey"), F.lit(0), F.lit(24), (0, 16, 32), (255, 128, 64)).alias("shade"))
 
 
+EDGE_CURVES = """WITH k AS (SELECT n_name, r_name, n_nationkey AS n, least(n_name, r_name) || '|' || greatest(n_name, r_name) AS key FROM nation JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT *, list_reduce(list_concat([0::BIGINT], list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 33 + c) % 4294967296) AS h FROM k)
+SELECT n_name, r_name, CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS curve,
+  '#' || list_aggregate(list_transform([[0, 255], [16, 128], [32, 64]], lambda e: lpad(lower(to_hex(CAST(floor(e[1] + (CASE WHEN n > 0 THEN n / 24::DOUBLE ELSE 0.5 END) * (e[2] - e[1]) + 0.5) AS INT))), 2, '0')), 'string_agg', '') AS shade FROM h"""
+
+
+def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in a plane of size and price, by how often they are ordered."""
+    w = works(spark, sf_dir)
+    price = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("x"), (F.col("p_retailprice") / 2000.0).alias("y"))
+    return geometry.labelled(w.join(price, "id").select("id", "is_focal", "citations", "year", "x", "y")).select("id", "place")
+
+
+def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as sources of a region's pool: those of odd keys are unavailable."""
+    n = read(spark, sf_dir, "nation")
+    status = n.select(F.col("n_name").alias("source"), F.when(F.col("n_nationkey") % 2 == 1, "unavailable").otherwise("complete").alias("state"), F.col("n_regionkey").alias("papers"))
+    return pool.availability(status).withColumn("missing", F.array_join("missing", ","))
+
+
+AVAILABILITY = "SELECT count(*) AS asked, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS usable, string_agg(n_name, ',' ORDER BY n_name) FILTER (WHERE n_nationkey % 2 = 1) AS missing FROM nation"
+
+
+def corpus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of many sizes against corpora of many."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    stored = F.when(k % 4 == 0, "all").when(k % 4 == 1, F.concat(F.lit("newest:"), (k % 10).cast("string"))).when(k % 4 == 2, "odd")
+    wanted = F.when(k % 3 != 0, k % 7)
+    return p.select(k.alias("id"), pool.coverage(stored, wanted).alias("coverage"), pool.budgets(k.cast("int"))["citations"].alias("citations"))
+
+
+CORPUS_COVERAGE = """WITH s AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'newest' ELSE 'odd' END AS s, p_partkey % 10 AS n, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 7 END AS w, least(100, greatest(1, p_partkey // 4)) AS r FROM part)
+SELECT k AS id, CASE WHEN s = 'odd' THEN 'incompatible' WHEN s = 'all' THEN CASE WHEN w IS NULL THEN 'exact' ELSE 'covers' END WHEN w IS NULL THEN 'extends' WHEN n = w THEN 'exact' WHEN n > w THEN 'covers' ELSE 'extends' END AS coverage,
+  CAST(greatest(0, k - r - least(100, ceil(greatest(0, k - r) / 3.0::DOUBLE))) AS INT) AS citations FROM s"""
+
 QUERIES = {f.__name__: f for f in (
     pool_union, pool_admission, recommendation_pool, subject_pools, keyword_search, batch_lookup, reference_lists, enriched_works, alias_union, graph_summary, namespace_sizes, layout_positions,
-    layout_corner, edge_curves,
+    layout_corner, edge_curves, shown_labels, availability, corpus_coverage,
 )}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES if n.upper() in globals()}

@@ -43,7 +43,9 @@ def test_capped_edges_are_those_of_a_greedy_walk(spark, seed, cap, focal):
     df = spark.createDataFrame(edges, "left int, right int, weight double")
     priority = [1, 3, 7] if focal is not None else []
     wanted = spark.createDataFrame([(p,) for p in priority], "id int") if priority else None
-    found = graph.capped(df, cap, None if focal is None else F.lit(focal), wanted)
+    walked = graph.capped(df, cap, None if focal is None else F.lit(focal), wanted)
+    found = graph.capped(df, cap, None if focal is None else F.lit(focal), wanted, small=0)
+    assert sorted(walked.collect()) == sorted(found.collect())
     assert {(r["left"], r["right"]) for r in found.collect()} == greedy(edges, cap, focal, priority)
 
 
@@ -59,6 +61,7 @@ def test_graph_metrics(spark):
     assert {r["id"]: r["component"] for r in graph.components(nodes, edges).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
     assert {r["id"]: r["distance"] for r in graph.distances(nodes, edges, F.lit(0)).collect()} == {0: 0, 1: 1, 2: 2, 3: None, 4: None, 5: None}
     rank = {r["id"]: r["rank"] for r in graph.pagerank(nodes, edges, F.lit(0)).collect()}
+    assert all(abs(rank[r["id"]] - r["rank"]) < 1e-5 for r in graph.pagerank(nodes, edges, F.lit(0), small=0).collect())
     assert abs(sum(rank.values()) - 1) < 1e-9 and rank[3] == 0 and rank[0] > rank[2] > 0
     group = {r["id"]: r["community"] for r in graph.communities(nodes, edges).collect()}
     assert group[3] == group[4] != group[0] and len(group) == 6

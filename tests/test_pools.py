@@ -1,17 +1,24 @@
 """Candidate pools and drawn positions on small tables."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kinweave.operators import geometry, pool
 
 
-def test_budgets_and_coverage():
-    assert pool.budgets(400) == {"references": 100, "citations": 200, "recommendations": 100}
-    assert pool.budgets(2) == {"references": 1, "citations": 0, "recommendations": 1}
-    assert [pool.coverage(*x) for x in ((None, 5), ("all", None), ("all", 5), ("newest:5", 5), ("newest:9", 5), ("newest:3", 5), ("newest:3", None), ("7", 7))] == [
-        "incompatible", "exact", "covers", "exact", "covers", "extends", "extends", "incompatible",
-    ]
+#: Which way four edges bend.
+CURVES = [-1.0, 1.0, -1.0, 1.0]
+
+
+def test_budgets_and_coverage(spark):
+    assert pool.budget(spark, 400) == {"references": 100, "citations": 200, "recommendations": 100}
+    assert pool.budget(spark, 2) == {"references": 1, "citations": 0, "recommendations": 1}
+    rows = [(None, 5), ("all", None), ("all", 5), ("newest:5", 5), ("newest:9", 5), ("newest:3", 5), ("newest:3", None), ("7", 7)]
+    found = spark.createDataFrame(rows, "stored string, wanted int").select(pool.coverage(F.col("stored"), F.col("wanted"))).collect()
+    assert [r[0] for r in found] == ["incompatible", "exact", "covers", "exact", "covers", "extends", "extends", "incompatible"]
 
 
 def test_sources_are_united_once(spark):
@@ -42,14 +49,18 @@ def test_positions(spark):
     assert {r["id"]: (round(r["x"], 6), round(r["y"], 6)) for r in geometry.normalized(p, 0.0).collect()} == {"a": (-1.0, -0.5), "b": (1.0, 0.5)}
     assert geometry.emptiest_corner(p).first()["corner"] == "lower_right"
 
-    def parity(left, right):
-        digest = 0
-        for c in "|".join(sorted((left, right))):
-            digest = (digest * 33 + ord(c)) & 0xFFFFFFFF
-        return 1.0 if digest % 2 == 0 else -1.0
-
-    pairs = [("a", "b"), ("zeta", "alpha"), ("x1", "x2"), ("m", "m|")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    assert [r[0] for r in df.select(geometry.curve(F.col("a"), F.col("b"))).collect()] == [parity(*x) for x in pairs]
+    df = spark.createDataFrame([("a", "b"), ("zeta", "alpha"), ("x1", "x2"), ("m", "m|")], "a string, b string")
+    assert [r[0] for r in df.select(geometry.curve(F.col("a"), F.col("b"))).collect()] == CURVES
     nodes = spark.createDataFrame([("f", True, 0, 0, 0.0, 0.0), ("g", False, 9, 2000, 0.01, 0.0), ("h", False, 5, 2000, 0.9, 0.9)], "id string, is_focal boolean, citations int, year int, x double, y double")
-    assert geometry.labelled(nodes) == ["f", "h"]
+    assert [r["id"] for r in geometry.labelled(nodes).orderBy("place").collect()] == ["f", "h"]
+
+
+def test_labels_are_those_of_a_walk(spark):
+    rnd = random.Random(3)
+    rows = [(i, i == 7, rnd.randint(0, 9), 2000, rnd.random(), rnd.random()) for i in range(120)]
+    chosen = []
+    for r in sorted(rows, key=lambda r: (not r[1], -r[2], -r[3], str(r[0]))):
+        if r[1] or all(math.dist(r[4:], c[4:]) >= 0.18 for c in chosen):
+            chosen.append(r)
+    df = spark.createDataFrame(rows, "id int, is_focal boolean, citations int, year int, x double, y double")
+    assert [r["id"] for r in geometry.labelled(df, 100).orderBy("place").collect()] == [r[0] for r in chosen]
