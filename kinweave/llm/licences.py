@@ -94,13 +94,13 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, coverage: float
     to = F.when(F.col("m.base"), F.array(diagonal)).when(F.col("m").isNotNull(), F.sequence(diagonal - apart, diagonal))
     votes = votes.select("uid", "key", "n_words", "pos", "m", diagonal.alias("own"), F.explode_outer(to).alias("diagonal"))
     per = votes.groupBy("uid", "key", "n_words", F.col("m.template").alias("template"), F.col("m.label").alias("label"), F.col("m.base").alias("base"), F.col("m.grams").alias("grams"), "diagonal")
-    per = per.agg(F.array_sort(F.collect_list(F.struct("pos", F.col("m.at").alias("at")))).alias("votes"), F.max(F.col("own") == F.col("diagonal")).alias("voted"))
+    per = per.agg(F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("pos", F.col("m.at").alias("at"))))).alias("votes"), F.max(F.col("own") == F.col("diagonal")).alias("voted"))
     ordered = F.aggregate(
         "votes", F.struct(F.lit(-1).alias("top"), F.lit(0).alias("n")),
         lambda s, v: F.struct(F.greatest(s["top"], v["at"]).alias("top"), (s["n"] + (v["at"] > s["top"]).cast("int")).alias("n")), lambda s: s["n"],
     )
     per = per.withColumn("n", ordered).withColumn("share", F.col("n") / F.col("grams"))
-    stands = F.col("voted") & (F.col("base") | (F.col("share") >= coverage))
+    stands = F.col("template").isNotNull() & F.col("voted") & (F.col("base") | (F.col("share") >= coverage))
     place = F.struct("label", "base", F.get("votes", F.lit(0))["pos"].alias("first"), F.col("n").cast("long").alias("votes"), "share")
     found = per.groupBy("uid", "key", "n_words").agg(F.array_sort(F.collect_list(F.when(stands, place))).alias("places"))
     starts = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["first"])
