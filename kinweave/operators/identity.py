@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.operators.common import numbered
+
 
 def alias_owners(aliases: DataFrame) -> DataFrame:
     """(alias, id) of aliases that exactly one record has. aliases: id, alias."""
@@ -83,7 +85,7 @@ def evidence(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.array_distinct(F.transform(kept, lambda x: x["c"])).alias("contexts"), F.bool_or("influential").alias("influential"))
 
 
-def ranked_once(rows: DataFrame, usable: Column, key: str = "id") -> DataFrame:
-    """Provider order without repeats: the first usable row of each key, numbered anew."""
+def ranked_once(rows: DataFrame, usable: Column, key: str = "id", limit: int | None = None) -> DataFrame:
+    """Provider order without repeats: the first usable row of each key, numbered anew, and of those the first ``limit``."""
     one = rows.where(usable).groupBy(key).agg(F.min("pos").alias("pos"))
-    return one.withColumn("rank", F.row_number().over(W.orderBy("pos", key)))
+    return numbered(one if limit is None else one.orderBy("pos", key).limit(limit), [F.col("pos"), F.col(key)], "rank", limit)

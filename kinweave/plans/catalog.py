@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import discovery, pools, raw, records
+from kinweave.plans import discovery, gathering, pools, raw, records
 
 FLAGSHIP = "hybrid_graph"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = discovery.QUERIES | records.QUERIES | pools.QUERIES | raw.QUERIES
-ORACLES: dict[str, str] = discovery.ORACLES | records.ORACLES | pools.ORACLES | raw.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = discovery.QUERIES | records.QUERIES | pools.QUERIES | raw.QUERIES | gathering.QUERIES
+ORACLES: dict[str, str] = discovery.ORACLES | records.ORACLES | pools.ORACLES | raw.ORACLES | gathering.ORACLES
