@@ -79,12 +79,41 @@ def bibtex(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.concat(F.lit("@article{"), key, F.lit(",\n"), body, F.lit("\n}")).alias("entry"))
 
 
+#: Names of the format's types, by Spark's; anything else is a string.
+GRAPHML_TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "float": "double", "double": "double"}
+
+
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, ord, line) of a GraphML document: sort by part and ord, and put head and tail around it."""
-    n = nodes.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("ord"), F.concat(F.lit('<node id="'), T.xml_safe(F.col("id").cast("string")), F.lit('"><data key="title">'), T.xml_safe("title"), F.lit("</data></node>")).alias("line"))
+    """(part, ord, line) of a GraphML document, which its lines are in order of part and ord. nodes: id and others; edges: left, right and others.
+
+    Other columns become data of their own type; lists are joined by ", ", nulls left out, and characters that XML doesn't allow too.
+    """
+    kind = lambda k: GRAPHML_TYPES.get(k, "string")
+    about = [("node", c, k) for c, k in nodes.dtypes if c != "id"] + [("edge", c, k) for c, k in edges.dtypes if c not in ("left", "right")]
+    keys = [F.concat(F.lit(f'<key id="{w}_{n}" for="{w}" attr.name="'), T.xml_safe(F.lit(c)), F.lit(f'" attr.type="{kind(k)}"/>')) for n, (w, c, k) in enumerate(about)]
+    place = {(w, c): f"{w}_{n}" for n, (w, c, _) in enumerate(about)}
+
+    def data(which: str, frame: DataFrame) -> Column:
+        def one(c: str, k: str) -> Column:
+            x = F.col(f"`{c}`")
+            x = F.array_join(x, ", ") if k.startswith("array") else F.to_json(x) if k.startswith(("struct", "map")) else x.cast("string")
+            return F.concat(F.lit(f'<data key="{place[which, c]}">'), T.xml_safe(x), F.lit("</data>"))
+
+        return F.concat_ws("", *[one(c, k) for c, k in frame.dtypes if (which, c) in place])
+
+    text = lambda c: T.xml_safe(F.col(c).cast("string"))
+    n = nodes.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("ord"), F.concat(F.lit('<node id="'), text("id"), F.lit('">'), data("node", nodes), F.lit("</node>")).alias("line"))
     ends = F.concat_ws(" ", "left", "right")
-    e = edges.select(F.lit(2).alias("part"), ends.alias("ord"), F.concat(F.lit('<edge source="'), T.xml_safe(F.col("left").cast("string")), F.lit('" target="'), T.xml_safe(F.col("right").cast("string")), F.lit('"><data key="weight">'), F.format_number(F.col("weight"), 6), F.lit("</data></edge>")).alias("line"))
-    return n.unionByName(e)
+    e = edges.select(F.lit(2).alias("part"), ends.alias("ord"), F.concat(F.lit('<edge source="'), text("left"), F.lit('" target="'), text("right"), F.lit('">'), data("edge", edges), F.lit("</edge>")).alias("line"))
+    head = F.concat_ws("\n", F.lit('<?xml version="1.0" encoding="UTF-8"?>'), F.lit('<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), *keys, F.lit('<graph edgedefault="undirected">'))
+    frame = nodes.sparkSession.range(1)
+    first, last = frame.select(F.lit(0).alias("part"), F.lit("").alias("ord"), head.alias("line")), frame.select(F.lit(3).alias("part"), F.lit("").alias("ord"), F.lit("</graph>\n</graphml>").alias("line"))
+    return first.unionByName(n).unionByName(e).unionByName(last)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A folder of text files; one after another in order of their names they are the document."""
+    graphml(nodes, edges).orderBy("part", "ord").select("line").write.text(path)
 
 
 def collection_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:

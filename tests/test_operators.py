@@ -163,12 +163,29 @@ def test_graph_payload_round_trip(spark):
     n, e = files.read_graph(files.graph_payload(nodes, edges, "hybrid", "a"), "id:string,title:string")
     assert n.exceptAll(nodes).count() == 0 and e.exceptAll(edges).count() == 0
     lines = [r["line"] for r in files.graphml(nodes, edges).orderBy("part", "ord").collect()]
-    assert len(lines) == 3 and 'target="b"' in lines[2]
+    assert len(lines) == 5 and 'target="b"' in lines[3]
     broken = spark.createDataFrame([("a", "c", 0.5)], "left string, right string, weight double")
     with pytest.raises(ValueError):
         files.read_graph(files.graph_payload(nodes, broken, "hybrid", "a"), "id:string,title:string")
 
 
+def test_graphml_is_a_whole_document(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    nodes = spark.createDataFrame([("a", "A & <B>", 2001, ["x", "y"], True), ('b"', None, None, [], False)], "id string, title string, year int, `names, all` array<string>, is_focal boolean")
+    edges = spark.createDataFrame([("a", 'b"', 1234.5)], "left string, right string, weight double")
+    files.write_graphml(nodes, edges, str(tmp_path / "g"))
+    root = ElementTree.fromstring("".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*"))))
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    names = {k.get("id"): (k.get("attr.name"), k.get("attr.type")) for k in root.findall(f"{ns}key")}
+    found = {x.get("id"): {names[d.get("key")][0]: d.text for d in x} for x in root.iter(f"{ns}node")}
+    assert found == {"a": {"title": "A & <B>", "year": "2001", "names, all": "x, y", "is_focal": "true"}, 'b"': {"names, all": None, "is_focal": "false"}}
+    edge = next(root.iter(f"{ns}edge"))
+    assert (edge.get("source"), edge.get("target"), edge[0].text, names[edge[0].get("key")]) == ("a", 'b"', "1234.5", ("weight", "double"))
+    empty = files.graphml(nodes.where("false"), edges.where("false")).orderBy("part").collect()
+    assert list(ElementTree.fromstring("\n".join(r["line"] for r in empty)).iter(f"{ns}node")) == []
+
+
 def test_provider_records(spark):
     raw = ['{"paperId":"p1","title":"T","year":"2020","citationCount":"-3","authors":[{"name":" A B "},{"name":""}],"externalIds":{"DOI":"10.1/X"}}', '{"title":"no id"}', "broken"]
     rows = files.provider_records(spark.createDataFrame([(r,) for r in raw], "payload string")).collect()
