@@ -67,6 +67,34 @@ def csv_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.concat_ws(",", *[cell(c, k) for c, k in nodes.dtypes]).alias("line"))
 
 
+#: The columns of a table of nodes, in order.
+CSV_COLUMNS = (
+    "id", "title", "year", "authors", "citation_count", "venue", "arxiv_id", "doi", "categories", "is_focal", "provenance", "focal_relation", "focal_relevance",
+    "arxiv_url", "doi_url", "semantic_scholar_url", "abstract",
+)
+
+
+def csv_table(nodes: DataFrame) -> DataFrame:
+    """The fixed columns as texts: lists joined by "; ", formulas guarded, relevance with six places. Null and absent columns are empty, a count is 0 and a flag false; others go."""
+    kinds, empty = dict(nodes.dtypes), {"citation_count": "0", "is_focal": "false", "focal_relevance": "0.000000"}
+
+    def cell(c: str) -> Column:
+        x, kind, default = F.col(c), kinds.get(c), F.lit(empty.get(c, ""))
+        if kind is None:
+            return default
+        if c == "focal_relevance":
+            return F.coalesce(F.format_string("%.6f", F.coalesce(x.cast("double"), F.lit(0.0))), default)
+        told = F.coalesce(F.array_join(x, "; ") if kind.startswith("array") else x.cast("string"), default)
+        return T.csv_guarded(told) if kind == "string" or kind.startswith("array") else told
+
+    return nodes.select(*[cell(c).alias(c) for c in CSV_COLUMNS])
+
+
+def write_csv(nodes: DataFrame, path: str) -> None:
+    """A folder of CSV files of ``csv_table``, each with a line of column names. Lines end in a bare newline, as the writer turns line ends inside values into those of the file."""
+    csv_table(nodes).write.csv(path, header=True, escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
 def bibtex(nodes: DataFrame) -> DataFrame:
     """(id, entry). nodes: id, title, authors, year, venue, doi."""
     esc = T.bibtex_escaped

@@ -169,6 +169,22 @@ def test_graph_payload_round_trip(spark):
         files.read_graph(files.graph_payload(nodes, broken, "hybrid", "a"), "id:string,title:string")
 
 
+def test_csv_has_the_fixed_columns(spark, tmp_path):
+    import csv
+
+    kind = "id string, title string, year int, authors array<string>, is_focal boolean, focal_relevance double, abstract string, extra int"
+    nodes = spark.createDataFrame([("a", '=1+"2"', 2001, ["x", "y"], True, 0.25, "two\nlines, ", 1), ("b", None, None, None, None, None, None, 2)], kind).coalesce(1)
+    files.write_csv(nodes, str(tmp_path / "t"))
+    part = next((tmp_path / "t").glob("part-*"))
+    with part.open(newline="") as f:
+        head, first, second = list(csv.reader(f))
+    assert tuple(head) == files.CSV_COLUMNS
+    told = dict(zip(head, first, strict=True))
+    assert (told["title"], told["year"], told["authors"], told["is_focal"], told["focal_relevance"], told["abstract"]) == ("'=1+\"2\"", "2001", "x; y", "true", "0.250000", "two\nlines, ")
+    assert {c: v for c, v in zip(head, second, strict=True) if v} == {"id": "b", "citation_count": "0", "is_focal": "false", "focal_relevance": "0.000000"}
+    assert files.csv_table(nodes.where("false")).count() == 0
+
+
 def test_graphml_is_a_whole_document(spark, tmp_path):
     from xml.etree import ElementTree
 
