@@ -7,17 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators import refresh
 from kinweave.operators.common import shared_folder
 from kinweave.plans.discovery import CODES, COS, K, WIDTH
-from kinweave.plans.tables import papers
-from kinweave.sources import vector_index
+from kinweave.plans.tables import papers, read
+from kinweave.sources import files, tables, vector_index
 
 #: The shortlist of a search, in multiples of what is asked for; small, so that it isn't the whole of a small table.
 MULTIPLIER, EVERY = 8, 50
 
 
 def new_index(spark: SparkSession, sf_dir: str) -> vector_index.Index:
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = folder(spark)
     vector_index.write(papers(spark, sf_dir), path, WIDTH)
     return vector_index.opened(spark, path)
 
@@ -46,5 +47,54 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INDEX_RECALL = f"WITH {CODES}, {PAIRS}, {NEAR}, truth AS (SELECT query, id FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= {K}) SELECT t.query, count(n.id) AS hits, count(*) AS wanted FROM truth t LEFT JOIN near n USING (query, id) GROUP BY t.query"
 
-QUERIES = {f.__name__: f for f in (index_search, index_recall)}
+def folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user, from a keyed table that took events in three merges, later ones first, and one of them twice."""
+    rows = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    table = tables.created(spark, folder(spark), rows.schema, "user_id", ("ts", "event_id"), 16)
+    for version, part in enumerate((2, 0, 1, 0)):
+        tables.merge(spark, table, rows.where(F.col("event_id") % 3 == part), version)
+    return table.read(spark).select("user_id", "event_id", "event_type")
+
+
+MERGED_BATCHES = "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def refreshed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents but the French, brought in step with a source without the German, in which Spanish texts and English lengths have changed, by its newest rows."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "n_chars", F.col("doc_id").alias("ordinal"), F.lit(0).alias("priority"), F.when(F.col("doc_id") % 10 != 0, F.col("doc_id") % 1000).alias("chronology"))
+    store = tables.created(spark, folder(spark), d.select("id", "text", "lang", "n_chars", "chronology").schema, "id", (), 16)
+    refresh.refresh(spark, store, d.where("lang <> 'fr'"), 1)
+    new = d.where("lang <> 'de'").withColumns({"text": F.when(F.col("lang") == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text")), "n_chars": F.when(F.col("lang") == "en", F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    told = refresh.refresh(spark, store, new, 2, n=NEWEST)
+    return refresh.active(spark, store).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum("n_chars").alias("n_chars")).crossJoin(told.select("appended", "replaced", "refreshed", "unchanged", "absent", "members", "examined"))
+
+
+NEWEST = 150
+REFRESHED_CORPUS = f"""
+WITH s AS (SELECT doc_id, lang, CASE WHEN lang = 'es' THEN text || '!' ELSE text END AS text, CASE WHEN lang = 'en' THEN n_chars + 1 ELSE n_chars END AS n_chars, text IS NULL AS blank, CASE WHEN doc_id % 10 <> 0 THEN doc_id % 1000 END AS c FROM documents WHERE lang <> 'de'),
+n AS (SELECT * FROM s ORDER BY c IS NULL, c DESC, CASE WHEN c IS NULL THEN doc_id ELSE -doc_id END LIMIT {NEWEST}),
+t AS (SELECT count(*) FILTER (WHERE lang = 'fr') AS appended, count(*) FILTER (WHERE lang = 'es' AND NOT blank) AS replaced, count(*) FILTER (WHERE lang = 'en') AS refreshed, count(*) FILTER (WHERE lang NOT IN ('fr', 'en') AND (lang <> 'es' OR blank)) AS unchanged,
+  (SELECT count(*) FROM documents WHERE lang <> 'fr' AND doc_id NOT IN (SELECT doc_id FROM n)) AS absent, count(*) AS members, (SELECT count(*) FROM s) AS examined FROM n)
+SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(n_chars) AS BIGINT) AS n_chars, any_value(appended) AS appended, any_value(replaced) AS replaced, any_value(refreshed) AS refreshed, any_value(unchanged) AS unchanged, any_value(absent) AS absent, any_value(members) AS members, any_value(examined) AS examined FROM n, t GROUP BY lang
+"""
+
+
+def imported_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of the orders in order of their keys, imported by shards."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_number"), F.col("o_orderkey").cast("string").alias("id"), "o_custkey", "o_totalprice")
+    source, target = folder(spark), folder(spark)
+    first = rows.agg(F.min("row_number")).first()[0]
+    files.write_snapshot(rows.withColumn("row_number", F.col("row_number") - first), source)
+    files.import_snapshot(spark, source, target, batch_rows=1000)
+    back = files.read_snapshot(spark, target)
+    return back.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+IMPORTED_SHARDS = "SELECT (o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 1000 AS shard, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) AS id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1"
+
+QUERIES = {f.__name__: f for f in (index_search, index_recall, merged_batches, refreshed_corpus, imported_shards)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}

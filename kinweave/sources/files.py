@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,51 @@ def read_snapshot(spark: SparkSession, path: str, place: str = "row_number", key
     return rows
 
 
+IMPORT_LOG = "shard long, rows long, digest decimal(38,0)"
+
+
+def shards_told(rows: DataFrame) -> DataFrame:
+    """(shard, rows, digest): a digest that doesn't depend on the order of rows."""
+    columns = [c for c in rows.columns if c != "shard"]
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+
+
+def log_shards(spark: SparkSession, entries: list[tuple], destination: str) -> None:
+    spark.createDataFrame(entries, IMPORT_LOG).coalesce(1).write.mode("append").json(f"{destination}/log")
+
+
+def import_snapshot(spark: SparkSession, path: str, destination: str, batch_rows: int = 65_536, at_once: int = 64, place: str = "row_number", key: str = "id", **contract: str) -> int:
+    """Brings a checked snapshot into ``destination`` shard by shard and returns how many shards were written; an import that broke goes on where it was.
+
+    A shard is ``batch_rows`` places. ``at_once`` shards are written by a job, read back, compared with the snapshot by count and digest, and logged; those in the log aren't read or written again. The manifest comes last. Shards that were
+    logged with another digest, or of another size, raise: the snapshot isn't the one that the import began with.
+    """
+    rows = read_snapshot(spark, path, place, key, **contract).withColumn("shard", F.floor(F.col(place) / batch_rows))
+    manifest = read_manifest(spark, path)
+    try:
+        done = {r["shard"]: (r["rows"], r["digest"]) for r in spark.read.schema(IMPORT_LOG).json(f"{destination}/log").collect()}
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        done = {}
+    if done and {r["shard"]: (r["rows"], r["digest"]) for r in shards_told(rows.where(F.col("shard").isin(*done))).collect()} != done:
+        raise ValueError("the import was begun with other rows")
+    missing = [s for s in range(-(-manifest["rows"] // batch_rows)) if s not in done]
+    for at in range(0, len(missing), at_once):
+        group = missing[at : at + at_once]
+        first, last = group[0] * batch_rows, (group[-1] + 1) * batch_rows
+        part = rows.where((F.col(place) >= first) & (F.col(place) < last) & F.col("shard").isin(*group))
+        part.repartition("shard").sortWithinPartitions(place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(f"{destination}/rows")
+        told = lambda d: {r["shard"]: (r["rows"], r["digest"]) for r in shards_told(d.where(F.col("shard").isin(*group))).collect()}  # noqa: B023, E731
+        back = told(spark.read.schema(rows.schema).parquet(f"{destination}/rows"))
+        if back != told(part):
+            raise ValueError(f"shards {group[0]} to {group[-1]} weren't written as they are")
+        log_shards(spark, [(s, *back[s]) for s in group], destination)
+    if missing or not done:
+        spark.createDataFrame([(FORMAT, manifest["rows"], manifest["schema"], manifest["contract"])], "format int, rows long, schema string, contract map<string,string>").coalesce(1).write.mode("overwrite").json(f"{destination}/manifest")
+    return len(missing)
+
+
 def graph_payload(nodes: DataFrame, edges: DataFrame, strategy: str, focal: str) -> DataFrame:
     """One row, payload: a JSON document of a graph that has been cut to size. nodes and edges are sorted."""
     n = nodes.agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ("id", *[c for c in nodes.columns if c != "id"])]))).alias("nodes"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators.corpus import upserted
+from kinweave.sources import tables
 
 
 def latest_by_key(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -22,26 +23,19 @@ def windowed_counts(events: DataFrame, time: str = "ts", late: str = "10 minutes
     )
 
 
-def upsert_stream(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "id", order: list[str] | None = None):
-    """Start a query that keeps a Parquet table of the latest row of each key. Each batch writes a new version and then moves the pointer to it, so a batch that is run again leaves the same table."""
+def upsert_stream(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "id", order: list[str] | None = None, buckets: int = 64):
+    """Start a query that keeps a keyed table of the greatest row of each key by ``order``, across batches: a late row of less order changes nothing.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = latest_by_key(batch, key, order or [key])
-        last = current(spark, path)
-        table = new if last is None or last["version"] >= number else upserted(spark.read.parquet(f"{path}/v{last['version']}"), new, key)
-        if last is not None and last["version"] >= number:
-            return
-        table.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{path}/versions")
-
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    Each batch is a merge of its number, which rewrites only the buckets of its keys; a batch that is run again finds its merge in the log.
+    """
+    try:
+        table = tables.opened(spark, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        table = tables.created(spark, path, source.schema, key, tuple(order or ()), buckets)
 
+    def put(batch: DataFrame, number: int) -> None:
+        tables.merge(spark, table, batch, number)
 
-def current(spark: SparkSession, path: str):
-    """The newest version's row, or None before the first."""
-    try:
-        return spark.read.schema("version long").json(f"{path}/versions").orderBy(F.desc("version")).first()
-    except Exception as e:  # the folder doesn't exist yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
