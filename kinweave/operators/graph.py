@@ -83,18 +83,18 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 SMALL = 100_000
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, focal: Column, alpha: float = 0.85, tolerance: float = 1e-6, small: int = SMALL) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, focal: Column, alpha: float = 0.85, tolerance: float = 1e-12, small: int = SMALL) -> DataFrame:
     """Personalized PageRank with restart at the focal node, weighted by edge; a node without edges gives its rank back to the focal node.
 
-    Rounds end when the ranks together change by less than ``tolerance`` a node. Each round is a join and a sum; a graph of up to ``small`` nodes and
-    edges is worked out on the driver instead, to 1e-14.
+    Rounds end when the ranks, which add up to 1, together change by less than ``tolerance``, whatever the size of the graph. Each round is a join and a sum; a graph of up to ``small`` nodes and
+    edges is worked out on the driver instead, to the same bound.
     """
     flow = ends(edges, "weight").withColumn("share", F.col("weight") / F.sum("weight").over(W.partitionBy("node"))).select("node", "other", "share")
     flow = cut(flow)
     start = cut(nodes.select("id", F.when(F.col("id") == focal, 1.0).otherwise(0.0).alias("rank")))
     n = start.count()
     if n <= small and flow.limit(2 * small + 1).count() <= 2 * small:
-        return ranked_here(start, flow, alpha)
+        return ranked_here(start, flow, alpha, tolerance)
     rank = start
     while True:
         sent = rank.join(flow, F.col("id") == F.col("node")).groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
@@ -104,11 +104,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, focal: Column, alpha: float = 0
         new = cut(new.select("id", F.col("rank").alias("was"), (restart + alpha * F.coalesce("got", F.lit(0.0))).alias("rank")))
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
         rank = new.select("id", "rank")
-        if moved < tolerance * max(1, n):
+        if moved < tolerance:
             return rank
 
 
-def ranked_here(start: DataFrame, flow: DataFrame, alpha: float) -> DataFrame:
+def ranked_here(start: DataFrame, flow: DataFrame, alpha: float, tolerance: float) -> DataFrame:
     begins = [tuple(r) for r in start.select("id", "rank").collect()]
     place = {i: k for k, (i, _) in enumerate(begins)}
     rows = [(place[r["node"]], place[r["other"]], r["share"]) for r in flow.collect() if r["node"] in place and r["other"] in place]
@@ -118,7 +118,7 @@ def ranked_here(start: DataFrame, flow: DataFrame, alpha: float) -> DataFrame:
     while True:
         got = np.bincount(target, rank[source] * share, minlength=len(rank)) if len(rank) else rank
         new = alpha * got + (1 - alpha * got.sum()) * home
-        if np.abs(new - rank).sum() < 1e-14:
+        if np.abs(new - rank).sum() < tolerance:
             return start.sparkSession.createDataFrame([(i, float(new[k])) for i, k in place.items()], start.schema)
         rank = new
 

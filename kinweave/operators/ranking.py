@@ -38,12 +38,15 @@ def with_nearest(rows: DataFrame, references: DataFrame, block: int = BLOCK) ->
     def compared(shared, top: bool):
         def run(batches):
             ids, matrix = shared.value
+            at = {i: n for n, i in enumerate(ids)}
             for batch in batches:
                 own = batch.column(batch.schema.get_field_index("id")).to_pylist()
                 unit = batch.column(batch.schema.get_field_index("unit"))
                 x = np.array([v if v is not None else [np.nan] * matrix.shape[1] for v in unit.to_pylist()], float).reshape(len(own), -1)
                 c = x @ matrix.T
-                c[np.array([[i == j for j in ids] for i in own], bool)] = -np.inf
+                itself = [(n, at[i]) for n, i in enumerate(own) if i in at]
+                if itself:
+                    c[tuple(np.array(itself).T)] = -np.inf
                 if top:
                     met = batch.column(batch.schema.get_field_index("top")).to_pylist()
                     c = np.concatenate([c, np.array([(t or []) + [-np.inf] * (CONTEXT_SIZE - len(t or [])) for t in met]).reshape(len(own), -1)], axis=1)

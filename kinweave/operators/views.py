@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinweave.operators.common import numbered
+
 TIERS = ((3, "top"), (8, "high"), (15, "middle"))
+#: Weights no further apart are equal.
+TIED = 1e-9
 
 
 def scope(which: str, year: Column, focal_year: Column, relation: Column, is_focal: Column) -> Column:
@@ -34,16 +37,15 @@ def visible(nodes: DataFrame, first_year: int | None = None, last_year: int | No
 def listed(nodes: DataFrame, key: str = "citations") -> DataFrame:
     """The focal record first, then by the key, citations, newer years and id; pos numbers the rows of the list."""
     order = [F.desc("is_focal"), F.desc(key), F.desc("citations"), F.desc_nulls_last("year"), F.asc("id")]
-    return nodes.withColumn("pos", F.row_number().over(W.orderBy(*order)))
+    return numbered(nodes, order, "pos")
 
 
 def tier(nodes: DataFrame) -> DataFrame:
     """The tier of a node's size by its place in citations."""
-    place = F.row_number().over(W.orderBy(F.desc("citations"), "id"))
     out: Column = F.lit("low")
     for most, name in reversed(TIERS):
         out = F.when(F.col("place") <= most, name).otherwise(out)
-    return nodes.withColumn("place", place).withColumn("tier", out)
+    return numbered(nodes, [F.desc("citations"), F.asc("id")], "place").withColumn("tier", out)
 
 
 def leads(ranked: DataFrame, kept: DataFrame, most: int = 10) -> DataFrame:
@@ -61,6 +63,9 @@ def year_scale(nodes: DataFrame) -> DataFrame:
     return nodes.crossJoin(F.broadcast(bounds)).withColumn("shade", F.when(known, (F.col("year") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)).drop("lo", "hi")
 
 
-def relative_strength(edges: DataFrame) -> DataFrame:
-    bounds = edges.agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
-    return edges.crossJoin(F.broadcast(bounds)).withColumn("strength", F.when(F.col("hi") > F.col("lo"), (F.col("weight") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)).drop("lo", "hi")
+def relative_strength(edges: DataFrame, *graph: str) -> DataFrame:
+    """``strength``: where a weight lies between the least and the greatest of its graph, which the columns ``graph`` name; 0.5 if those are as good as equal."""
+    bounds = edges.groupBy(*graph).agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    both = edges.join(bounds, list(graph)) if graph else edges.crossJoin(F.broadcast(bounds))
+    span = F.col("hi") - F.col("lo")
+    return both.withColumn("strength", F.when(span > TIED, (F.col("weight") - F.col("lo")) / span).otherwise(0.5)).drop("lo", "hi")

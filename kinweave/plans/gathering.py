@@ -93,19 +93,19 @@ WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey = 1) AND p_type N
 
 
 def edge_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and nations as edges: relative strength, and which rules of edges their scores pass."""
+    """Suppliers and nations as edges: relative strength among those of a nation, of which some have one supplier, and which rules of edges their scores pass."""
     edges = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("left"), F.col("s_nationkey").alias("right"), ((F.col("s_suppkey") * 37) % 101 / 100).alias("weight"))
     w = F.col("weight")
     rules = {"by_default": scores.default_edge(w, 0.3), "by_embedding": scores.embedding_edge(w), "by_hybrid": scores.hybrid_edge(w, F.col("left") % 4 == 0)}
-    return views.relative_strength(edges).withColumns(rules)
+    return views.relative_strength(edges, "right").select("left", "right", "weight", "strength").withColumns(rules)
 
 
 EDGE_STRENGTHS = """
 WITH e AS (SELECT s_suppkey AS "left", s_nationkey AS "right", (s_suppkey * 37) % 101 / 100.0::DOUBLE AS weight FROM supplier),
-b AS (SELECT min(weight) AS lo, max(weight) AS hi FROM e)
-SELECT "left", "right", weight, CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1 END AS strength, weight > 0 AND weight >= 0.3::DOUBLE AS by_default, weight > 0.1::DOUBLE AS by_embedding,
+b AS (SELECT "right", min(weight) AS lo, max(weight) AS hi FROM e GROUP BY "right")
+SELECT "left", "right", weight, CASE WHEN hi - lo > 1e-9 THEN (weight - lo) / (hi - lo) ELSE 0.5 END AS strength, weight > 0 AND weight >= 0.3::DOUBLE AS by_default, weight > 0.1::DOUBLE AS by_embedding,
        weight >= 0.2::DOUBLE AND weight > CASE WHEN "left" % 4 = 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END AS by_hybrid
-FROM e, b
+FROM e JOIN b USING ("right")
 """
 
 
