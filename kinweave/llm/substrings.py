@@ -1,62 +1,64 @@
-"""Substring dedup by content-defined chunks: a gear rolling hash sets the cuts, chunks are matched by digest, and passages are measured exactly on windows of words."""
+"""Substring dedup by content-defined chunks: a gear rolling hash sets the cuts, chunks that stand in two documents are the only candidates, and passages are measured exactly on windows of words around them."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import arrow_rows, checkpointed, let, read, running, text_or_empty, written
+from kinweave.llm.common import arrow_rows, let, read, running, text_or_empty, written
 
 GEAR = np.random.default_rng(31_337).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
+#: A digest with more than this share of all repeated chunks is known to every task: there are no more than HOT_SHARE. Its chunks are marked where they are.
+HOT_SHARE = 1000
 
 
-def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte: h = (h << 1) + GEAR[byte] in 32 bits, so it tells of the last 32 bytes. Sums are doubled in five steps."""
-    h = GEAR[data]
-    for s in (1, 2, 4, 8, 16):
-        if s >= len(h):
-            break
+def rolling(data: np.ndarray, reach: int) -> np.ndarray:
+    """The gear hash after each byte: h = (h << 1) + GEAR[byte] over the last ``reach`` bytes, a power of two up to 32. Sums are doubled."""
+    h, s = GEAR[data], 1
+    while s < min(reach, len(h)):
         out = h.copy()
         out[s:] += h[:-s] << np.uint32(s)
-        h = out
+        h, s = out, s * 2
     return h
 
 
-def cuts(data: np.ndarray, reach: int, longest: int) -> np.ndarray:
-    """Chunk starts, and the length at the end. A chunk starts after each byte whose hash is above the ``reach`` hashes before it and not below the ``reach`` after.
+def window_sizes(min_words: int) -> tuple[int, int]:
+    """The bytes that a hash tells of, and the words of which one ends a chunk, so that equal windows of ``min_words`` words hold a whole chunk in common, wherever they stand.
 
-    A cut depends on the bytes around it alone, so an insertion changes the chunks near it and no others. Where no cut is made
-    for long, as in runs of one byte, chunks of ``longest`` bytes follow the last one. Cuts move on to the start of a character.
+    A hash of R bytes is that of the window alone from its word R / 2 on, as a word and what follows it have two bytes or more. A word's place among those of w windows of w words is then told
+    by the window alone if w - 1 such words are on both sides, and 2 * w of these hold two cuts. So 4 * w + R / 2 - 2 words are enough.
     """
-    n = len(data)
-    h = rolling(data).astype(np.int64)
-    low = np.concatenate([np.full(reach, -1), h, np.full(reach, -1)])
-    top, width = low, 1
-    while width * 2 <= reach:
-        top = np.maximum(top[:-width], top[width:])
-        width *= 2
-    most = np.maximum(top[: len(top) - (reach - width)], top[reach - width :])  # of low[i : i + reach]
-    at = np.flatnonzero((h > most[:n]) & (h >= most[reach + 1 : reach + 1 + n])) + 1
-    at = np.concatenate([[0], at[at < n], [n]])
-    if (np.diff(at) > longest).any():
-        at = np.concatenate([[*range(a, z, longest)] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] + [[n]])
-    inside = (data & 0xC0) == 0x80
-    while (wrong := inside[np.minimum(at, n - 1)] & (at < n)).any():
-        at = at + wrong
-    return np.unique(at)
+    reach = 1 << max(0, min(5, (2 * min_words // 3).bit_length() - 1))
+    return reach, max(1, (min_words + 2 - reach // 2) // 4)
+
+
+def slid(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of each ``width`` values in a row."""
+    done = 1
+    while done * 2 <= width:
+        values = best(values[:-done], values[done:])
+        done *= 2
+    return best(values[: len(values) - (width - done)], values[width - done :])
+
+
+def last_words(data: np.ndarray, end: np.ndarray, reach: int, width: int) -> np.ndarray:
+    """The words after which a chunk ends: those whose hash is the greatest of some ``width`` words in a row, the last of equals.
+
+    Any ``width`` words hold one. A word's choice depends on the words and bytes around it alone, so an insertion changes the chunks near it and no others.
+    """
+    if len(end) < width:
+        return np.zeros(0, np.int64)
+    keys = (rolling(data, reach)[end - 1].astype(np.uint64) << np.uint64(32)) | np.arange(len(end), dtype=np.uint64)
+    chosen = np.zeros(len(end), bool)
+    chosen[(slid(keys, width, np.maximum) & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    return np.flatnonzero(chosen)
 
 
 SPACE, CORE = np.zeros(256, bool), np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-BYTE = np.random.default_rng(31_338).integers(0, 1 << 63, 256, np.uint64)
-BASE = 0x9E3779B97F4A7C15
-BACK = pow(BASE, -1, 1 << 64)
-#: Words of a gram: its hash picks the windows that are looked at.
-GRAM = 20
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,54 +74,13 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(has, first, start), np.where(has, last + 1, end)
 
 
-def picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_words: int) -> np.ndarray:
-    """For each window of ``min_words`` words the least hash of the grams in it. Equal windows have the same one, whatever is around them."""
-    gram = min(GRAM, min_words)
-    if len(start) < min_words:
-        return np.zeros(0, np.uint64)
-    powers, back = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), b, np.uint64))]) for b in (BASE, BACK))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTE[data] * powers[:-1])])
-    a, z = start[: len(start) - gram + 1], end[gram - 1 :]
-    h = (sums[z] - sums[a]) * back[a]
-    for shift in (33, 29):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(BASE)
-    h ^= h >> np.uint64(32)
-    most, width = min_words - gram + 1, 1
-    while width * 2 <= most:
-        h = np.minimum(h[:-width], h[width:])
-        width *= 2
-    return np.minimum(h[: len(h) - (most - width)], h[most - width :])
-
-
-def shared_grams(docs: DataFrame, min_words: int, text: str) -> np.ndarray:
-    """A bit for each hash that windows of two documents were given, 16 times as many bits as hashes, of 2 ** 28 at most.
-
-    Other hashes can fall on a bit; their windows are looked at as well, for nothing.
-    """
+def cuts(data: np.ndarray, end: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Byte places at which chunks start, and the length at the end: chunks cover the text."""
+    return np.unique(np.concatenate([[0], end[last], [len(data)]]))
 
-    def make():
-        def step(batch):
-            uids, found = [], []
-            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = np.frombuffer(t.encode(), np.uint8)
-                found.append(np.unique(picked(data, *words(data), min_words)).view(np.int64))
-                uids.append(np.full(len(found[-1]), uid))
-            return {"uid": np.concatenate(uids), "gram": np.concatenate(found)} if uids else None
 
-        return step
-
-    seen = arrow_rows(docs.select(F.monotonically_increasing_id(), text_or_empty(text)), make, "uid long, gram long").groupBy("gram").agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
-    twice = checkpointed(seen.where("first < last").select("gram"))
-    bits = 1 << min(28, max(16, (16 * twice.count()).bit_length()))
-    place = F.col("gram").bitwiseAND(F.lit(bits - 1))
-    cells = twice.select(F.shiftright(place, 6).alias("cell"), F.expr("shiftleft(1L, cast((gram & 63) as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[cells["cell"].to_numpy()] = cells["bit"].to_numpy()
-    return out.view(np.uint64)
-
-
-SPAN = "a: bigint, b: int, start: int, end: int"
-SCHEMA = f"uid long, key long, chunks array<struct<a: bigint, b: int, end: int>>, runs array<struct<gram: bigint, {SPAN}, windows: array<struct<{SPAN}>>>>"
+def code_points(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
 
 
 def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,63 +90,118 @@ def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return both[:, 0].astype(np.uint64).view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int32)
 
 
-def pieces(docs: DataFrame, reach: int, longest: int, min_words: int, text: str, key: str) -> DataFrame:
-    """One row per row of ``docs``: uid, key, its chunks in order, and its runs of windows that may stand in another document.
-
-    Chunks and windows are known by digests (a, b); places are code points. A run is a stretch of windows of ``min_words`` words that have the
-    same picked gram, which some other document has picked too; its digest is that of all its words. It comes with its windows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(shared_grams(docs, min_words, text))
-    i32, i64 = pa.int32(), pa.int64()
-    column = lambda values, kind: pa.array(np.concatenate(values) if values else [], kind)
-    lists = lambda sizes, child: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), i32), child)
-
-    def spans(parts: list[tuple], **more) -> pa.StructArray:
-        a, b, start, end = zip(*parts, strict=True) if parts else ([],) * 4
-        columns = {"a": column(a, i64), "b": column(b, i32), "start": column(start, i32), "end": column(end, i32)}
-        given = {k: v for k, v in more.items() if k == "gram"} | columns | {k: v for k, v in more.items() if k != "gram"}
-        return pa.StructArray.from_arrays([*given.values()], names=[*given])
+def chunked(docs: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
+    """One row per row of ``docs``: uid, key, text and its chunks in order, each with its digest (a, b) and end in code points."""
+    reach, width = window_sizes(min_words)
 
     def make():
-        bits = shared.value
-
         def step(batch):
-            sizes, per_doc, per_run = [], [], []
-            chunk, run, window, grams_of = [], [], [], []
+            found = []
             for t in batch.column(2).to_pylist():
                 raw = t.encode()
-                sizes.append(0)
-                per_doc.append(0)
+                data = np.frombuffer(raw, np.uint8)
                 if not raw:
+                    found.append([])
                     continue
+                _, end = words(data)
+                at = cuts(data, end, last_words(data, end, reach, width))
+                a, b = digests(raw, at[:-1], at[1:])
+                found.append([{"a": x, "b": y, "end": z} for x, y, z in zip(a.tolist(), b.tolist(), code_points(data)[at[1:]].tolist(), strict=True)])
+            return {"uid": batch.column(0), "key": batch.column(1), "text": batch.column(2), "chunks": found}
+
+        return step
+
+    given = docs.select(F.monotonically_increasing_id(), docs[f"`{key}`"].cast("long"), text_or_empty(f"`{text}`"))
+    return arrow_rows(given, make, "uid long, key long, text string, chunks array<struct<a: bigint, b: int, end: int>>", rows=100)
+
+
+def candidates(raw: bytes, repeated: list[int], min_words: int) -> list[tuple]:
+    """Runs (gram, a, b, start, end, at, n) of windows of ``min_words`` words that may stand in another document: n windows from word ``at`` on.
+
+    A window's own chunks are those that its words alone tell, so equal windows have the same. It may stand elsewhere if all of them do. Its gram is the least of their digests; windows of a run have one gram, and the run's digest (a, b)
+    is that of all its words.
+    """
+    reach, width = window_sizes(min_words)
+    data = np.frombuffer(raw, np.uint8)
+    start, end = words(data)
+    n = len(start) - min_words + 1
+    if n <= 0:
+        return []
+    last = last_words(data, end, reach, width)
+    at = cuts(data, end, last)
+    stands = np.zeros(len(at) - 1, bool)
+    stands[repeated] = True
+    digest = np.full(len(stands), np.iinfo(np.uint64).max, np.uint64)
+    own = np.flatnonzero(stands)
+    digest[own] = digests(raw, at[own], at[own + 1])[0].view(np.uint64)
+    s = np.arange(n)
+    # The first word whose hash is the window's own, and from there the words whose choice is.
+    lo = np.searchsorted(end, start[:n] + reach) + width - 1
+    hi = s + min_words - width
+    # Chunk k + 1 lies between the chosen words k and k + 1.
+    first, stop = np.searchsorted(last, lo) + 1, np.searchsorted(last, hi, side="right")
+    some = stop > first
+    count = np.concatenate([[0], np.cumsum(stands)])
+    near = some & (count[np.where(some, stop, 0)] - count[np.where(some, first, 0)] == stop - first)
+    if not near.any():
+        return []
+    grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    level, rows = digest, np.flatnonzero(near)
+    size = (stop - first)[rows]
+    step = 1
+    while len(rows):
+        mine = size < 2 * step
+        i = rows[mine]
+        grams[i] = np.minimum(level[first[i]], level[stop[i] - step])
+        rows, size = rows[~mine], size[~mine]
+        level = np.minimum(level, np.concatenate([level[step:], np.full(min(step, len(level)), np.iinfo(np.uint64).max, np.uint64)]))
+        step *= 2
+    edge = np.flatnonzero((grams[1:] != grams[:-1]) | (near[1:] != near[:-1])) + 1
+    begin, stop_at = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
+    begin, stop_at = begin[near[begin]], stop_at[near[begin]]
+    z = stop_at - 1 + min_words - 1
+    a, b = digests(raw, start[begin], end[z])
+    c = code_points(data)
+    return list(zip(grams[begin].view(np.int64).tolist(), a.tolist(), b.tolist(), c[start[begin]].tolist(), c[end[z]].tolist(), begin.tolist(), (stop_at - begin).tolist(), strict=True))
+
+
+RUN = ("gram", "a", "b", "start", "end", "at", "n")
+
+
+def runs_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """The runs of ``candidates`` of rows (uid, text, repeated), one a row."""
+
+    def make():
+        def step(batch):
+            out = []
+            for uid, t, repeated in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                out += [(uid, *r) for r in candidates(t.encode(), repeated, min_words)]
+            return dict(zip(("uid", *RUN), map(list, zip(*out, strict=True)), strict=True)) if out else None
+
+        return step
+
+    return arrow_rows(rows.select("uid", "text", "repeated"), make, "uid long, gram long, a long, b int, start int, end int, at int, n int", rows=100)
+
+
+def windows_of(rows: DataFrame, min_words: int) -> DataFrame:
+    """The windows of some runs, one a row: uid, digest (a, b), start and end. rows: uid, text, runs (array of at and n)."""
+
+    def make():
+        def step(batch):
+            parts = []
+            for uid, t, runs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = t.encode()
                 data = np.frombuffer(raw, np.uint8)
-                at = cuts(data, reach, longest)
-                c = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
-                sizes[-1] = len(at) - 1
-                chunk.append((*digests(raw, at[:-1], at[1:]), c[at[1:]]))
                 start, end = words(data)
-                grams = picked(data, start, end, min_words)
-                place = grams & np.uint64(len(bits) * 64 - 1)
-                near = ((bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-                if not near.any():
-                    continue
-                edge = np.flatnonzero((grams[1:] != grams[:-1]) | (near[1:] != near[:-1])) + 1
-                first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(grams)]]) - 1
-                first, last = first[near[first]], last[near[first]]
-                per_doc[-1] = len(first)
-                per_run.append(last - first + 1)
-                grams_of.append(grams[first].view(np.int64))
-                run.append((*digests(raw, start[first], end[last + min_words - 1]), c[start[first]], c[end[last + min_words - 1]]))
-                own = np.flatnonzero(near)
-                window.append((*digests(raw, start[own], end[own + min_words - 1]), c[start[own]], c[end[own + min_words - 1]]))
-            a, b, end = zip(*chunk, strict=True) if chunk else ([],) * 3
-            whole = pa.StructArray.from_arrays([column(a, i64), column(b, i32), column(end, i32)], names=["a", "b", "end"])
-            windows = lists(np.concatenate(per_run) if per_run else [], spans(window))
-            return {"uid": batch.column(0), "key": batch.column(1), "chunks": lists(sizes, whole), "runs": lists(per_doc, spans(run, gram=column(grams_of, i64), windows=windows))}
+                i = np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in runs])
+                a, b = digests(raw, start[i], end[i + min_words - 1])
+                c = code_points(data)
+                parts.append((np.full(len(i), uid), a, b, c[start[i]], c[end[i + min_words - 1]]))
+            return {n: np.concatenate([p[k] for p in parts]) for k, n in enumerate(("uid", "a", "b", "start", "end"))} if parts else None
 
         return step
 
-    return arrow_rows(docs.select(F.monotonically_increasing_id(), docs[key].cast("long"), text_or_empty(text)), make, SCHEMA, rows=100)
+    return arrow_rows(rows.select("uid", "text", "runs"), make, "uid long, a long, b int, start int, end int", rows=100)
 
 
 def joined(spans: Column) -> Column:
@@ -198,47 +214,54 @@ def joined(spans: Column) -> Column:
     return let(running(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest), of)
 
 
-def repeats(docs: DataFrame, min_words: int = 50, reach: int = 48, longest: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_chunks, n_repeated, repeated_chars, has_repeat, first_copy, passages and removable.
 
-    A chunk is repeated if its digest stands in another document. Passages are exact and don't depend on the cuts: every window
+    A chunk is repeated if its digest stands in another document; everything else follows from those. Passages are exact and don't depend on the cuts: every window
     of ``min_words`` words that another document holds, byte for byte, belongs to one, and passages lists [start, end) code points
     of such windows, those that overlap as one. has_repeat tells that there is a passage. removable are the parts whose windows' first
     copy stands in an earlier row; dropping those leaves a copy of each word of the passages. first_copy tells that there are passages and that
     none of them is removable.
 
-    Equal windows pick the same gram, so only windows whose pick stands in two documents are looked at. Runs of windows with one pick are
-    compared first, as wholes: where another document has the run, all its windows repeat. The windows of a pick that stands in
+    Equal windows have the same chunks inside, one at least (see ``window_sizes``), so only windows all of whose chunks are repeated are looked at, in runs that have one least chunk. Runs are
+    compared first, as wholes: where another document has the run, all its windows repeat. The windows of a chunk that stands in
     different runs are compared one by one, but those of a run that many documents have only once, in the first of them.
 
     Null and empty texts have one empty chunk, which repeats nothing. Repeated rows are documents of their own. Other
     columns aren't read; an empty table gives no rows. Digests are counted before they meet, so a passage that a third of all
-    documents hold is a few rows of each task; the joins that follow deal a frequent digest's rows out again.
+    documents hold is a few rows of each task; its chunks are known to all tasks afterwards. Texts are written once, with their chunks, and read back with their documents' repeated chunks.
     """
-    rows = written(pieces(docs, reach, longest, min_words, text, key))
-    twice = lambda df, *by: df.groupBy(*by).agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
-    begin = lambda x, i: F.coalesce(F.get("chunks", i - 1)["end"], F.lit(0))
-    chunks = rows.select("uid", F.explode(F.transform("chunks", lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), (x["end"] - begin(x, i)).alias("chars")))).alias("x")).select("uid", "x.*")
-    often = twice(chunks, "a", "b").where("first < last").select("a", "b")
-    counted = chunks.join(often, ["a", "b"]).groupBy("uid").agg(F.count("*").alias("n_repeated"), F.sum("chars").alias("repeated_chars"))
-    runs = rows.select("uid", F.explode("runs").alias("r")).select("uid", "r.*")
+    rows = written(chunked(docs, min_words, text, key))
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min("uid").alias("first"), F.max("uid").alias("last"), F.count("*").alias("held"))
+    chunks = rows.select("uid", F.posexplode_outer("chunks").alias("i", "x")).where("i IS NOT NULL").select("uid", "i", "x.a", "x.b")
+    often = written(twice(chunks, "a", "b").where("first < last").select("a", "b", "held"))
+    total = often.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    is_hot = F.col("held") * HOT_SHARE > total
+    marked = chunks.join(F.broadcast(often.where(is_hot).select("a", "b", F.lit(True).alias("hot"))), ["a", "b"], "left")
+    cold = marked.where("hot IS NULL").join(often.where(~is_hot).select("a", "b"), ["a", "b"]).select("uid", "i")
+    flags = marked.where("hot").select("uid", "i").unionByName(cold).groupBy("uid").agg(F.collect_list("i").alias("repeated"))
+    with_flags = rows.join(flags, "uid")
+    begin = lambda i: F.coalesce(F.get("chunks", i - 1)["end"], F.lit(0))
+    chars = F.aggregate("repeated", F.lit(0).cast("long"), lambda t, i: t + (F.get("chunks", i)["end"] - begin(i)))
+    told = with_flags.select("uid", "text", "repeated")
+    runs = written(runs_of(told, min_words))
     wholes = written(twice(runs, "gram", "a", "b"))
     various = wholes.groupBy("gram").agg((F.count("*") > 1).alias("various"))
-    whole = runs.drop("windows").join(wholes.where("first < last").select("gram", "a", "b", "first"), ["gram", "a", "b"])
+    whole = runs.join(wholes.where("first < last").select("gram", "a", "b", "first"), ["gram", "a", "b"])
     alone = wholes.join(various.where("various"), "gram").select("gram", "a", "b", F.col("first").alias("uid"))
-    windows = written(runs.join(alone, ["gram", "a", "b", "uid"]).select("uid", F.explode("windows").alias("w")).select("uid", "w.*"))
+    chosen = runs.join(alone, ["gram", "a", "b", "uid"]).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    windows = written(windows_of(rows.select("uid", "text").join(chosen, "uid"), min_words))
     same = windows.join(twice(windows, "a", "b").where("first < last").select("a", "b", "first"), ["a", "b"])
     span = F.struct("start", "end", (F.col("first") < F.col("uid")).alias("later"))
     found = whole.select("uid", span.alias("s")).unionByName(same.select("uid", span.alias("s"))).groupBy("uid").agg(F.array_sort(F.collect_list("s")).alias("s"))
     later = F.filter("s", lambda w: w["later"])
     found = found.select("uid", joined(F.col("s")).alias("passages"), let(later, joined).alias("removable"))
-    heads = rows.select("uid", "key", F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n_chunks"))
+    heads = rows.select("uid", "key", "chunks").join(flags, "uid", "left").select("uid", "key", F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n_chunks"), F.coalesce(F.size("repeated"), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(chars, F.lit(0)).cast("long").alias("repeated_chars"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     return (
-        heads.join(counted, "uid", "left")
-        .join(found, "uid", "left")
+        heads.join(found, "uid", "left")
         .select(
-            F.col("key").alias(key), "n_chunks", F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).cast("long").alias("repeated_chars"),
+            F.col("key").alias(key), "n_chunks", "n_repeated", "repeated_chars",
             F.col("passages").isNotNull().alias("has_repeat"), F.coalesce(F.size("removable") == 0, F.lit(False)).alias("first_copy"),
             F.coalesce("passages", none).alias("passages"), F.coalesce("removable", none).alias("removable"),
         )

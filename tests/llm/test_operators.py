@@ -415,19 +415,48 @@ def test_no_conversations(spark, tmp_path):
     assert (r["conv_id"], r["n_turns"], r["loss_chars"]) == (-1, 2, 21)
 
 
+def chunks_of(raw, min_words=50):
+    data = np.frombuffer(raw, np.uint8)
+    _, end = substrings.words(data)
+    at = substrings.cuts(data, end, substrings.last_words(data, end, *substrings.window_sizes(min_words))).tolist()
+    return [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 def test_chunks_cover_texts_and_resist_insertions():
     rnd = random.Random(8)
-    body = "".join(rnd.choice("abcdefgh é") for _ in range(5000)).encode()
+    body = " ".join("".join(rnd.choice("abcdefgh\u00e9") for _ in range(rnd.randint(1, 8))) for _ in range(1000)).encode()
+    own = chunks_of(body)
+    assert b"".join(own) == body and all(len(c.decode().split()) <= 9 for c in own)
+    at = body.index(b" ", 2500)
+    changed = chunks_of(body[:at] + b" something new" + body[at:])
+    assert len(set(own) - set(changed)) <= 6
+    assert b"".join(chunks_of(b"a" * 3000)) == b"a" * 3000 and b"".join(chunks_of(b"la " * 300)) == b"la " * 300
 
-    def cut(raw):
-        at = substrings.cuts(np.frombuffer(raw, np.uint8), 20, 256).tolist()
-        return [raw[a:z] for a, z in zip(at, at[1:], strict=False)]
 
-    own = cut(body)
-    assert b"".join(own) == body and all(len(c) <= 260 and c.decode() for c in own)
-    changed = cut(body[:2500].decode(errors="ignore").encode() + b"something new" + body[2500:].decode(errors="ignore").encode())
-    assert len(set(own) - set(changed)) <= 6
-    assert b"".join(cut(b"a" * 3000)) == b"a" * 3000
+@pytest.mark.parametrize("size", [10, 20, 49, 50, 51, 80])
+@pytest.mark.parametrize("letters", [(1, 1), (1, 3), (2, 9)])
+def test_equal_windows_hold_a_whole_chunk_in_common(size, letters):
+    rnd = random.Random(size)
+    prose = lambda n, a="abcdefgh": " ".join("".join(rnd.choice(a) for _ in range(rnd.randint(*letters))) for _ in range(n))
+    for _ in range(150):
+        window = prose(size, rnd.choice(["abcdefgh", "ab"]))
+        one, two = (f"{prose(rnd.randint(0, 30))} {window} {prose(rnd.randint(0, 30))}".strip().encode() for _ in range(2))
+        every = [range(len(chunks_of(t, size))) for t in (one, two)]
+        mine = []
+        for t, repeated in zip((one, two), every, strict=True):
+            mine.append({r[0] for r in substrings.candidates(t, [*repeated], size) for i in range(r[5], r[5] + r[6]) if b" ".join(t.split()[i : i + size]) == window.encode()})
+        assert mine[0] and mine[0] == mine[1]
+
+
+def test_nothing_is_found_without_cuts(spark, monkeypatch):
+    rnd = random.Random(4)
+    prose = lambda n: " ".join(str(rnd.random()) for _ in range(n))
+    passage = prose(70)
+    df = documents(spark, [f"{prose(30)} {passage} {prose(30)}" for _ in range(3)])
+    assert all(r["has_repeat"] for r in substrings.repeats(df).collect())
+    real = substrings.digests
+    monkeypatch.setattr(substrings, "window_sizes", lambda _: (32, 10**6))
+    assert substrings.digests is real and not any(r["has_repeat"] for r in substrings.repeats(df).collect())
 
 
 def test_passages_that_repeat_are_found_and_others_not(spark):
@@ -487,7 +516,7 @@ def test_passages_are_those_of_brute_force(spark):
         return out
 
     df = documents(spark, texts).coalesce(1)
-    for r in substrings.repeats(df, min_words=size, reach=8).collect():
+    for r in substrings.repeats(df, min_words=size).collect():
         t, d = texts[r["doc_id"]], r["doc_id"]
         again = [(a, z) for a, z in windows[d] if len(owners[t[a:z]]) > 1]
         assert [tuple(s) for s in r["passages"]] == merged(again) and r["has_repeat"] == bool(again)
