@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import arrow_rows, let, read, running, text_or_empty, written
 
 GEAR = np.random.default_rng(31_337).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
-#: A digest with more than this share of all repeated chunks is known to every task: there are no more than HOT_SHARE. Its chunks are marked where they are.
+#: A digest with more than one of so many chunks is known to every task, and its chunks are counted apart, by partial sums; there are no more than HOT_SHARE of them.
 HOT_SHARE = 1000
 
 
@@ -90,9 +90,22 @@ def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray,
     return both[:, 0].astype(np.uint64).view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int32)
 
 
-def chunked(docs: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
-    """One row per row of ``docs``: uid, key, text and its chunks in order, each with its digest (a, b) and end in code points."""
+def layout(data: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Word starts and ends, chunk cuts, and for each window of ``min_words`` words its own chunks [first, stop), those that its words alone tell.
+
+    A window's own hashes start ``reach`` bytes after it does, and its own choices ``width`` - 1 words further and as many before its end. Chunk k + 1 lies between the chosen words k and k + 1.
+    """
     reach, width = window_sizes(min_words)
+    start, end = words(data)
+    last = last_words(data, end, reach, width)
+    s = np.arange(max(0, len(start) - min_words + 1))
+    lo = np.searchsorted(end, start[: len(s)] + reach) + width - 1
+    first, stop = np.searchsorted(last, lo) + 1, np.searchsorted(last, s + min_words - width, side="right")
+    return start, end, cuts(data, end, last), first, stop
+
+
+def chunked(docs: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
+    """One row per row of ``docs``: uid, key, text and its chunks in order: digest, code points, and how many chunks from it on are the fewest that a window has for its own (0: none starts with it)."""
 
     def make():
         def step(batch):
@@ -103,58 +116,52 @@ def chunked(docs: DataFrame, min_words: int, text: str, key: str) -> DataFrame:
                 if not raw:
                     found.append([])
                     continue
-                _, end = words(data)
-                at = cuts(data, end, last_words(data, end, reach, width))
-                a, b = digests(raw, at[:-1], at[1:])
-                found.append([{"a": x, "b": y, "end": z} for x, y, z in zip(a.tolist(), b.tolist(), code_points(data)[at[1:]].tolist(), strict=True)])
+                _, _, at, first, stop = layout(data, min_words)
+                need = np.zeros(len(at), np.int64)
+                i = np.flatnonzero(stop > first)
+                f, n = np.unique(first[i], return_index=True)
+                need[f] = stop[i][n] - f
+                chars = np.diff(code_points(data)[at])
+                found.append([{"a": x, "chars": y, "need": z} for x, y, z in zip(digests(raw, at[:-1], at[1:])[0].tolist(), chars.tolist(), need.tolist(), strict=False)])
             return {"uid": batch.column(0), "key": batch.column(1), "text": batch.column(2), "chunks": found}
 
         return step
 
     given = docs.select(F.monotonically_increasing_id(), docs[f"`{key}`"].cast("long"), text_or_empty(f"`{text}`"))
-    return arrow_rows(given, make, "uid long, key long, text string, chunks array<struct<a: bigint, b: int, end: int>>", rows=100)
+    return arrow_rows(given, make, "uid long, key long, text string, chunks array<struct<a: bigint, chars: int, need: int>>", rows=100)
 
 
 def candidates(raw: bytes, repeated: list[int], min_words: int) -> list[tuple]:
     """Runs (gram, a, b, start, end, at, n) of windows of ``min_words`` words that may stand in another document: n windows from word ``at`` on.
 
-    A window's own chunks are those that its words alone tell, so equal windows have the same. It may stand elsewhere if all of them do. Its gram is the least of their digests; windows of a run have one gram, and the run's digest (a, b)
+    Equal windows have the same own chunks. One may stand elsewhere if all of them do. Its gram is the least of their digests; windows of a run have one gram, and the run's digest (a, b)
     is that of all its words.
     """
-    reach, width = window_sizes(min_words)
     data = np.frombuffer(raw, np.uint8)
-    start, end = words(data)
-    n = len(start) - min_words + 1
-    if n <= 0:
+    start, end, at, first, stop = layout(data, min_words)
+    n = len(first)
+    if not n:
         return []
-    last = last_words(data, end, reach, width)
-    at = cuts(data, end, last)
+    most = np.iinfo(np.uint64).max
     stands = np.zeros(len(at) - 1, bool)
     stands[repeated] = True
-    digest = np.full(len(stands), np.iinfo(np.uint64).max, np.uint64)
+    digest = np.full(len(stands), most, np.uint64)
     own = np.flatnonzero(stands)
     digest[own] = digests(raw, at[own], at[own + 1])[0].view(np.uint64)
-    s = np.arange(n)
-    # The first word whose hash is the window's own, and from there the words whose choice is.
-    lo = np.searchsorted(end, start[:n] + reach) + width - 1
-    hi = s + min_words - width
-    # Chunk k + 1 lies between the chosen words k and k + 1.
-    first, stop = np.searchsorted(last, lo) + 1, np.searchsorted(last, hi, side="right")
     some = stop > first
     count = np.concatenate([[0], np.cumsum(stands)])
     near = some & (count[np.where(some, stop, 0)] - count[np.where(some, first, 0)] == stop - first)
     if not near.any():
         return []
-    grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    grams = np.full(n, most, np.uint64)
     level, rows = digest, np.flatnonzero(near)
-    size = (stop - first)[rows]
     step = 1
     while len(rows):
-        mine = size < 2 * step
+        mine = (stop - first)[rows] < 2 * step
         i = rows[mine]
         grams[i] = np.minimum(level[first[i]], level[stop[i] - step])
-        rows, size = rows[~mine], size[~mine]
-        level = np.minimum(level, np.concatenate([level[step:], np.full(min(step, len(level)), np.iinfo(np.uint64).max, np.uint64)]))
+        rows = rows[~mine]
+        level = np.minimum(level, np.concatenate([level[step:], np.full(min(step, len(level)), most, np.uint64)]))
         step *= 2
     edge = np.flatnonzero((grams[1:] != grams[:-1]) | (near[1:] != near[:-1])) + 1
     begin, stop_at = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
@@ -229,21 +236,27 @@ def repeats(docs: DataFrame, min_words: int = 50, text: str = "text", key: str =
 
     Null and empty texts have one empty chunk, which repeats nothing. Repeated rows are documents of their own. Other
     columns aren't read; an empty table gives no rows. Digests are counted before they meet, so a passage that a third of all
-    documents hold is a few rows of each task; its chunks are known to all tasks afterwards. Texts are written once, with their chunks, and read back with their documents' repeated chunks.
+    documents hold is a few rows of each task, and others share one shuffle of 64-bit digests. Texts are written once, with their chunks, and those that hold a window of repeated chunks are read back.
     """
     rows = written(chunked(docs, min_words, text, key))
-    twice = lambda df, *by: df.groupBy(*by).agg(F.min("uid").alias("first"), F.max("uid").alias("last"), F.count("*").alias("held"))
-    chunks = rows.select("uid", F.posexplode_outer("chunks").alias("i", "x")).where("i IS NOT NULL").select("uid", "i", "x.a", "x.b")
-    often = written(twice(chunks, "a", "b").where("first < last").select("a", "b", "held"))
-    total = often.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-    is_hot = F.col("held") * HOT_SHARE > total
-    marked = chunks.join(F.broadcast(often.where(is_hot).select("a", "b", F.lit(True).alias("hot"))), ["a", "b"], "left")
-    cold = marked.where("hot IS NULL").join(often.where(~is_hot).select("a", "b"), ["a", "b"]).select("uid", "i")
-    flags = marked.where("hot").select("uid", "i").unionByName(cold).groupBy("uid").agg(F.collect_list("i").alias("repeated"))
-    with_flags = rows.join(flags, "uid")
-    begin = lambda i: F.coalesce(F.get("chunks", i - 1)["end"], F.lit(0))
-    chars = F.aggregate("repeated", F.lit(0).cast("long"), lambda t, i: t + (F.get("chunks", i)["end"] - begin(i)))
-    told = with_flags.select("uid", "text", "repeated")
+    twice = lambda df, *by: df.groupBy(*by).agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    place = F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("x.chars").cast("long"))
+    chunks = rows.select("uid", F.posexplode_outer("chunks").alias("i", "x")).where("i IS NOT NULL").select("uid", place.alias("place"), F.col("x.a").alias("a"))
+    frequent = rows.select(F.explode_outer("chunks.a").alias("a")).agg(F.count("a").alias("total"), F.expr(f"approx_top_k(a, {HOT_SHARE}, {10 * HOT_SHARE})").alias("top"))
+    hot = written(frequent.select(F.explode("top").alias("t"), "total").where(F.col("t.count") * HOT_SHARE > F.col("total")).select(F.col("t.item").alias("a"), F.lit(True).alias("hot")))
+    marked = chunks.join(F.broadcast(hot), "a", "left")
+    own = marked.where("hot").select("uid", "place", "a")
+    often_hot = own.join(F.broadcast(twice(own, "a").where("first < last").select("a")), "a")
+    # One exchange serves the counts and the chunks that they are joined with: no digest left is frequent.
+    cold = marked.where("hot IS NULL").select("uid", "place", "a").repartition("a")
+    often_cold = cold.join(twice(cold, "a").where("first < last").select("a"), "a")
+    flags = often_hot.select("uid", "place").unionByName(often_cold.select("uid", "place")).groupBy("uid").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    low = F.lit((1 << 32) - 1)
+    flags = written(flags.select("uid", F.transform("places", lambda p: F.shiftright(p, 32).cast("int")).alias("repeated"), F.aggregate("places", F.lit(0).cast("long"), lambda t, p: t + p.bitwiseAND(low)).alias("chars")))
+    # Texts that hold no window all of whose own chunks are repeated aren't read again.
+    needed = lambda f: F.get("chunks", f)["need"]
+    whole_window = F.exists(F.transform("repeated", lambda f, p: (needed(f) > 0) & F.coalesce(F.get("repeated", p + needed(f) - 1) == f + needed(f) - 1, F.lit(False))), lambda x: x)
+    told = rows.select("uid", "text", F.transform("chunks", lambda x: F.struct(x["need"].alias("need"))).alias("chunks")).join(flags.select("uid", "repeated"), "uid").where(whole_window).select("uid", "text", "repeated")
     runs = written(runs_of(told, min_words))
     wholes = written(twice(runs, "gram", "a", "b"))
     various = wholes.groupBy("gram").agg((F.count("*") > 1).alias("various"))
@@ -256,12 +269,12 @@ def repeats(docs: DataFrame, min_words: int = 50, text: str = "text", key: str =
     found = whole.select("uid", span.alias("s")).unionByName(same.select("uid", span.alias("s"))).groupBy("uid").agg(F.array_sort(F.collect_list("s")).alias("s"))
     later = F.filter("s", lambda w: w["later"])
     found = found.select("uid", joined(F.col("s")).alias("passages"), let(later, joined).alias("removable"))
-    heads = rows.select("uid", "key", "chunks").join(flags, "uid", "left").select("uid", "key", F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n_chunks"), F.coalesce(F.size("repeated"), F.lit(0)).cast("long").alias("n_repeated"), F.coalesce(chars, F.lit(0)).cast("long").alias("repeated_chars"))
+    heads = rows.select("uid", "key", F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n_chunks")).join(flags.select("uid", F.size("repeated").cast("long").alias("n_repeated"), F.col("chars").alias("repeated_chars")), "uid", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     return (
         heads.join(found, "uid", "left")
         .select(
-            F.col("key").alias(key), "n_chunks", "n_repeated", "repeated_chars",
+            F.col("key").alias(key), "n_chunks", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).cast("long").alias("repeated_chars"),
             F.col("passages").isNotNull().alias("has_repeat"), F.coalesce(F.size("removable") == 0, F.lit(False)).alias("first_copy"),
             F.coalesce("passages", none).alias("passages"), F.coalesce("removable", none).alias("removable"),
         )
