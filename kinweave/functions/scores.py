@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Years, gates, weights, bonus and thresholds of the scores. Weights are of text or cosine, time, citations and shared references; of the embedding score of cosine, time and categories.
 TEMPORAL_THRESHOLD = 5
 EMBEDDING_GATE, EMBEDDING_WEIGHTS, AUTHOR_BONUS = 0.74, (0.5, 0.2, 0.2), 1.5
+CITATION_WEIGHTS, CITATION_WITHOUT_REFERENCES = (0.40, 0.20, 0.0, 0.40), (0.65, 0.20, 0.15, 0.0)
+RECOMMENDATION_WEIGHTS, RECOMMENDATION_WITHOUT_REFERENCES = (0.60, 0.15, 0.0, 0.25), (0.75, 0.25, 0.0, 0.0)
+HYBRID_SEMANTIC, HYBRID_CITATION, HYBRID_MIXED = (0.6, 0.2, 0.1, 0.1), (0.3, 0.3, 0.2, 0.2), (0.4, 0.3, 0.2, 0.1)
+EMBEDDING_EDGE, HYBRID_EDGE, HYBRID_FOCAL_EDGE, HYBRID_OTHER_EDGE = 0.1, 0.2, 0.4, 0.5
 
 
 def temporal(a: Column, b: Column) -> Column:
@@ -43,11 +48,11 @@ def indexed(text: Column, time: Column, cites: Column, shared: Column, both: Col
 
 
 def citation_strategy(text: Column, time: Column, cites: Column, shared: Column, both: Column) -> Column:
-    return indexed(text, time, cites, shared, both, (0.40, 0.20, 0.0, 0.40), (0.65, 0.20, 0.15, 0.0))
+    return indexed(text, time, cites, shared, both, CITATION_WEIGHTS, CITATION_WITHOUT_REFERENCES)
 
 
 def recommendation_strategy(text: Column, time: Column, cites: Column, shared: Column, both: Column) -> Column:
-    return indexed(text, time, cites, shared, both, (0.60, 0.15, 0.0, 0.25), (0.75, 0.25, 0.0, 0.0), cap=True)
+    return indexed(text, time, cites, shared, both, RECOMMENDATION_WEIGHTS, RECOMMENDATION_WITHOUT_REFERENCES, cap=True)
 
 
 def embedding_strategy(cosine: Column, time: Column, categories: Column, shared_author: Column, gate: float = EMBEDDING_GATE) -> Column:
@@ -63,14 +68,11 @@ def default_edge(score: Column, threshold: float = 0.0) -> Column:
 
 
 def embedding_edge(score: Column) -> Column:
-    return score > 0.1
+    return score > EMBEDDING_EDGE
 
 
 def hybrid_edge(score: Column, focal: Column) -> Column:
-    return (score >= 0.2) & (score > F.when(focal, 0.4).otherwise(0.5))
-
-
-HYBRID_SEMANTIC, HYBRID_CITATION, HYBRID_MIXED = (0.6, 0.2, 0.1, 0.1), (0.3, 0.3, 0.2, 0.2), (0.4, 0.3, 0.2, 0.1)
+    return (score >= HYBRID_EDGE) & (score > F.when(focal, HYBRID_FOCAL_EDGE).otherwise(HYBRID_OTHER_EDGE))
 
 
 def hybrid_strategy(cosine: Column, time: Column, cites: Column, shared: Column, source_a: Column, source_b: Column, gate: float = EMBEDDING_GATE) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinweave.operators.common import cut
+from kinweave.operators.common import cut, numbered
 
 
 def canonical(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
@@ -163,44 +163,99 @@ def meta_graph(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return crossing.groupBy(F.least("l", "r").alias("left"), F.greatest("l", "r").alias("right")).agg(F.sum("weight").alias("weight"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """(id, community) by greedy modularity merging, numbered by size and smallest node.
+#: Gains no greater are none.
+NO_GAIN = 1e-12
 
-    It is a step of the display: it runs on the driver over a graph that has been cut to ``max_nodes`` nodes at most, and refuses larger ones.
+
+def merged_communities(edges: DataFrame, labels: DataFrame, strength: DataFrame, total: float, last: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Labels after communities have been merged while a merge adds to the modularity, or until ``last`` of them have edges: then also their volumes and the weights between them.
+
+    Each round, two communities merge if each is the other's best partner, so the best merge of all is always made. Where few are, as around hubs, communities whose hash says so also go to a best partner that stays, as
+    many of them as that can take in together without a loss. The graph is contracted after each round.
     """
-    ids = sorted(r[0] for r in nodes.select("id").limit(max_nodes + 1).collect())
-    if len(ids) > max_nodes:
-        raise ValueError(f"communities are found on at most {max_nodes} nodes")
-    rows = [(r["left"], r["right"], r["weight"]) for r in edges.select("left", "right", "weight").collect()]
-    total = sum(w for _, _, w in rows)
-    strength = dict.fromkeys(ids, 0.0)
-    between: dict[tuple, float] = {}
-    for a, b, w in rows:
-        strength[a] += w
-        strength[b] += w
-        between[a, b] = w
-    group = {i: i for i in ids}
-    while between and total:
-        gain = {p: w / total - strength[p[0]] * strength[p[1]] / (2 * total * total) for p, w in between.items()}
-        best = max(sorted(gain), key=lambda p: round(gain[p], 12))
-        if gain[best] <= 1e-12:
+    volume = cut(labels.join(strength, "id").groupBy("c").agg(F.sum("d").alias("v")))
+    left, right = (labels.select(F.col("id").alias(e), F.col("c").alias(f"c_{e}")) for e in ("left", "right"))
+    ends_of = edges.join(left, "left").join(right, "right").where("c_left <> c_right")
+    between = cut(ends_of.groupBy(F.least("c_left", "c_right").alias("l"), F.greatest("c_left", "c_right").alias("r")).agg(F.sum("weight").alias("w")))
+    turn = 0
+    while True:
+        if volume.limit(last + 1).count() <= last:
+            return labels, volume, between
+        vl, vr = (volume.select(F.col("c").alias(e), F.col("v").alias(f"v_{e}")) for e in ("l", "r"))
+        gain = F.col("w") / total - F.col("v_l") * F.col("v_r") / (2 * total * total)
+        offers = between.join(vl, "l").join(vr, "r").withColumn("gain", gain).where(F.col("gain") > NO_GAIN)
+        key = F.struct((-F.round("gain", 12)).alias("g"), "l", "r")
+        sides = offers.select(F.explode(F.array(F.struct(F.col("l").alias("c"), F.col("v_l").alias("own"), F.col("v_r").alias("theirs")), F.struct(F.col("r").alias("c"), F.col("v_r").alias("own"), F.col("v_l").alias("theirs")))).alias("s"), key.alias("key"), "w")
+        best = cut(sides.groupBy("s.c").agg(F.min(F.struct("key", F.struct("w", "s.own", "s.theirs").alias("of"))).alias("m")).select("c", "m.key", "m.of"))
+        mutual = cut(best.groupBy("key").agg(F.count("*").alias("n")).where("n = 2").select(F.col("key.r").alias("gone"), F.col("key.l").alias("kept")))
+        pairs, partners = mutual.count(), best.count()
+        if not pairs:
+            return labels, None, None
+        if pairs * 40 < partners:
+            taken = mutual.select(F.explode(F.array("gone", "kept")).alias("c"))
+            head = F.when(F.col("key.l") == F.col("c"), F.col("key.r")).otherwise(F.col("key.l"))
+            draw = lambda x, salt: F.pmod(F.xxhash64(x, F.lit(turn), F.lit(salt)), F.lit(1 << 20)) / (1 << 20)  # noqa: B023, E731
+            asks = best.join(taken, "c", "left_anti").withColumn("kept", head).where((draw(F.col("c"), 0) >= 0.5)).join(mutual.select(F.col("gone").alias("kept")), "kept", "left_anti")
+            asks = asks.join(mutual.groupBy("kept").agg(F.lit(True).alias("fixed")), "kept", "left").where(F.col("fixed") | (draw(F.col("kept"), 0) < 0.5))
+            # A partner may take in so much volume that the last to come still gains; half of it is used. What merges with it anyway counts.
+            room = F.col("of.w") * 2 * total / F.col("of.own") - F.col("of.theirs")
+            wanted = asks.groupBy("kept").agg(F.sum("of.own").alias("wanted"))
+            joins_too = mutual.join(volume, F.col("gone") == F.col("c")).select("kept", F.col("v").alias("extra"))
+            asks = asks.join(wanted, "kept").join(joins_too, "kept", "left").where(draw(F.col("c"), 1) < (room - F.coalesce("extra", F.lit(0.0))) / F.col("wanted") / 2)
+            mutual = cut(mutual.unionByName(asks.select(F.col("c").alias("gone"), "kept")))
+        moved = lambda df, c: df.join(mutual.select(F.col("gone").alias(c), F.col("kept").alias("to_")), c, "left").withColumn(c, F.coalesce("to_", c)).drop("to_")  # noqa: B023, E731
+        labels = cut(moved(labels, "c"))
+        volume = cut(moved(volume, "c").groupBy("c").agg(F.sum("v").alias("v")))
+        both = moved(moved(between, "l"), "r").where("l <> r")
+        between = cut(both.groupBy(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).agg(F.sum("w").alias("w")))
+        turn += 1
+
+
+def one_by_one(names: list, between: dict[tuple, float], volume: dict, total: float) -> dict:
+    """Where each community goes if the best pair is merged, and again, while that adds to the modularity; of equal pairs the first in order of names."""
+    place = {c: i for i, c in enumerate(names)}
+    w, v, into = np.zeros((len(names),) * 2), np.array([volume[c] for c in names], float), np.arange(len(names))
+    for (a, b), x in between.items():
+        w[place[a], place[b]] = w[place[b], place[a]] = x
+    upper = np.triu(np.ones_like(w, bool), 1)
+    while len(names) > 1:
+        gain = np.where(upper & (w > 0), np.round(w / total - np.outer(v, v) / (2 * total * total), 12), -np.inf)
+        a, b = divmod(int(gain.argmax()), len(names))
+        if gain[a, b] <= NO_GAIN:
             break
-        keep, gone = best
-        strength[keep] += strength.pop(gone)
-        merged: dict[tuple, float] = {}
-        for (a, b), w in between.items():
-            a, b = (keep if x == gone else x for x in (a, b))
-            if a != b:
-                pair = (min(a, b), max(a, b))
-                merged[pair] = merged.get(pair, 0.0) + w
-        between = merged
-        group = {i: keep if g == gone else g for i, g in group.items()}
-    members: dict = {}
-    for i, g in group.items():
-        members.setdefault(g, []).append(i)
-    order = sorted(members.values(), key=lambda m: (-len(m), min(m)))
-    kind = nodes.schema["id"].dataType.simpleString()
-    return nodes.sparkSession.createDataFrame([(i, n) for n, m in enumerate(order) for i in m], f"id {kind}, community int")
+        w[a] += w[b]
+        w[:, a] += w[:, b]
+        w[a, a] = w[b] = 0
+        w[:, b] = 0
+        v[a], v[b] = v[a] + v[b], 0
+        into[into == b] = a
+    return {c: names[into[i]] for c, i in place.items()}
+
+
+def communities(nodes: DataFrame, edges: DataFrame, last: int = 1000) -> DataFrame:
+    """(id, community) by modularity, numbered from 0 by size and smallest node. A node without edges is a community of its own.
+
+    While the graph has more than ``last`` communities they are merged in rounds of joins, each with its best partner, and the graph is contracted; the last ones are merged one at a time, the best pair of all first, over a matrix of
+    that size. So a graph of up to ``last`` nodes gets what merging one by one gives, and a larger one what that gives from the communities found so far. Hashes break symmetry: the result is the same on every run and at every number of
+    tasks.
+    """
+    edges = cut(canonical(edges, "left", "right"))
+    total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    labels = cut(nodes.select("id").distinct().withColumn("c", F.col("id")))
+    if total > 0:
+        strength = cut(ends(edges, "weight").groupBy(F.col("node").alias("id")).agg(F.sum("weight").alias("d")))
+        labels, volume, between = merged_communities(edges, labels, strength, total, last)
+        if volume is not None:
+            known = {r["c"]: r["v"] for r in volume.collect()}
+            into = one_by_one(sorted(known), {(r["l"], r["r"]): r["w"] for r in between.collect()}, known, total)
+            moved = [(a, b) for a, b in into.items() if a != b]
+            if moved:
+                kind = labels.schema["c"].dataType.simpleString()
+                to = nodes.sparkSession.createDataFrame(moved, f"c {kind}, to_ {kind}")
+                labels = cut(labels.join(F.broadcast(to), "c", "left").select("id", F.coalesce("to_", "c").alias("c")))
+    sizes = labels.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    order = numbered(sizes, [F.desc("n"), F.asc("first")], "place").select("c", (F.col("place") - 1).alias("community"))
+    return labels.join(order, "c").select("id", "community")
 
 
 def strongest(edges: DataFrame, k: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.functions import fields as N
 from kinweave.functions import scores as S
 from kinweave.functions import vectors as V
 from kinweave.operators import graph, knn, ranking, textsim, views
@@ -148,19 +149,21 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_pairs(nodes: DataFrame) -> DataFrame:
-    """All pairs of a node table that was cut to MAX_PAPERS rows, with the four scores; it is broadcast, as its size is a parameter."""
-    a, b = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "vector", "year", "citations", "refs", "categories", "source")]) for x in "ab")
+    """All pairs of a node table that was cut to MAX_PAPERS rows, with the four scores; it is broadcast, as its size is a parameter. Nodes may have authors."""
+    if "authors" not in nodes.columns:
+        nodes = nodes.withColumn("authors", F.array().cast("array<string>"))
+    a, b = (nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "vector", "year", "citations", "refs", "categories", "source", "authors")]) for x in "ab")
     pairs = a.join(F.broadcast(b), F.col("id_a") < F.col("id_b"))
     pairs = pairs.select(
         F.col("id_a").alias("a"), F.col("id_b").alias("b"), V.cosine(F.col("vector_a"), F.col("vector_b")).alias("cosine"), S.temporal(F.col("year_a"), F.col("year_b")).alias("temporal"),
         S.citation(F.col("citations_a"), F.col("citations_b")).alias("citation"), S.coupling(F.col("refs_a"), F.col("refs_b")).alias("coupling"), S.jaccard(F.col("categories_a"), F.col("categories_b")).alias("category"),
-        "source_a", "source_b",
+        "source_a", "source_b", N.share_authors(F.col("authors_a"), F.col("authors_b")).alias("shared_author"), ((F.size("refs_a") > 0) & (F.size("refs_b") > 0)).alias("both"),
     )
     c = {n: F.col(n) for n in ("cosine", "temporal", "citation", "coupling", "category")}
-    both = F.lit(True)
+    both = F.col("both")
     return pairs.withColumns({
         "hybrid": S.hybrid_strategy(c["cosine"], c["temporal"], c["citation"], c["coupling"], F.col("source_a"), F.col("source_b"), GATE),
-        "embedding": S.embedding_strategy(c["cosine"], c["temporal"], c["category"], F.lit(False), GATE),
+        "embedding": S.embedding_strategy(c["cosine"], c["temporal"], c["category"], F.col("shared_author"), GATE),
         "citing": S.citation_strategy(F.greatest(c["cosine"], F.lit(0.0)), c["temporal"], c["citation"], c["coupling"], both),
         "recommended": S.recommendation_strategy(F.greatest(c["cosine"], F.lit(0.0)), c["temporal"], c["citation"], c["coupling"], both),
     })

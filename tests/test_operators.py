@@ -65,8 +65,6 @@ def test_graph_metrics(spark):
     assert abs(sum(rank.values()) - 1) < 1e-9 and rank[3] == 0 and rank[0] > rank[2] > 0
     group = {r["id"]: r["community"] for r in graph.communities(nodes, edges).collect()}
     assert group[3] == group[4] != group[0] and len(group) == 6
-    with pytest.raises(ValueError):
-        graph.communities(nodes, edges, max_nodes=5)
 
 
 def test_int8_codes_and_signs(spark):
