@@ -114,6 +114,40 @@ def test_mixed_final_and_doubled_forms_are_restored(spark):
     assert read("Una trash, una") == ["una", "trash", "una"]
 
 
+def cheapest(restorer, token):
+    """The least cost of all readings of a token, each written out, and the readings of that cost."""
+    paths = [("", 0.0)]
+    for options, drop in restorer.steps(token):
+        paths = [(text + x, cost + price) for text, cost in paths for x, price in options] + ([(text, cost + drop) for text, cost in paths] if drop is not None else [])
+    found = {}
+    for text, cost in paths:
+        codes = [0, 0, *map(toxicity.code, text), 0]
+        total = cost - sum(restorer.model[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+        found[text] = min(total, found.get(text, total))
+    least = min(found.values())
+    return {t for t, c in found.items() if c <= least + 1e-6}
+
+
+def test_readings_are_the_cheapest_of_all(spark):
+    rnd = random.Random(7)
+    words = ["moron", "idiot", "ass", "die", "hello", "well", "letter", *("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(60))]
+    restorer = toxicity.Restorer(toxicity.language_model(documents(spark, [" ".join(rnd.choices(words, k=40)) for _ in range(200)])))
+    for _ in range(600):
+        token = "".join(rnd.choice("aeioltsmd0134578!|*.- ") for _ in range(rnd.randint(0, 6)))
+        assert restorer.decode(token) in cheapest(restorer, token), token
+
+
+def test_forms_without_letters_gaps_and_double_letters(spark):
+    rnd = random.Random(6)
+    words = ["moron", "idiot", "ass", "die", "was", "hello", "well", "letter", "coffee", "running", "address", *("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(3, 8))) for _ in range(60))]
+    read = toxicity.Restorer(toxicity.language_model(documents(spark, [" ".join(rnd.choices(words, k=40)) for _ in range(200)]))).read
+    for form, word in {"1d10t": "idiot", "455": "ass", "id-iot": "idiot", "mo.ron": "moron", "m_o_r_o_n": "moron", "!diot": "idiot", "m*ron": "moron"}.items():
+        assert word in read(form), form
+    assert read("die!! was!! hello!") == ["die", "was", "hello"]
+    doubled = [w for w in words if re.search(r"(.)\1", w)]
+    assert sum(read(w) == [w] for w in doubled) >= 0.99 * len(doubled) and len(doubled) > 20
+
+
 def test_obfuscated_held_out_texts_are_caught(spark):
     """Words that are learnt plain are told in texts that hold them obfuscated only, and clean texts with signs and doubled letters stay clean."""
     rnd = random.Random(15)
