@@ -151,18 +151,30 @@ def quoted(x: Column, keep: str = "") -> Column:
     return reduce(lambda c, k: F.replace(c, F.lit(f"%{ord(k):02X}"), F.lit(k)), keep, out)
 
 
+# Where the pages of identifiers are, what stays as it is in a DOI's, and the form of a provider's own ids.
+ARXIV_PAGE, ARXIV_FILE, DOI_PAGE, PROVIDER_PAGE = "https://arxiv.org/abs/", "https://arxiv.org/pdf/", "https://doi.org/", "https://www.semanticscholar.org/paper/"
+DOI_KEPT, PROVIDER_ID = "/()[]:._;-", r"(?i)^(?:s2:)?[0-9a-f]{40}$"
+
+
 def doi_of_node(identifier: Column, stated: Column) -> Column:
-    by_name = F.when(F.lower(identifier).startswith("doi:"), F.trim(F.substring(identifier, 5, 1 << 20))).when(identifier.rlike(r"^10\.[0-9]{4,9}/\S+$"), identifier)
-    return F.coalesce(F.nullif(F.trim(stated), F.lit("")), by_name, F.lit(""))
+    """A record's DOI as it is written: the stated one, else that of its name, which has the prefix ``doi:`` or is a DOI."""
+    named = F.coalesce(F.trim(F.nullif(F.regexp_extract(identifier, "(?is)^doi:(.*)$", 1), F.lit(""))), F.when(I.doi(identifier).isNotNull() & identifier.startswith("10."), identifier))
+    return F.coalesce(F.nullif(F.trim(stated), F.lit("")), named, F.lit(""))
+
 
+def links(identifier: Column, arxiv: Column, doi: Column, local: Column | None = None) -> Column:
+    """struct<arxiv_abs, arxiv_pdf, doi, provider>: the pages that a record's identifiers lead to; null where there is none.
 
-def links(identifier: Column, arxiv: Column, doi: Column) -> Column:
-    """struct<arxiv_abs, arxiv_pdf, doi>: the pages that a record's identifiers lead to; null where there is none."""
+    The provider knows all names but those of the local corpus and of queries; of a record of the local corpus only arXiv numbers, DOIs and its own ids.
+    """
     named = F.coalesce(F.nullif(F.trim(arxiv), F.lit("")), F.nullif(F.trim(F.regexp_extract(identifier, "(?i)^arxiv:(.+)$", 1)), F.lit("")))
     number, own = quoted(I.without_version(named)), F.nullif(doi_of_node(identifier, doi), F.lit(""))
+    canonical = I.canonical(identifier)
+    outside = I.recognized(canonical, bare=True).isNotNull() | I.doi(canonical).isNotNull() | canonical.rlike(PROVIDER_ID)
+    inner = I.local_only(identifier) | identifier.startswith("query:") | (F.coalesce(local if local is not None else F.lit(False), F.lit(False)) & ~F.coalesce(outside, F.lit(False)))
     return F.struct(
-        F.concat(F.lit("https://arxiv.org/abs/"), number).alias("arxiv_abs"), F.concat(F.lit("https://arxiv.org/pdf/"), number, F.lit(".pdf")).alias("arxiv_pdf"),
-        F.concat(F.lit("https://doi.org/"), quoted(own, "/()[]:._;-")).alias("doi"),
+        F.concat(F.lit(ARXIV_PAGE), number).alias("arxiv_abs"), F.concat(F.lit(ARXIV_FILE), number, F.lit(".pdf")).alias("arxiv_pdf"),
+        F.concat(F.lit(DOI_PAGE), quoted(own, DOI_KEPT)).alias("doi"), F.when(~inner, F.concat(F.lit(PROVIDER_PAGE), quoted(identifier))).alias("provider"),
     )
 
 

@@ -115,10 +115,10 @@ def external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id")
     name = F.when(k % 4 == 0, F.concat(F.lit("arxiv:2101."), F.lpad(k.cast("string"), 5, "0"), F.lit("v2"))).when(k % 4 == 1, F.concat(F.lit("10.1000/a b*"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("10.1000/(a)~"), k.cast("string"))).otherwise("other")
     stated = F.when(k % 8 == 5, F.lit(" 10.1/q+[x]%? "))
-    found = N.links(name, F.lit(None).cast("string"), stated)
+    found = N.links(name, F.lit(None).cast("string"), stated, k % 3 == 0)
     relation = F.element_at(F.array(*[F.lit(x) for x in ("semantic_only", " overlap ", "cites_focal", "odd")]), (k % 4).cast("int") + 1)
     return read(spark, sf_dir, "pages").select(
-        k.alias("id"), found["arxiv_abs"].alias("arxiv_abs"), found["arxiv_pdf"].alias("arxiv_pdf"), found["doi"].alias("doi"), N.web_link(F.when(k % 3 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))).alias("url"),
+        k.alias("id"), found["arxiv_abs"].alias("arxiv_abs"), found["arxiv_pdf"].alias("arxiv_pdf"), found["doi"].alias("doi"), found["provider"].alias("provider"), N.web_link(F.when(k % 3 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))).alias("url"),
         N.relation_badge(k == 1, relation).alias("badge"), N.source_label(F.when(k % 2 == 0, "focal").otherwise("both"), F.lit("semantic")).alias("source"),
     )
 
@@ -126,6 +126,7 @@ def external_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 EXTERNAL_LINKS = r"""SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN 'https://arxiv.org/abs/2101.' || lpad(CAST(page_id AS VARCHAR), greatest(5, 5), '0') END AS arxiv_abs,
   CASE WHEN page_id % 4 = 0 THEN 'https://arxiv.org/pdf/2101.' || lpad(CAST(page_id AS VARCHAR), 5, '0') || '.pdf' END AS arxiv_pdf,
   CASE WHEN page_id % 8 = 5 THEN 'https://doi.org/10.1/q%2B[x]%25%3F' WHEN page_id % 4 = 2 THEN 'https://doi.org/10.1000/(a)~' || page_id END AS doi,
+  CASE WHEN page_id % 3 <> 0 OR page_id % 2 = 0 THEN 'https://www.semanticscholar.org/paper/' || CASE page_id % 4 WHEN 0 THEN 'arxiv%3A2101.' || lpad(CAST(page_id AS VARCHAR), 5, '0') || 'v2' WHEN 1 THEN '10.1000%2Fa%20b%2A' || page_id WHEN 2 THEN '10.1000%2F%28a%29~' || page_id ELSE 'other' END END AS provider,
   CASE WHEN page_id % 3 <> 0 AND regexp_matches(trim(url), '(?i)^https?://[^\s/]') THEN trim(url) ELSE '' END AS url,
   CASE WHEN page_id = 1 THEN 'Focal paper' ELSE CASE page_id % 4 WHEN 0 THEN 'No direct citation recorded' WHEN 1 THEN 'Cites and is cited by focal paper' WHEN 2 THEN 'Cites focal paper' ELSE '' END END AS badge,
   CASE WHEN page_id % 2 = 0 THEN 'Semantic' ELSE 'Citation and semantic' END AS source FROM pages"""

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import scores
-from kinweave.operators import graph, knn
+from kinweave.operators import evidence, graph, identity, knn
 from kinweave.operators.common import cut
-from kinweave.plans.discovery import COS, GATE, MAX_PAPERS, P, scored_pairs, walk
+from kinweave.operators.identity import relation
+from kinweave.plans.discovery import COS, GATE, MAX_PAPERS, PAGERANK_CTE, P, edges_of, kept, ranked, scored_pairs, walk
 from kinweave.plans.discovery import FOCAL as STORE_FOCAL
 from kinweave.plans.gathering import CITATION_SLOTS, FOCAL, RECOMMENDATION_SLOTS, citation_slots, recommendation_slots
-from kinweave.plans.tables import focal_vector, papers
+from kinweave.plans.tables import focal_vector, papers, read
 
 CAP = 3
 
@@ -79,5 +80,40 @@ def embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAREST = f"SELECT {FOCAL} AS id UNION ALL SELECT id FROM (SELECT b.id FROM p a, p b WHERE a.id = {FOCAL} AND b.id <> {FOCAL} ORDER BY {COS} DESC, b.id LIMIT {MAX_PAPERS - 1})"
 EMBEDDING_GRAPH = capped_sql(NEAREST, f"CASE WHEN cosine < {GATE} THEN 0 ELSE least(1, (0.5 * cosine + 0.2 * temporal + 0.2 * category) * CASE WHEN shared THEN 1.5 ELSE 1 END) END", "{score} > 0.1", None, 4)
 
-QUERIES = {f.__name__: f for f in (citation_graph, recommendation_graph, embedding_graph)}
+def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's records with all that speaks for them: users' events stand for citing passages."""
+    nodes = kept(spark, sf_dir)
+    linked = edges_of(nodes)
+    list_ranks = cut(ranked(spark, sf_dir).where(F.col("rank") < MAX_PAPERS).select("id", "cos_dd", "cos_q", "ctx", "list_ranks", relation(F.lit(False), F.col("cites_focal"), F.col("is_reference")).alias("relation")))
+    rows = nodes.select("id", F.when(F.col("id") % 5 != 3, F.col("source")).alias("source"), F.when(F.col("rank") > 0, F.col("rank")).alias("rank"), "score").join(list_ranks, "id", "left")
+    rows = rows.withColumn("relation", F.when(F.col("relation") != "semantic_only", F.col("relation"))).withColumns({
+        "arxiv": F.when(F.col("id") % 3 == 0, F.concat(F.lit("2101."), F.lpad(F.col("id").cast("string"), 5, "0"))), "doi": F.lit(None).cast("string"), "local": F.col("id") % 2 == 0,
+    })
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("pos"), F.concat_ws(" ", "event_type", (F.col("event_id") % 5).cast("string")).alias("context"), F.when(F.col("event_type") == "purchase", F.col("value") > 50).alias("influential"))
+    passages = identity.evidence(events.join(F.broadcast(nodes.select("id")), "id", "left_semi"))
+    rank = graph.pagerank(nodes.select("id"), linked, F.lit(STORE_FOCAL)).select("id", F.col("rank").alias("relevance"))
+    told = evidence.documents(rows, rank, passages, F.lit(STORE_FOCAL), "hybrid", 3)
+    e, d = F.col("reference_evidence"), F.col("discovery")
+    lists = F.array_join(F.transform(F.array_sort(F.map_entries(d["list_ranks"])), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return told.select(
+        "id", "provenance", "provenance_base", "relation", F.round("relevance", 9).alias("relevance"), F.array_join(e["contexts"], "|").alias("contexts"), e["n_passages"].cast("long").alias("n_passages"), e["influential"].alias("influential"),
+        d["rank"].alias("discovery_rank"), F.round(d["score"], 12).alias("discovery_score"), F.round(d["features"]["cos_dd"], 9).alias("cos_dd"), F.round(d["features"]["ctx"], 9).alias("ctx"), lists.alias("list_ranks"),
+        F.col("links.arxiv_abs").alias("arxiv_abs"), F.col("links.provider").alias("provider"),
+    )
+
+
+EVIDENCE_DOCUMENTS = f"""WITH RECURSIVE {PAGERANK_CTE},
+ev AS (SELECT user_id AS id, event_id, event_type || ' ' || event_id % 5 AS c, CASE WHEN event_type = 'purchase' THEN value > 50 END AS i FROM events),
+pc AS (SELECT id, c, min(event_id) AS pos FROM ev GROUP BY id, c),
+pl AS (SELECT id, string_agg(c, '|' ORDER BY pos) FILTER (WHERE n <= 3) AS contexts, count(*) AS n_passages FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM pc) GROUP BY id),
+pi AS (SELECT id, bool_or(i) AS influential FROM ev GROUP BY id),
+t AS (SELECT k.id, CASE WHEN k.id % 5 <> 3 THEN k.source ELSE 'citation' END AS base, CASE WHEN r.cites_focal AND r.is_reference THEN 'both' WHEN r.is_reference THEN 'reference' WHEN r.cites_focal THEN 'citation' END AS rel FROM k LEFT JOIN ranked r USING (id))
+SELECT t.id, CASE WHEN t.id = {STORE_FOCAL} THEN 'focal' ELSE base END AS provenance, base AS provenance_base, CASE WHEN t.id = {STORE_FOCAL} THEN 'focal' ELSE coalesce(rel, CASE WHEN base = 'semantic' THEN 'semantic_only' ELSE '' END) END AS relation, round(pr.r, 9) AS relevance,
+  CASE WHEN t.id <> {STORE_FOCAL} THEN pl.contexts END AS contexts, CASE WHEN t.id <> {STORE_FOCAL} THEN n_passages END AS n_passages, CASE WHEN t.id <> {STORE_FOCAL} THEN pi.influential END AS influential,
+  CAST(r.rank AS INT) AS discovery_rank, round(r.score, 12) AS discovery_score, round(r.cos_dd, 9) AS cos_dd, round(r.ctx, 9) AS ctx,
+  (SELECT string_agg(n || '=' || v, ',' ORDER BY n) FROM (VALUES ('semantic', r.rank_semantic), ('reference_context', r.rank_reference_context), ('direct', r.rank_direct), ('recommended', r.rank_recommended), ('focal_reference', r.rank_focal_reference)) x(n, v) WHERE v IS NOT NULL) AS list_ranks,
+  CASE WHEN t.id % 3 = 0 THEN 'https://arxiv.org/abs/2101.' || lpad(CAST(t.id AS VARCHAR), 5, '0') END AS arxiv_abs, CASE WHEN t.id % 2 = 1 THEN 'https://www.semanticscholar.org/paper/' || t.id END AS provider
+FROM t JOIN pr ON pr.id = t.id AND pr.t = 200 LEFT JOIN ranked r ON r.id = t.id AND r.rank < {MAX_PAPERS} AND t.id <> {STORE_FOCAL} LEFT JOIN pl ON pl.id = t.id LEFT JOIN pi ON pi.id = t.id"""
+
+QUERIES = {f.__name__: f for f in (citation_graph, recommendation_graph, embedding_graph, evidence_documents)}
 ORACLES = {n: globals()[n.upper()] for n in QUERIES}
