@@ -22,6 +22,14 @@ def resolved(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
     return both.select(*wanted.columns, F.coalesce("exact", "folded").alias("id"))
 
 
+def focal_record(rows: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
+    """The stored row that a name means, by id first and then by an alias that one record has; it is looked up in all rows, whatever view of the corpus is active. rows: id and others; aliases: id, alias."""
+    wanted = rows.sparkSession.createDataFrame([(name,)], "name string")
+    own = wanted.join(rows.select(F.col("id").alias("own")), F.col("name") == F.col("own"), "left")
+    found = resolved(own, aliases).select(F.coalesce("own", "id").alias("id")).where("id IS NOT NULL").distinct()
+    return rows.join(F.broadcast(found), "id", "left_semi")
+
+
 def unique_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(left_id, right_id) of records that agree on the keys and have no other partner on either side.
 
