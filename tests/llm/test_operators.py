@@ -363,6 +363,29 @@ def passes(kind, value):
     return kind == "email" or 9 <= len(d) <= 15
 
 
+def test_every_label_is_measured(spark):
+    """Of forty labels the smallest is a cone; its pairs are found, and the others aren't sorted as often for its sake."""
+    rng = np.random.default_rng(9)
+    rows = [(len_ + 10_000 * lab, rng.standard_normal(32).tolist(), lab) for lab in range(39) for len_ in range(260)]
+    axis = rng.standard_normal(32)
+    axis /= np.linalg.norm(axis)
+    for k in range(125):
+        x = 4.0 * axis + rng.standard_normal(32) / np.sqrt(32)
+        x /= np.linalg.norm(x)
+        y = rng.standard_normal(32)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(900_000 + 2 * k, x.tolist(), 99), (900_001 + 2 * k, (0.982 * x + np.sqrt(1 - 0.982**2) * y).tolist(), 99)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in embeddings.near_duplicates(df, window=16).collect()}
+    x = np.array([v for _, v, lab in rows if lab == 99])
+    links = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= 0.98
+    np.fill_diagonal(links, False)
+    got = sum(found[900_000 + i]["n_links"] for i in range(250))
+    assert links.sum() >= 250 and 0.99 * links.sum() <= got <= links.sum()
+    assert all(r["n_links"] == 0 for k, r in found.items() if k < 900_000)
+
+
 def test_base_spans_are_those_of_the_patterns(spark):
     rnd = random.Random(2)
     texts = ["a@b.com_x@y.zz a@b.c@d.e é a.b+c@d-e.f.g", "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.4 😀 10.0.0.1", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (988) 555-2485 +49 30 1234567890123456", "9" * 9000, "1." * 3000, "a." * 9000 + "@"]
