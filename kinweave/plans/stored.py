@@ -91,7 +91,7 @@ def imported_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_snapshot(rows.withColumn("row_number", F.col("row_number") - first), source)
     files.import_snapshot(spark, source, target, batch_rows=1000)
     back = files.read_snapshot(spark, target)
-    return back.groupBy("shard").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    return back.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
 IMPORTED_SHARDS = "SELECT (o_orderkey - (SELECT min(o_orderkey) FROM orders)) // 1000 AS shard, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) AS id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1"
