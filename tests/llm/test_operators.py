@@ -539,6 +539,21 @@ def test_passages_that_repeat_are_found_and_others_not(spark):
             assert texts[i][s["start"] : s["end"]].strip() in passages[i // 2]
 
 
+def test_shuffle_files_go_with_their_step(spark):
+    """What a step of op10 has shuffled is removed when its rows are written, and isn't kept until the driver collects garbage."""
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    found = substrings.repeats(documents(spark, [f"one {i % 40} two " * 60 for i in range(200)]))
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    assert found.where("has_repeat").count() == 200
+
+
 @pytest.mark.parametrize("letters", [(1, 1), (6, 6), (2, 9)])
 def test_passages_are_measured_exactly(spark, letters):
     rnd = random.Random(12)
