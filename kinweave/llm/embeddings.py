@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import arrow_rows, checkpointed, read
@@ -17,8 +16,8 @@ from kinweave.session import ship
 KEY_BITS = 64
 
 
-#: Vectors of each label that tell how many passes it needs, about; windows that are tried, in doublings of the smallest.
-SEEN_ROWS, DOUBLINGS = 512, 7
+#: Windows that are tried, in doublings of the smallest; steps in which chances are counted, to a halving.
+DOUBLINGS, STEPS = 7, 16
 #: The share of neighbours in order that no edge of a task parts, at least; what a row costs in a pass besides its comparisons, in comparisons.
 UNPARTED, PASS_COST = 0.9, 150
 
@@ -28,62 +27,124 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def passes_for(sample: np.ndarray, mean: np.ndarray, rows: int, window: int, threshold: float, recall: float) -> int | None:
-    """Passes until a pair at the threshold is met with probability ``recall``, for a label of ``rows`` vectors of which ``sample`` are some; None if keys are too short for that.
+def sign_keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """Signs of ``x`` towards KEY_BITS planes as longs, in the order of the bits."""
+    weights = np.uint64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.uint64)
+    return (((x @ planes >= 0) * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
-    A sign bit of centred vectors is shared with probability 1 - angle / pi. From the angles between the sample's vectors follows how
-    many vectors share so many leading bits with one of them, and so how many bits leave no more than ``window`` of them; a pair at the
-    threshold meets if it shares those. Vectors that link are no crowd: they are of one component.
-    """
-    if rows <= window:
-        return 1
-    x = unit(sample)
-    y = x - mean
-    size = np.maximum(np.linalg.norm(y, axis=1), 1e-12)
-    share = 1 - np.arccos(np.clip(y @ y.T / np.outer(size, size), -1, 1)) / math.pi
-    share[x @ x.T >= threshold] = 0
-    bits, power = np.full(len(x), KEY_BITS + 1), np.ones_like(share)
-    for k in range(1, KEY_BITS + 1):
-        power *= share
-        bits[(bits > KEY_BITS) & (power.sum(axis=1) * (rows / len(x)) <= window)] = k
-    if (bits > KEY_BITS).any():
-        return None
-    # The other of a pair stands off from a vector in a direction that is square to the mean.
-    along, square = x @ mean, mean @ mean
+
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits that keys have in common."""
+    other = (a ^ b).view(np.uint64)
+    high, low = (np.frexp(part.astype(np.float64))[1] for part in (other >> np.uint64(32), other & np.uint64(0xFFFFFFFF)))
+    return KEY_BITS - np.where(high > 0, 32 + high, low)
+
+
+def bit_chance(x: np.ndarray, mean: np.ndarray, threshold: float) -> np.ndarray:
+    """How likely each of the unit vectors ``x`` shares a sign with another at the threshold, once both are centred: 1 - angle / pi. The other stands off in a direction that is square to the mean."""
+    along, square = (x * mean).sum(axis=1), (mean * mean).sum(axis=1)
+    size = np.maximum(np.linalg.norm(x - mean, axis=1), 1e-12)
     other = np.sqrt(np.maximum(1 - 2 * threshold * along + square, 1e-24))
-    angle = np.arccos(np.clip((threshold - (1 + threshold) * along + square) / (size * other), -1, 1))
-    met = UNPARTED * (1 - angle / math.pi) ** bits
-    n = 1
-    while ((1 - met) ** n).mean() > 1 - recall:
+    return 1 - np.arccos(np.clip((threshold - (1 + threshold) * along + square) / (size * other), -1, 1)) / math.pi
+
+
+def bits_needed(label: np.ndarray, key: np.ndarray, x: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """With how many leading bits in common another vector is within ``size`` places of each, in rows sorted by label and key.
+
+    That is one more than the vectors ``size`` places off share with it, if they are of its label; vectors that link are no crowd, as they are of one component. Where the
+    task ends before that, its last vector stands for the one behind, which shares no more.
+    """
+    n = len(key)
+    at, need = np.arange(n), np.zeros(n, np.int64)
+    for off in (-size, size):
+        there = np.clip(at + off, 0, n - 1)
+        crowd = (label[there] == label) & (there != at)
+        i, j = at[crowd], there[crowd]
+        for k in range(0, len(i), 4096):
+            m, o = i[k : k + 4096], j[k : k + 4096]
+            apart = np.einsum("ij,ij->i", x[m], x[o]) < threshold
+            need[m] = np.maximum(need[m], np.where(apart, shared_bits(key[m], key[o]) + 1, 0))
+    return need
+
+
+def passes_for(chance: np.ndarray, n_rows: np.ndarray, recall: float) -> int | None:
+    """Passes until a pair at the threshold is met with probability ``recall``, if so many rows are met in a pass with such a chance; None if there are none."""
+    n, share = 1, n_rows / n_rows.sum()
+    while ((1 - chance) ** n * share).sum() > 1 - recall:
         n += max(1, n // 32)
         if n > 4096:
             return None
     return n
 
 
-def plan(classes: DataFrame, means: DataFrame, window: int, threshold: float, recall: float) -> tuple[int, DataFrame]:
+def plan(classes: DataFrame, means: DataFrame, window: int, threshold: float, recall: float, seed: int) -> tuple[int, DataFrame]:
     """The window, ``window`` or some doublings of it, and (label, d, passes): how often each label's vectors are sorted, so that pairs at the threshold are found for the least work in all.
 
-    Every label is measured, by a task of its own, on about SEEN_ROWS of its vectors that a hash picks; one sum for each window comes to the driver.
+    All vectors are measured, in a pass of their own: each tells how many bits leave no more than a window of vectors beside it, and so how likely a pair at the threshold meets. Tasks
+    count those chances by label and window; one sum for each window comes to the driver.
     """
-    counts = classes.groupBy("label", "d").agg(F.count("*").alias("rows"))
-    dealt = W.partitionBy("label", "d", "lot").orderBy(F.xxhash64("node"))
-    some = classes.join(counts, ["label", "d"]).where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 30)) * F.col("rows") < F.lit(1.0 * SEEN_ROWS) * (1 << 30))
-    some = some.withColumn("lot", F.pmod(F.xxhash64(F.lit(4), "node"), F.lit(8))).withColumn("place", F.row_number().over(dealt)).where(F.col("place") <= SEEN_ROWS // 4)
-    seen = checkpointed(some.join(means, ["label", "d"]).select("label", "d", "rows", "v", "mean"))
-    kind = f"label {classes.schema['label'].dataType.simpleString()}, d int, rows long, passes array<int>"
+    spark = classes.sparkSession
+    hashed = F.xxhash64("label", "d").alias("label_hash")
+
+    def keys():
+        def step(batch):
+            vs, nodes, labels = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            lengths = vs.value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                part = vs.take(at)
+                x, mean = unit(part.flatten().to_numpy().reshape(len(at), d)), batch.column(3).take(at).flatten().to_numpy().reshape(len(at), d)
+                planes = np.random.default_rng([seed + 1, d]).standard_normal((d, KEY_BITS))
+                yield {"label_hash": labels[at], "key": sign_keys(x - mean, planes), "node": nodes[at], "bit": bit_chance(x, mean, threshold), "v": part}
+
+        return step
+
+    keyed = arrow_rows(classes.join(means, ["label", "d"]).select("v", "node", hashed, "mean"), keys, "label_hash long, key long, node long, bit double, v array<double>")
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, classes.count() // (32 * window)))
+    ordered = checkpointed(keyed.repartitionByRange(parts, "label_hash", "key", "node").sortWithinPartitions("label_hash", "key", "node"))
+    labels = checkpointed(classes.groupBy("label", "d").agg(F.count("*").alias("rows")).select("label", "d", "rows", hashed))
     first = 0
     while True:
         sizes = [window << k for k in range(first, first + DOUBLINGS)]
 
-        def measured(group: pd.DataFrame) -> pd.DataFrame:  # it is used before ``sizes`` changes
-            rows, vectors, mean = int(group["rows"].iloc[0]), np.stack(group["v"].to_numpy()), np.asarray(group["mean"].iloc[0])
-            needed = [passes_for(vectors, mean, rows, size, threshold, recall) for size in sizes]
-            least = [None if n is None else n if rows <= size else max(4, n) for n, size in zip(needed, sizes, strict=True)]
-            return pd.DataFrame({"label": group["label"].iloc[:1], "d": group["d"].iloc[:1], "rows": [rows], "passes": [least]})
+        def chances(sizes=sizes):
+            held: list = []
+
+            def step(batch):
+                vs = batch.column(4)
+                lengths = vs.value_lengths().to_numpy()
+                x = np.zeros((len(lengths), int(lengths.max(initial=0))))
+                x[np.arange(x.shape[1]) < lengths[:, None]] = vs.flatten().to_numpy()
+                held.append((*(batch.column(k).to_numpy() for k in (0, 1, 3)), unit(x)))
+
+            def rest():
+                if not held:
+                    return
+                width = max(h[3].shape[1] for h in held)
+                label, key, bit = (np.concatenate([h[k] for h in held]) for k in range(3))
+                x = np.concatenate([np.pad(h[3], ((0, 0), (0, width - h[3].shape[1]))) for h in held])
+                for k, size in enumerate(sizes):
+                    need = bits_needed(label, key, x, size, threshold)
+                    halvings = np.where(need > KEY_BITS, -1, np.ceil(-STEPS * need * np.log2(np.maximum(bit, 1e-300)))).astype(np.int64)
+                    found, n = np.unique(np.stack([label, halvings]), axis=1, return_counts=True)
+                    yield {"label_hash": found[0], "size": np.full(len(n), k), "halvings": found[1], "n": n}
+
+            step.rest = rest
+            return step
+
+        counted = arrow_rows(ordered, chances, "label_hash long, size int, halvings long, n long", rows=4096).groupBy("label_hash", "size", "halvings").agg(F.sum("n").alias("n"))
 
-        ship(classes.sparkSession)
-        told = checkpointed(seen.groupBy("label", "d").applyInPandas(measured, kind))
+        def measured(group: pd.DataFrame) -> pd.DataFrame:  # it is used before ``sizes`` changes
+            least: list[int | None] = []
+            for k, size in enumerate(sizes):
+                own = group[group["size"] == k]
+                n, halvings = own["n"].to_numpy(), own["halvings"].to_numpy()
+                needed = 1 if n.sum() <= size else passes_for(np.where(halvings < 0, 0.0, UNPARTED * 0.5 ** (halvings / STEPS)), n, recall)
+                least.append(None if needed is None else 1 if n.sum() <= size else max(4, needed))
+            return pd.DataFrame({"label_hash": group["label_hash"].iloc[:1], "passes": [least]})
+
+        ship(spark)
+        told = checkpointed(labels.join(counted.groupBy("label_hash").applyInPandas(measured, "label_hash long, passes array<int>"), "label_hash"))
         work = told.agg(*[F.when(F.count_if(F.get("passes", F.lit(k)).isNull()) == 0, F.sum(F.col("rows").cast("double") * F.get("passes", F.lit(k)) * (size + PASS_COST))).alias(f"w{k}") for k, size in enumerate(sizes)]).first()
         possible = [(w, k) for k, w in enumerate(work) if w is not None]
         if possible or not told.limit(1).count():
@@ -102,7 +163,7 @@ def near_duplicates(
     of unit vectors less their label's mean, as vectors that share a direction share most signs. Links of all
     passes give components. In a component every pair is then compared once more, by pairs of blocks, so n_links is exact
     for all that the passes connected, however large a component is. The number of passes and the window
-    follow from each label's size and from the angles between some of its vectors; see ``plan`` and ``passes_for``. A label is sorted as often as it needs itself.
+    follow from each label's size and from what all its vectors tell in a pass that measures them; see ``plan`` and ``bits_needed``. A label is sorted as often as it needs itself.
 
     Vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing: n_links
     is 0 and component_id their own key. Vectors of different lengths don't link. Repeated rows are vectors of their own. A null key stays null, and is
@@ -122,14 +183,13 @@ def near_duplicates(
     parts_of = classes.select("label", "d", scaled.alias("s")).select("label", "d", F.posexplode(F.transform("s", lambda x: x / norm)).alias("place", "x"))
     means = parts_of.groupBy("label", "d", "place").agg(F.avg("x").alias("x")).groupBy("label", "d").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("mean"))
     means = checkpointed(means.select("label", "d", F.col("mean.x").alias("mean")))
-    window, passes = plan(classes, means, window, threshold, recall)
+    window, passes = plan(classes, means, window, threshold, recall, seed)
     n_passes = passes.agg(F.coalesce(F.max("passes"), F.lit(1))).first()[0]
     total_rows = classes.join(passes, ["label", "d"]).agg(F.coalesce(F.sum("passes"), F.lit(0))).first()[0]
     order = "pass int, label_hash long, key long, node long, v array<double>"
 
     def keys():
         planes: dict[int, np.ndarray] = {}
-        weights = (np.uint64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.uint64))
 
         def step(batch):
             vs, nodes, labels = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -145,8 +205,7 @@ def near_duplicates(
                 mine = batch.column(4).take(at).to_numpy()
                 for p in range(int(mine.max(initial=0))):
                     own = np.flatnonzero(mine > p)
-                    bits = x[own] @ planes[d][:, p * KEY_BITS : (p + 1) * KEY_BITS] >= 0
-                    signed = ((bits * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+                    signed = sign_keys(x[own], planes[d][:, p * KEY_BITS : (p + 1) * KEY_BITS])
                     yield {"pass": np.full(len(own), p, np.int32), "label_hash": labels[at[own]], "key": signed, "node": nodes[at[own]], "v": part.take(own)}
 
         return step

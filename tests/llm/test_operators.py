@@ -373,6 +373,26 @@ def passes(kind, value):
     return kind == "email" or 9 <= len(d) <= 15
 
 
+def test_bits_are_measured_on_every_vector():
+    """Each vector tells by itself how many bits bring another within the window; those that link with it don't count."""
+    rng = np.random.default_rng(4)
+    n, size = 3000, 64
+    label, key = np.repeat([0, 1], [2900, 100]), np.concatenate([np.sort(rng.integers(-(2**63), 2**63 - 1, k)) for k in (2900, 100)])
+    x = embeddings.unit(rng.standard_normal((n, 16)))
+    x[500:700] = x[500]
+    need = embeddings.bits_needed(label, key, x, size, 0.98)
+    common = lambda a, b: 64 - ((int(a) ^ int(b)) & (2**64 - 1)).bit_length()
+    for i in range(n):
+        others = {min(i + size, n - 1), max(i - size, 0)} - {i}
+        assert need[i] == max([common(key[i], key[j]) + 1 for j in others if label[i] == label[j] and x[i] @ x[j] < 0.98], default=0)
+    # A vector with so many bits in common stands within the window.
+    for i in range(100, 400):
+        assert all(abs(i - j) <= size for j in range(2900) if common(key[i], key[j]) >= need[i])
+    # Few that meet rarely cost passes, down to the share that may be missed.
+    few, many = (embeddings.passes_for(np.array([0.9, 0.1]), np.array([100_000 - k, k]), 0.999) for k in (200, 2000))
+    assert few < many and embeddings.passes_for(np.array([0.9, 0.0]), np.array([99, 1]), 0.999) is None
+
+
 def test_every_label_is_measured(spark):
     """Of forty labels the smallest is a cone; its pairs are found, and the others aren't sorted as often for its sake."""
     rng = np.random.default_rng(9)
