@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,10 @@ from kinweave.llm.common import arrow_rows, read, text_or_empty
 #: White space as the tokenizer file's regular expressions mean it.
 SPACE = r"\t-\r \x85\xA0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+#: The characters up to U+00FF, and which of them are letters and numbers. Texts of these alone are split by the plainer ``re``.
+LATIN = "".join(map(chr, range(256)))
+LETTERS, NUMBERS = (re.escape("".join(regex.findall(kind, LATIN))) for kind in (r"\p{L}", r"\p{N}"))
+LATIN_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\t-\r \x85\xA0{LETTERS}{NUMBERS}]+"
 NEVER = 1 << 62
 #: Children of a node of the segment tree.
 SHIFT = 4
@@ -79,6 +85,42 @@ def merge(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list
     return [x for x in ids if x >= 0]
 
 
+def merge_node(ids: list[int], after: list[dict[int, int]], size: int) -> list[int]:
+    """As ``merge``, for pairs that fit one node, which is the whole tree.
+
+    A merged pair's leaf leaves the node, so the place of a leaf is that of its pair. ``after[a][b]`` is ``rank * size + merged``
+    of a pair, so the root says as well what the pair becomes. A last leaf stands for the end.
+    """
+    ids = [*ids, -1]
+    leaves = [after[a].get(b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+    while (root := min(leaves)) < NEVER:
+        i = leaves.index(root)
+        x = ids[i] = root % size
+        del ids[i + 1], leaves[i]
+        leaves[i] = after[x].get(ids[i + 1], NEVER)
+        if i:
+            leaves[i - 1] = after[ids[i - 1]].get(x, NEVER)
+    ids.pop()
+    return ids
+
+
+class Memo(dict):
+    """What ``make`` gives for a word. Words met lately are kept, ``most`` at most: the younger half here, the older one in ``older``."""
+
+    def __init__(self, make: Callable[[str], tuple[str, str]], most: int):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, word: str) -> tuple[str, str]:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(word) or self.make(word)
+        if len(word) <= 64:
+            self[word] = out
+        return out
+
+
 @dataclass
 class Bpe:
     """A word-end BPE vocabulary with ``encode`` and ``decode``; words met before are kept in a bounded memo."""
@@ -88,19 +130,25 @@ class Bpe:
     special: dict[str, int]
     suffix: str = "</w>"
     memo_words: int = 200_000
-    memo: dict[str, tuple[int, str, str]] = field(default_factory=dict)
-    older: dict[str, tuple[int, str, str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         v = self.vocabulary
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(self.merges):
             self.pairs.setdefault((v[a], v[b]), (rank, v[a + b]))
+        self.size, nothing = max(v.values()) + 1, {}
+        self.after: list[dict[int, int]] = [nothing] * self.size
+        for (a, b), (rank, merged) in self.pairs.items():
+            if self.after[a] is nothing:
+                self.after[a] = {}
+            self.after[a][b] = rank * self.size + merged
         shown = byte_characters()
         self.inner = [v.get(c) for c in shown]
         self.last = [v.get(c + self.suffix) for c in shown]
         self.token = {i: t for t, i in v.items()} | {i: t for t, i in self.special.items()}
-        self.pieces = regex.compile(PIECES)
+        self.digits = {i: str(i) for i in self.token}
+        self.pieces, self.latin = regex.compile(PIECES), re.compile(LATIN_PIECES)
+        self.memo = Memo(self.entry, self.memo_words)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     @classmethod
@@ -114,44 +162,47 @@ class Bpe:
     def word(self, piece: str) -> list[int]:
         raw = piece.encode()
         ids = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-        return merge([i for i in ids if i is not None], self.pairs)
-
-    def entry(self, piece: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their decoded form, joined by spaces."""
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        if 0 < len(ids) <= FAN + 1:
+            return merge_node(ids, self.after, self.size)
+        return merge(ids, self.pairs)
+
+    def entry(self, piece: str) -> tuple[str, str]:
+        """The ids and the decoded form of a word, joined by spaces."""
         ids = self.word(piece)
-        out = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(piece) <= 64:
-            self.memo[piece] = out
-        return out
-
-    def known(self, piece: str) -> tuple[int, str, str]:
-        """The entry of a word that isn't in the younger half of the memo."""
-        if len(self.memo) >= self.memo_words // 2:
-            self.older, self.memo = self.memo, {}
-        if out := self.older.get(piece):
-            self.memo[piece] = out
-            return out
-        return self.entry(piece)
+        return " ".join([self.digits[i] for i in ids]), self.decode(ids)
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
         if not text.isascii():
             # Each character is lower-cased by itself: a final sigma isn't told apart.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pieces.findall(text.lower())
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        out, known = [], self.known
+        text = text.lower()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pieces.findall(text)
+        return self.latin.findall(text)
+
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """The entries of a text's words and special tokens; words without tokens have two empty strings."""
+        out, known = [], self.memo.__getitem__
         for part in self.marks.split(text) if self.marks and "<|" in text else (text,):
             if part in self.special:
-                out.append((1, str(self.special[part]), part))
+                out.append((str(self.special[part]), part))
             else:
-                get = self.memo.get
-                out += [get(w) or known(w) for w in self.split(part)]
+                out += map(known, self.split(part))
         return out
 
+    def joined(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens of a text, their ids and their decoded form, joined by spaces."""
+        parts = [p for p in self.parts(text) if p[0]]
+        ids = " ".join([p[0] for p in parts])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([p[1] for p in parts])
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.parts(text) if n for i in ids.split(" ")]
+        return [*map(int, self.joined(text)[1].split())]
 
     def decode(self, ids: list[int]) -> str:
         """As the tokenizer file has no decoder: the tokens joined by one space."""
@@ -178,9 +229,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
         def step(batch):
             out = {n.split()[0]: [] for n in schema.split(", ")} | {"key": batch.column(0)}
             for t in batch.column(1):
-                parts = [p for p in bpe.parts(t.as_py()) if p[0]]
-                ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-                out["n_tokens"].append(sum([p[0] for p in parts]))
+                n, ids, decoded = bpe.joined(t.as_py())
+                out["n_tokens"].append(n)
                 out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep_ids:
