@@ -31,9 +31,9 @@ def exact(store: DataFrame, query: list[float], k: int, vector: str = "vector")
     return top_k(store.withColumn("score", guarded(V.cosine(F.col(vector), literal(query)))), k)
 
 
-def calibration(store: DataFrame, sample: int = SAMPLE, key: str = "id", vector: str = "vector") -> DataFrame:
-    """One row, ranges: array<struct<lo, hi>> over a sample of rows that a hash of their key picks; it is the same on every run."""
-    picked = store.select(key, vector).orderBy(F.xxhash64(key), key).limit(sample)
+def calibration(store: DataFrame, sample: int | None = SAMPLE, key: str = "id", vector: str = "vector") -> DataFrame:
+    """One row, ranges: array<struct<lo, hi>> over a sample of rows that a hash of their key picks, the same on every run; without a size, over all rows."""
+    picked = store.select(vector) if sample is None else store.select(key, vector).orderBy(F.xxhash64(key), key).limit(sample)
     by_place = picked.select(F.posexplode(vector).alias("place", "x")).groupBy("place").agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi"))
     ranges = F.transform(F.array_sort(F.collect_list(F.struct("place", "lo", "hi"))), lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi")))
     return by_place.agg(ranges.alias("ranges")).select(V.sanitized(F.col("ranges")).alias("ranges"))

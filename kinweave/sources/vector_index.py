@@ -19,8 +19,8 @@ from kinweave.session import ship
 
 FORMAT = 1
 MANIFEST = "format int, rows long, width int, clipped long, ranges array<struct<lo: double, hi: double>>"
-#: Bytes of a block of queries, which the driver holds and every worker gets; rows whose scores are worked out at once.
-BLOCK_BYTES, ROWS = 1 << 21, 256
+#: Bytes of a block of queries, which the driver holds and every worker gets; rows whose scores are worked out at once, and pairs that are scored one by one.
+BLOCK_BYTES, ROWS, PAIRS = 1 << 21, 256, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,8 @@ class Index:
         return spark.read.parquet(f"{self.path}/codes")
 
 
-def write(store: DataFrame, path: str, width: int, sample: int = knn.SAMPLE) -> None:
-    """Writes ``store`` (id, row_idx, vector) to a new folder: ranges from a sample of rows that a hash picks, codes and signs in order of rows, and at last the manifest, without which nothing is an index.
+def write(store: DataFrame, path: str, width: int, sample: int | None = knn.SAMPLE) -> None:
+    """Writes ``store`` (id, row_idx, vector) to a new folder: ranges from a sample of rows that a hash picks, or from all of them, codes and signs in order of rows, and at last the manifest, without which nothing is an index.
 
     Vectors that are null, of another width, not finite or zero aren't searched for; they are left out.
     """
@@ -199,9 +199,13 @@ def searched_block(index: Index, table: DataFrame, block: list[tuple], k: int, s
             unit, words, ranges = sent.value
             x = decoded(matrix(batch, "codes"), ranges)
             if limits is None:
-                s = np.clip(x @ unit.T, -1, 1)
-                r, q = np.nonzero(s >= sure.floor)
-                sure.offer(q, s[r, q], row[r])
+                # A product of matrices may differ in the last places for equal rows, so it only tells which pairs are near enough to be scored one by one.
+                near, wanted = np.nonzero(x @ unit.T >= sure.floor - 1e-9)
+                for at in range(0, len(near), PAIRS):
+                    r, q = near[at : at + PAIRS], wanted[at : at + PAIRS]
+                    s = np.clip(np.einsum("ij,ij->i", x[r], unit[q]), -1, 1)
+                    above = s >= sure.floor[q]
+                    sure.offer(q[above], s[above], row[r][above])
                 return
             d = distances(matrix(batch, "signs"), words)
             r, q = np.nonzero(d < limits[0])

@@ -35,3 +35,10 @@ def test_keys_of_six_digits_have_numbers_of_their_own(spark, tables, name):
         lineitem=f"SELECT * REPLACE (l_orderkey + i * 100000 AS l_orderkey, {moved.format('l_partkey')} AS l_partkey) FROM '{SF}/lineitem.parquet', range(3) g(i) WHERE l_orderkey % 4 < 2",
     )
     agree(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf)
+
+
+@pytest.mark.parametrize("name", ["index_search", "index_recall"])
+def test_an_index_of_more_rows_than_a_sample_has_the_ranges_of_all(spark, tables, name):
+    vector = "list_transform(range(64), lambda k: CAST(hash(i % 2500 * 64 + k) % 2001 / 1000.0 - 1 AS FLOAT))"
+    sf = tables(embeddings=f"SELECT i AS vec_id, {vector} AS embedding, CAST(i % 10 AS INT) AS label FROM range(2600) g(i)")
+    agree(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf)
