@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from kinweave.operators import textsim
 from kinweave.plans import catalog
 from tests.oracle import agree
 
@@ -42,3 +43,10 @@ def test_an_index_of_more_rows_than_a_sample_has_the_ranges_of_all(spark, tables
     vector = "list_transform(range(64), lambda k: CAST(hash(i % 2500 * 64 + k) % 2001 / 1000.0 - 1 AS FLOAT))"
     sf = tables(embeddings=f"SELECT i AS vec_id, {vector} AS embedding, CAST(i % 10 AS INT) AS label FROM range(2600) g(i)")
     agree(spark, catalog.QUERIES[name], catalog.ORACLES[name], sf)
+
+
+def test_copies_of_a_text_are_told_apart_by_their_ids(spark):
+    words = [f"word{k * k % 61}" for k in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(words if i % 2 == 0 else words[: i % 97])) for i in range(400)], "id long, text string").repartition(7)
+    found = textsim.similar_to(textsim.weights(docs, 5000, ["the"]), 0, 20).collect()
+    assert [r["id"] for r in found] == list(range(2, 42, 2))
