@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from kinweave.operators import textsim
+from kinweave.operators import ranking, textsim
 from kinweave.plans import catalog
 from tests.oracle import agree
 
@@ -50,3 +52,34 @@ def test_copies_of_a_text_are_told_apart_by_their_ids(spark):
     docs = spark.createDataFrame([(i, " ".join(words if i % 2 == 0 else words[: i % 97])) for i in range(400)], "id long, text string").repartition(7)
     found = textsim.similar_to(textsim.weights(docs, 5000, ["the"]), 0, 20).collect()
     assert [r["id"] for r in found] == list(range(2, 42, 2))
+
+
+def test_nearest_references_need_one_python_step_however_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[5] = x[6]
+    rows = spark.createDataFrame([(i, x[i].tolist(), i % 3 == 0) for i in range(300)] + [(300, None, True), (301, [float("nan")] * 8, True)], "id long, unit array<double>, is_reference boolean")
+    found = ranking.with_nearest(rows, rows.where("is_reference"), block=7)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") == 0
+    held = [i for i in range(300) if i % 3 == 0]
+    for r in found.collect():
+        c = sorted((round(float(x[r["id"]] @ x[j]), 12) for j in held if j != r["id"]), reverse=True)[:5] if r["id"] < 300 else []
+        assert np.allclose(sorted(r["top"], reverse=True), c, rtol=0, atol=2e-12) and len(r["top"]) == len(c)
+    assert {r["id"] for r in found.where(F.size("top") == 0).collect()} == {300, 301}
+    assert found.count() == 302
+
+
+@pytest.mark.parametrize("width", [3, 64, 640, 1280])
+def test_greatest_of_folded_rows(width):
+    x = np.random.default_rng(width).integers(0, 200, (9, width)).astype(float)
+    assert np.array_equal(np.sort(ranking.greatest(x, 5), axis=1), np.sort(x, axis=1)[:, -5:])
+
+
+def test_lists_are_ordered_without_the_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i)] * 4, i / 9, i / 7, None, i % 2 == 0, False, 0, False, None) for i in range(9)], "id long, vector array<double>, cos_dd double, cos_q double, ctx double, direct boolean, eligible boolean, contexts int, influential boolean, recommendation_rank int")
+    plan = ranking.ranks(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window" in line and "vector" in line]
+    windowed = plan[plan.index("Window") :]
+    assert "vector" not in windowed[: windowed.index("LogicalRDD")]
