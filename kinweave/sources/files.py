@@ -41,6 +41,8 @@ def read_snapshot(spark: SparkSession, path: str, place: str = "row_number", key
 
 
 IMPORT_LOG = "shard long, rows long, digest decimal(38,0)"
+#: Rows that a job of an import writes, unless a number of shards is asked for.
+JOB_ROWS = 64 * 65_536
 
 
 def shards_told(rows: DataFrame) -> DataFrame:
@@ -53,10 +55,10 @@ def log_shards(spark: SparkSession, entries: list[tuple], destination: str) -> N
     spark.createDataFrame(entries, IMPORT_LOG).coalesce(1).write.mode("append").json(f"{destination}/log")
 
 
-def import_snapshot(spark: SparkSession, path: str, destination: str, batch_rows: int = 65_536, at_once: int = 64, place: str = "row_number", key: str = "id", **contract: str) -> int:
+def import_snapshot(spark: SparkSession, path: str, destination: str, batch_rows: int = 65_536, at_once: int | None = None, place: str = "row_number", key: str = "id", **contract: str) -> int:
     """Brings a checked snapshot into ``destination`` shard by shard and returns how many shards were written; an import that broke goes on where it was.
 
-    A shard is ``batch_rows`` places. ``at_once`` shards are written by a job, read back, compared with the snapshot by count and digest, and logged; those in the log aren't read or written again. The manifest comes last. Shards that were
+    A shard is ``batch_rows`` places. ``at_once`` shards, or as many as hold JOB_ROWS, are written by a job, read back from their own folders, compared with the snapshot by count and digest, and logged; those in the log aren't read or written again. The manifest comes last. Shards that were
     logged with another digest, or of another size, raise: the snapshot isn't the one that the import began with.
     """
     rows = read_snapshot(spark, path, place, key, **contract).withColumn("shard", F.floor(F.col(place) / batch_rows))
@@ -67,17 +69,22 @@ def import_snapshot(spark: SparkSession, path: str, destination: str, batch_rows
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = {}
-    if done and {r["shard"]: (r["rows"], r["digest"]) for r in shards_told(rows.where(F.col("shard").isin(*done))).collect()} != done:
+    told = lambda d: {r["shard"]: (r["rows"], r["digest"]) for r in shards_told(d).collect()}
+    # The snapshot is digested once, not once more for each job.
+    wanted = told(rows)
+    if any(wanted.get(s) != d for s, d in done.items()):
         raise ValueError("the import was begun with other rows")
     missing = [s for s in range(-(-manifest["rows"] // batch_rows)) if s not in done]
-    for at in range(0, len(missing), at_once):
-        group = missing[at : at + at_once]
+    step = at_once or max(1, JOB_ROWS // batch_rows)
+    for at in range(0, len(missing), step):
+        group = missing[at : at + step]
         first, last = group[0] * batch_rows, (group[-1] + 1) * batch_rows
-        part = rows.where((F.col(place) >= first) & (F.col(place) < last) & F.col("shard").isin(*group))
-        part.repartition("shard").sortWithinPartitions(place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(f"{destination}/rows")
-        told = lambda d: {r["shard"]: (r["rows"], r["digest"]) for r in shards_told(d.where(F.col("shard").isin(*group))).collect()}  # noqa: B023, E731
-        back = told(spark.read.schema(rows.schema).parquet(f"{destination}/rows"))
-        if back != told(part):
+        part = rows.where((F.col(place) >= first) & (F.col(place) < last))
+        if group[-1] - group[0] >= len(group):
+            part = part.where(F.col("shard").isin(*group))
+        part.repartition("shard").sortWithinPartitions("shard", place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(f"{destination}/rows")
+        back = told(spark.read.schema(rows.schema).option("basePath", f"{destination}/rows").parquet(*[f"{destination}/rows/shard={s}" for s in group]))
+        if back != {s: wanted[s] for s in group}:
             raise ValueError(f"shards {group[0]} to {group[-1]} weren't written as they are")
         log_shards(spark, [(s, *back[s]) for s in group], destination)
     if missing or not done:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import ranking, textsim
 from kinweave.plans import catalog
+from kinweave.sources import files
 from tests.oracle import agree
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,13 @@ def test_lists_are_ordered_without_the_vectors(spark):
     assert not [line for line in plan.splitlines() if "Window" in line and "vector" in line]
     windowed = plan[plan.index("Window") :]
     assert "vector" not in windowed[: windowed.index("LogicalRDD")]
+
+
+def test_an_import_of_many_small_shards_is_few_jobs(spark, tmp_path, monkeypatch):
+    logged, real = [], files.log_shards
+    monkeypatch.setattr(files, "log_shards", lambda s, entries, d: (logged.append(len(entries)), real(s, entries, d)))
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    files.write_snapshot(spark.range(450).select(F.col("id").alias("row_number"), F.col("id").cast("string").alias("id")), source)
+    assert files.import_snapshot(spark, source, target, batch_rows=2) == 225
+    assert logged == [225]
+    assert files.read_snapshot(spark, target).where("shard = row_number div 2").count() == 450
