@@ -243,7 +243,8 @@ def publication_versions(members: DataFrame) -> DataFrame:
     the publication has the same, or leading initials and the surname, if both have the same abstract of twenty words or more.
 
     Every condition is an equality of tokens: a preprint offers one for its year and the next, for its name and each way to shorten it, with or without what the other may lack, and a publication asks by its own, so that partners
-    share exactly one. Tokens are counted before anything is joined, so a title that many members share makes no pairs.
+    share exactly one. Tokens are counted before anything is joined, so a title that many members share makes no pairs. Both sides of each join grow with the members, but Spark guesses from the size of the files what
+    their tokens take, so the joins are told to be by sorting: the driver would gather a side that it broadcasts.
     """
     ship(members.sparkSession)
     keyed = members.select("id", "local", "arxiv", "doi", "year", text.folded_words(F.coalesce("title", F.lit(""))).alias("title"), F.split(text.folded_words(F.coalesce("author", F.lit(""))), " ").alias("author"), text.folded_words(F.coalesce("abstract", F.lit(""))).alias("abstract"))
@@ -267,6 +268,6 @@ def publication_versions(members: DataFrame) -> DataFrame:
     counts = cut(counts)
     alone = counts.where("offered = 1 AND asked = 1").select("preprint_id", "publication_id")
     taken = alone.select(F.col("preprint_id").alias("id")).unionByName(alone.select(F.col("publication_id").alias("id"))).distinct()
-    partners = tokens.join(taken, "id", "left_semi").join(counts.select(*key, "offered", "asked"), key).groupBy("id").agg(F.sum(F.when(p, F.col("asked")).otherwise(F.col("offered"))).alias("partners"))
+    partners = tokens.join(taken.hint("merge"), "id", "left_semi").join(counts.select(*key, "offered", "asked").hint("merge"), key).groupBy("id").agg(F.sum(F.when(p, F.col("asked")).otherwise(F.col("offered"))).alias("partners"))
     single = cut(partners.where("partners = 1").select("id"))
-    return alone.join(single.withColumnRenamed("id", "preprint_id"), "preprint_id", "left_semi").join(single.withColumnRenamed("id", "publication_id"), "publication_id", "left_semi").select("preprint_id", "publication_id")
+    return alone.join(single.withColumnRenamed("id", "preprint_id").hint("merge"), "preprint_id", "left_semi").join(single.withColumnRenamed("id", "publication_id").hint("merge"), "publication_id", "left_semi").select("preprint_id", "publication_id")

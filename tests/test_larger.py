@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import geometry, ranking, textsim
+from kinweave.operators import geometry, ranking, reconcile, textsim
 from kinweave.plans import catalog
 from kinweave.sources import files
 from tests.oracle import agree
@@ -116,3 +116,11 @@ def test_shown_labels_never_join_nodes_with_each_other(spark, monkeypatch):
     monkeypatch.setattr(geometry, "cut", lambda d: (joined.append(d._jdf.queryExecution().optimizedPlan().toString()), real(d))[1])
     geometry.labelled(spark.range(200).selectExpr("id", "id = 0 AS is_focal", "id AS citations", "2000 AS year", "id / 1e6 AS x", "0D AS y")).collect()
     assert len(joined) == 1
+
+
+def test_publication_versions_send_no_side_of_a_join_to_the_driver(spark, monkeypatch):
+    plans, real = [], reconcile.cut
+    monkeypatch.setattr(reconcile, "cut", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), real(d))[1])
+    found = catalog.QUERIES["publication_versions"](spark, SF)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
