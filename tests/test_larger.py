@@ -124,3 +124,9 @@ def test_publication_versions_send_no_side_of_a_join_to_the_driver(spark, monkey
     found = catalog.QUERIES["publication_versions"](spark, SF)
     plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert len(plans) == 4 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_coupled_pairs_are_shuffled_once(spark):
+    pairs = textsim.coupling_pairs(spark.range(60).selectExpr("id % 20 AS id", "id % 7 AS ref"))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Aggregate")]
